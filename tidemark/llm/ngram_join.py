@@ -5,7 +5,7 @@ works on representatives, so copies cost nothing more.
 
 Chosen paths: a set is embedded as COORDINATES MinHash values, the tokens of a set of fixed size.  In each of RUNS
 repetitions the root splits all sets on one token; a node of more than LIMIT sets is split again on CHILDREN sampled
-tokens, up to DEPTH times, so that sets go on together only along tokens that they share.  Small nodes are leaves and are
+tokens, up to DEPTH times while that separates sets, so that sets go on together only along tokens that they share.  Small nodes are leaves and are
 compared by brute force on the embedded sets, in blocks if a node of alike sets stays large.  A pair of similarity 0.8 is
 together in a run with probability over 0.76, so RUNS = 10 miss fewer than one in a million pairs; a pair whose
 embeddings agree in fewer than AGREE of 32 tokens is passed over (below 1e-7 at 0.8).
@@ -220,17 +220,19 @@ def _blocked(rows: DataFrame, key: str, blocks) -> DataFrame:
 
 def _leaves(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(leaf, rid) of all runs."""
-    level = classes.select("rid", F.explode(F.array(*[F.xxhash64(F.lit(r), F.col("sk")[r]) for r in range(RUNS)])).alias("node"))
+    level = classes.select("rid", F.explode(F.array(*[F.xxhash64(F.lit(r), F.col("sk")[r]) for r in range(RUNS)])).alias("node"), F.lit(1 << 62).alias("above"))
     leaves = []
     for depth in range(DEPTH + 1):
         sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         level = scratch.keep(level.join(sizes, "node"), f"level-{depth}")
-        leaves.append(level if depth == DEPTH else level.where(F.col("n") <= LIMIT))
-        large = level.where(F.col("n") > LIMIT)
+        # a node that holds half of the one above is of sets so alike that splitting it only multiplies it
+        done = (F.col("n") <= LIMIT) | (2 * F.col("n") > F.col("above"))
+        leaves.append(level if depth == DEPTH else level.where(done))
+        large = level.where(~done)
         if depth == DEPTH or not large.limit(1).count():
             break
         child = [F.xxhash64("node", F.lit(j), F.element_at("sk", F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)).cast("int") + 1)) for j in range(CHILDREN)]
-        level = large.join(classes.select("rid", "sk"), "rid").select("rid", F.explode(F.array(*child)).alias("node")).distinct()
+        level = large.join(classes.select("rid", "sk"), "rid").select("rid", F.explode(F.array(*child)).alias("node"), F.col("n").alias("above")).dropDuplicates(["rid", "node"])
     rows = leaves[0]
     for x in leaves[1:]:
         rows = rows.union(x)
