@@ -1,0 +1 @@
+"""Web and traffic analytics on Spark DataFrames."""

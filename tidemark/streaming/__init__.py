@@ -1 +1 @@
-
+"""Stateful stream operators."""
