@@ -50,7 +50,7 @@ def decode_more(c: Column) -> Column:
         four = F.concat(byte(F.shiftright(n, 18).bitwiseOR(0xF0)), tail(12), tail(6), tail(0))
         return F.when(n < 0x80, one(byte(n))).when(n < 0x800, one(two)).when(surrogate | (n > 0x10FFFF), F.lit("�")).when(n < 0x10000, one(three)).otherwise(one(four))
 
-    return F.array_join(F.transform(plain, lambda x, k: F.concat(x, F.coalesce(F.transform(F.slice(codes, k + 1, 1), char)[0], F.lit("")))), "")
+    return F.array_join(F.transform(plain, lambda x, k: F.concat(x, F.coalesce(F.get(F.transform(F.slice(codes, k + 1, 1), char), F.lit(0)), F.lit("")))), "")
 
 
 def strip(html: Column) -> Column:

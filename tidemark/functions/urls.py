@@ -106,35 +106,54 @@ def candidate(url: Column, own_root: Column, blocked: list[str] | None = None) -
     return F.when(ok, F.regexp_replace(target, r"(?s)#.*$", ""))
 
 
+def base_parts(base: Column) -> Column:
+    """What `absolute` needs of a base, to be computed once a row."""
+    path = F.regexp_replace(F.regexp_replace(base, r"(?is)^[a-z][a-z0-9+.-]*://[^/?#]*", ""), r"(?s)[?#].*$", "")
+    path = F.when(path == "", "/").otherwise(path)
+    return F.struct(F.when(host(base) != "", origin(base)).otherwise("").alias("origin"), scheme(base).alias("scheme"), path.alias("path"), F.regexp_replace(path, r"[^/]*$", "").alias("folder"), F.regexp_extract(base, r"(\?[^#]*)", 1).alias("query"))
+
+
+def resolve(hrefs: Column, base: Column) -> Column:
+    """E05 for an array of references: each resolved against base_parts, '' if that fails.
+
+    Every intermediate is bound by a lambda of its own, so that it is computed once and not wherever it is named."""
+    plain = F.transform(hrefs, lambda h: F.regexp_replace(F.coalesce(h, F.lit("")), r"^\s+|\s+$", ""))
+    parted = F.transform(plain, lambda h: F.struct(h.alias("h"), F.regexp_extract(h, r"(?s)^([^?#]*)", 1).alias("path"), F.regexp_replace(h, r"(?s)^[^?#]*", "").alias("rest")))
+
+    def own(h: Column) -> Column:
+        return F.concat(origin(h), fold_dots(F.regexp_extract(h, r"(?is)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)), F.regexp_replace(h, r"(?is)^[a-z][a-z0-9+.-]*://[^/?#]*[^?#]*", ""))
+
+    def one(x: Column) -> Column:
+        h, path, rest = x["h"], x["path"], x["rest"]
+        bare = F.concat(base["path"], F.when(F.startswith(rest, F.lit("?")), "").otherwise(base["query"]), rest)
+        inner = F.when(path == "", bare).when(F.startswith(path, F.lit("/")), F.concat(fold_dots(path), rest)).otherwise(F.concat(fold_dots(F.concat(base["folder"], path)), rest))
+        return (
+            F.when(F.rlike(h, F.lit(r"(?i)^https?://[^/?#\s]+")), own(h))
+            .when(F.rlike(h, F.lit(r"(?i)^[a-z][a-z0-9+.-]*:")), F.when(base["origin"] != "", h).otherwise(""))
+            .when(base["origin"] == "", "")
+            .when(F.startswith(h, F.lit("//")), own(F.concat(base["scheme"], F.lit(":"), h)))
+            .otherwise(F.concat(base["origin"], inner))
+        )
+
+    return F.transform(parted, one)
+
+
 def absolute(href: Column, base: Column) -> Column:
-    """Resolved against a base by path algebra on arrays, '' if that fails.  Dots in paths are folded in order."""
-    href = F.regexp_replace(F.coalesce(href, F.lit("")), r"^\s+|\s+$", "")
-    base_path = F.regexp_replace(F.regexp_replace(base, r"(?is)^[a-z][a-z0-9+.-]*://[^/?#]*", ""), r"(?s)[?#].*$", "")
-    base_path = F.when(base_path == "", "/").otherwise(base_path)
-    base_query = F.regexp_extract(base, r"(\?[^#]*)", 1)
-    path = F.regexp_extract(href, r"(?s)^([^?#]*)", 1)
-    rest = F.regexp_replace(href, r"(?s)^[^?#]*", "")
-    merged = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.regexp_replace(base_path, r"[^/]*$", ""), path))
-    resolved = F.concat(origin(base), F.when(path == "", F.concat(base_path, F.when(F.startswith(rest, F.lit("?")), "").otherwise(base_query), rest)).otherwise(F.concat(fold_dots(merged), rest)))
-    own = F.concat(origin(href), fold_dots(F.regexp_extract(href, r"(?is)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)), F.regexp_replace(href, r"(?is)^[a-z][a-z0-9+.-]*://[^/?#]*[^?#]*", ""))
-    same_scheme = F.concat(scheme(base), F.lit(":"), href)
-    return (
-        F.when(host(base) == "", F.when(host(href) != "", own).otherwise(""))
-        .when(F.rlike(href, F.lit(r"(?i)^https?://[^/?#\s]+")), own)
-        .when(F.rlike(href, F.lit(r"(?i)^[a-z][a-z0-9+.-]*:")), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(origin(same_scheme), F.when(F.rlike(href, F.lit(r"^//[^/?#]*$")), "/").otherwise(F.regexp_replace(href, r"^//[^/?#]*", ""))))
-        .otherwise(resolved)
-    )
+    """E05 for one reference against a base URL."""
+    return resolve(F.array(href), base_parts(base))[0]
 
 
 def fold_dots(path: Column) -> Column:
     """A path without . and .. segments; there is always a leading slash."""
-    parts = F.split(F.regexp_replace(path, r"^/", ""), "/", -1)
-    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
-    ends = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
     plain = F.concat(F.lit("/"), F.regexp_replace(path, r"^/", ""))
-    folded = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, ends).otherwise(""))
-    return F.when(F.rlike(path, F.lit(r"(^|/)\.\.?(/|$)")), folded).otherwise(plain)
+
+    def folded(parts: Column) -> Column:
+        kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+        ends = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+        return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, ends).otherwise(""))
+
+    dotted = F.rlike(path, F.lit(r"(^|/)\.\.?(/|$)"))
+    return F.when(dotted, F.transform(F.array(F.split(F.regexp_replace(path, r"^/", ""), "/", -1)), folded)[0]).otherwise(plain)
 
 
 def private_address(name: Column) -> Column:

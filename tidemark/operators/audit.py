@@ -6,6 +6,8 @@ single hash aggregations.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +45,11 @@ def _finding(code: str, category: str, severity: str | Column, fires: Column, ev
     return F.when(F.coalesce(fires, F.lit(False)), F.struct(F.lit(category).alias("category"), severity.alias("severity"), status_of(severity).alias("status"), F.lit(code).alias("code"), evidence.cast("string").alias("evidence")))
 
 
-def findings(pages: DataFrame) -> DataFrame:
-    """Url, category, severity, status, code, evidence.  A page whose `error` is set yields that finding alone."""
+@lru_cache(maxsize=4)
+def _rules(gateway: int, crawled: bool) -> Column:
+    """The array of a page's findings; built once for a gateway."""
     c = F.col
-    error = c("error") if "error" in pages.columns else F.lit(None).cast("string")
+    error = c("error") if crawled else F.lit(None).cast("string")
     images_no_alt = F.size(F.filter("images", lambda i: ~i["has_alt"]))
     images_no_size = F.size(F.filter("images", lambda i: i["width"].isNull() | i["height"].isNull()))
     invalid = F.size(F.filter("blocks", lambda b: ~b["valid"]))
@@ -74,7 +77,12 @@ def findings(pages: DataFrame) -> DataFrame:
         _finding("image-dimensions", images, "info", images_no_size > 0, images_no_size),
     ]
     crawl = F.array(_finding("crawl-error", technical, "critical", F.lit(True), error))
-    all_of = F.when(error.isNotNull(), crawl).otherwise(F.array_compact(F.array(*rules)))
+    return F.when(error.isNotNull(), crawl).otherwise(F.array_compact(F.array(*rules)))
+
+
+def findings(pages: DataFrame) -> DataFrame:
+    """Url, category, severity, status, code, evidence.  A page whose `error` is set yields that finding alone."""
+    all_of = _rules(id(pages.sparkSession.sparkContext._gateway), "error" in pages.columns)
     return pages.select(F.col("final_url").alias("url"), F.explode(all_of).alias("f")).select("url", "f.*")
 
 

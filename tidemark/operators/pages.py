@@ -6,6 +6,8 @@ inputs is left to the caller, since a table of many files needs none.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,25 +21,26 @@ _ANCHOR = r"(?is)(<a\b[^>]*>)(.*?)</a>"
 
 
 def images(html: Column, base: Column) -> Column:
-    """Source with lazy-loading fallbacks, alternative text, size; images without source are dropped."""
+    """Source with lazy-loading fallbacks, alternative text, size; images without source are dropped.  base: base_parts."""
+    src = lambda tag: F.coalesce(*[F.nullif(T.attr(tag, n), F.lit("")) for n in ("src", "data-src", "data-lazy-src")], F.lit(""))
+    size = lambda tag, n: F.nullif(T.attr(tag, n).try_cast("double"), F.lit(0.0))
+    tags = F.filter(T.tags(html, "img"), lambda tag: src(tag) != "")
+    found = F.transform(tags, lambda tag: F.struct(tag.alias("tag"), T.decode(T.attr(tag, "alt")).alias("alt"), T.has_attr(tag, "alt").alias("has_alt"), size(tag, "width").alias("width"), size(tag, "height").alias("height"), T.attr(tag, "loading").alias("loading")))
+    made = F.zip_with(found, U.resolve(F.transform(tags, src), base), lambda x, u: F.struct(u.alias("src"), x["alt"].alias("alt"), x["has_alt"].alias("has_alt"), x["width"].alias("width"), x["height"].alias("height"), x["loading"].alias("loading"), x["tag"].alias("tag")))
+    return F.filter(made, lambda x: x["src"] != "")
 
-    def one(tag: Column) -> Column:
-        src = F.coalesce(*[F.nullif(T.attr(tag, n), F.lit("")) for n in ("src", "data-src", "data-lazy-src")], F.lit(""))
-        size = lambda n: F.nullif(T.attr(tag, n).try_cast("double"), F.lit(0.0))
-        return F.struct(
-            F.when(src != "", U.absolute(src, base)).otherwise("").alias("src"), T.decode(T.attr(tag, "alt")).alias("alt"), T.has_attr(tag, "alt").alias("has_alt"),
-            size("width").alias("width"), size("height").alias("height"), T.attr(tag, "loading").alias("loading"), tag.alias("tag"),
-        )
 
-    return F.filter(F.transform(T.tags(html, "img"), one), lambda x: x["src"] != "")
+def anchors(html: Column) -> Column:
+    """The opening tags of anchors and what is in them."""
+    heads, bodies = (F.regexp_extract_all(html, F.lit(_ANCHOR), k) for k in (1, 2))
+    return F.zip_with(heads, bodies, lambda tag, body: F.struct(F.trim(T.decode(T.attr(tag, "href"))).alias("href"), body.alias("body"), T.attr(tag, "rel").alias("rel")))
 
 
-def links(html: Column, base: Column) -> Column:
-    """Resolved http(s) links with anchor text and rel."""
-    heads, bodies = (F.regexp_extract_all(html, F.lit(_ANCHOR), k) for k in (1, 2))
-    found = F.zip_with(heads, bodies, lambda tag, body: F.struct(U.absolute(T.decode(T.attr(tag, "href")), base).alias("url"), T.strip(body).alias("anchor"), T.attr(tag, "rel").alias("rel"), (T.attr(tag, "href") != "").alias("has_href")))
-    kept = F.filter(found, lambda x: x["has_href"] & F.rlike(x["url"], F.lit(r"^https?://")))
-    return F.transform(kept, lambda x: F.struct(x["url"].alias("url"), x["anchor"].alias("anchor"), x["rel"].alias("rel")))
+def links(found: Column, base: Column) -> Column:
+    """Resolved http(s) links with anchor text and rel.  found: anchors; base: base_parts."""
+    found = F.filter(found, lambda x: x["href"] != "")
+    made = F.zip_with(found, U.resolve(F.transform(found, lambda x: x["href"]), base), lambda x, u: F.struct(u.alias("url"), T.strip(x["body"]).alias("anchor"), x["rel"].alias("rel")))
+    return F.filter(made, lambda x: F.rlike(x["url"], F.lit(r"^https?://")))
 
 
 def json_ld(html: Column) -> Column:
@@ -54,16 +57,17 @@ def json_types(raw: Column) -> Column:
     return F.array_distinct(F.flatten(each))
 
 
-def page_facts(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """A page row for each HTML row; other columns pass through, and those named like a fact are replaced.
-
-    Null HTML counts as empty.  Optional input columns: status, x_robots_tag."""
-    kept = [c for c in pages.columns if c != html]
+@lru_cache(maxsize=16)
+def _expressions(gateway: int, html: str, url: str, given: tuple[str, ...]) -> tuple[list[Column], list[Column], dict[str, Column], Column]:
+    """Two projections, the facts, and the site's name.  There are thousands of nodes, and each costs a call to the JVM, so
+    they are built once for a gateway and kept."""
     h = F.coalesce(F.col("_h"), F.lit(""))
-    optional = lambda c, kind: F.col(c).cast(kind) if c in pages.columns else F.lit(None).cast(kind)
-    first = pages.select("*", F.col(html).alias("_h"), F.col(url).alias("_u")).select(
-        *kept, "_u", "_h", T.strip(h).alias("_text"), T.tags(h, "meta").alias("_meta"), T.tags(h, "link").alias("_link"), links(h, F.col("_u")).alias("_links"), images(h, F.col("_u")).alias("_images"), json_ld(h).alias("_blocks"),
-    )
+    optional = lambda c, kind: F.col(c).cast(kind) if c in given else F.lit(None).cast(kind)
+    first = [F.col(html).alias("_h"), F.col(url).alias("_u"), U.base_parts(F.col(url)).alias("_base"), anchors(F.coalesce(F.col(html), F.lit(""))).alias("_anchors")]
+    second = [
+        F.col("_u"), F.col("_h"), F.col("_base"), T.strip(h).alias("_text"), T.tags(h, "meta").alias("_meta"), T.tags(h, "link").alias("_link"), links(F.col("_anchors"), F.col("_base")).alias("_links"), images(h, F.col("_base")).alias("_images"), json_ld(h).alias("_blocks"),
+    ]
+    resolved = lambda c: U.resolve(F.array(c), F.col("_base"))[0]
     blocks_valid = F.filter("_blocks", lambda b: b["valid"])
     facts = {
         "final_url": F.col("_u"),
@@ -72,8 +76,8 @@ def page_facts(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
         "robots": T.meta(F.col("_meta"), "name", "robots"),
         "x_robots_tag": F.coalesce(optional("x_robots_tag", "string"), F.lit("")),
         "viewport": T.meta(F.col("_meta"), "name", "viewport"),
-        "canonical": F.when(T.link_rel(F.col("_link"), "canonical") != "", U.absolute(T.link_rel(F.col("_link"), "canonical"), F.col("_u"))).otherwise(""),
-        "favicon": U.absolute(F.coalesce(F.nullif(T.link_rel(F.col("_link"), "icon"), F.lit("")), F.nullif(T.link_rel(F.col("_link"), "shortcut"), F.lit("")), F.lit("/favicon.ico")), F.col("_u")),
+        "canonical": F.when(T.link_rel(F.col("_link"), "canonical") != "", resolved(T.link_rel(F.col("_link"), "canonical"))).otherwise(""),
+        "favicon": resolved(F.coalesce(F.nullif(T.link_rel(F.col("_link"), "icon"), F.lit("")), F.nullif(T.link_rel(F.col("_link"), "shortcut"), F.lit("")), F.lit("/favicon.ico"))),
         "lang": T.attr(F.regexp_extract(h, r"(?i)<html\b[^>]*>", 0), "lang"),
         "status": F.coalesce(optional("status", "int"), F.lit(200)),
         "h1": T.h1(h),
@@ -87,9 +91,20 @@ def page_facts(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
         "word_count": T.word_count(F.col("_text")).cast("int"),
         "text_excerpt": T.excerpt(F.col("_text")),
     }
-    out = first.select(*[c for c in kept if c not in facts], *[x.alias(n) for n, x in facts.items()], F.col("_blocks").alias("_b"))
     name = F.get(F.filter(F.transform("_b", lambda b: F.regexp_extract(b["raw"], r'(?s)"@type"\s*:\s*"(?:Organization|LocalBusiness|WebSite)".*?"name"\s*:\s*"([^"]+)"', 1)), lambda x: x != ""), F.lit(0))
-    return out.withColumn("site_name", T.site_name(name, F.col("title"))).drop("_b")
+    return first, second, facts, T.site_name(name, F.col("title"))
+
+
+def page_facts(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """A page row for each HTML row; other columns pass through, and those named like a fact are replaced.
+
+    Null HTML counts as empty.  Optional input columns: status, x_robots_tag."""
+    kept = [c for c in pages.columns if c != html]
+    given = tuple(c for c in ("status", "x_robots_tag") if c in pages.columns)
+    first, second, facts, name = _expressions(id(pages.sparkSession.sparkContext._gateway), html, url, given)
+    staged = pages.select("*", *first).select(*kept, *second)
+    out = staged.select(*[c for c in kept if c not in facts], *[x.alias(n) for n, x in facts.items()], F.col("_blocks").alias("_b"))
+    return out.withColumn("site_name", name).drop("_b")
 
 
 def walk_types(blocks: DataFrame) -> DataFrame:
