@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Texts become sets of words and of word beginnings (4, 5 and 6 letters, which stand for inflected forms).  The classifier is
-linear over the FEATURES that differ most between confirmed toxic texts and unlabelled ones, and is trained in numpy on the
+linear over at most FEATURES that are commonest in confirmed toxic texts as against unlabelled ones, and is trained in numpy on the
 risk  p R+(toxic) + max(0, R-(unlabelled) - p R-(toxic)),  where p, the class prior, is the share of toxic among all labels
 that may be learned from.  The score is a logistic of the linear form.
 
@@ -26,6 +26,8 @@ from tidemark.llm.common import bucket
 
 FOLDS, HELD_OUT = 5, 0
 POSITIVES, UNLABELLED, FEATURES, SPACE = 4000, 8000, 2048, 1 << 20
+#: Standard errors by which a feature must be commoner in toxic texts.
+LEAST = 1.5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -68,15 +70,15 @@ def _matrix(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(prior: float, toxic: list[np.ndarray], free: list[np.ndarray], steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(prior: float, toxic: list[np.ndarray], free: list[np.ndarray], steps: int = 300, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
     """Hashed features, their weights, and the bias."""
     if not toxic or not free or prior <= 0:
         return np.empty(0, np.int32), np.empty(0), -50.0
     counts = [np.bincount(np.concatenate(rows), minlength=SPACE) for rows in (toxic, free)]
     p, u = (c / len(r) for c, r in zip(counts, (toxic, free), strict=True))
-    differ = np.abs(p - u) / np.sqrt(p / len(toxic) + u / len(free) + 1e-6)
+    differ = (p - u) / np.sqrt(p / len(toxic) + u / len(free) + 1e-6)  # in standard errors
     chosen = np.sort(np.argsort(-differ, kind="stable")[:FEATURES])
-    chosen = chosen[differ[chosen] > 0].astype(np.int32)
+    chosen = chosen[(differ[chosen] > LEAST) & (counts[0][chosen] > 1)].astype(np.int32)
     xp, xu = _matrix(toxic, chosen), _matrix(free, chosen)
     w, b = np.zeros(len(chosen), np.float32), np.float32(-1)
     moments = [np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)]
