@@ -67,3 +67,17 @@ def test_bands_and_buckets(spark):
     assert value(spark, N.band_midpoint(F.lit("5K+"))) == 0
     for v, want in ((2500.0, "good"), (2501.0, "needs-improvement"), (4000.0, "needs-improvement"), (4001.0, "poor"), (None, "unknown")):
         assert value(spark, N.metric_bucket(F.lit("LCP"), F.lit(v).cast("double"))) == want
+
+
+def test_import_cells(spark):
+    for cell, url in ((" \u200b\"shop.com/a b#f\" ", "https://shop.com/a%20b"), ("N/A", ""), ("—", ""), ("//x.org", "https://x.org/"), ("ftp://x.org", ""), ("12", ""), ("word", ""), ("HTTP://A.com", "http://a.com/")):
+        assert value(spark, U.import_url(F.lit(cell))) == url, cell
+    for cell, root in (("blog.five.co.uk", "five.co.uk"), ("https://A.b.gov.uk/x", "gov.uk"), ("a@b.com", ""), ("null", ""), ("3.5", "")):
+        assert value(spark, U.import_domain(F.lit(cell))) == root, cell
+
+
+def test_fixed_values(spark):
+    for name, root in (("a.b.com.pk", "b.com.pk"), ("a.b.gov.uk", "gov.uk"), ("a.b.com.br", "b.com.br")):
+        assert value(spark, U.root_domain(F.lit(name))) == root
+    for name, private in (("192.0.0.8", True), ("192.0.2.1", False), ("fe80::1", True), ("::ffff:10.0.0.1", True), ("::ffff:8.8.8.8", False)):
+        assert value(spark, U.private_address(F.lit(name))) is private, name

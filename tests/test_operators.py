@@ -1,8 +1,9 @@
+import json
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, links, pages, performance, periods
+from tidemark.operators import audit, links, normalise, pages, performance, periods, structured
 from tidemark.sources import delimited, sinks, web
 from tidemark.streaming import limiter
 
@@ -67,9 +68,9 @@ def test_last_wins_first_position(spark):
 
 
 def test_diagnostics(spark):
-    body = '{"lighthouseResult":{"categories":{"performance":{"score":0.905}},"audits":{"a":{"score":1},"b":{"score":0.2,"details":{"overallSavingsMs":50}},"c":{"score":null,"details":{"overallSavingsBytes":90000}}}}}'
+    body = '{"lighthouseResult":{"categories":{"performance":{"score":0.905}},"audits":{"layout-shifts":{"score":1},"long-tasks":{"score":0.2,"details":{"overallSavingsMs":50}},"bootup-time":{"score":null,"details":{"overallSavingsBytes":90000}}}}}'
     parsed = performance.lab(spark.createDataFrame([("u", "m", body), ("v", "m", "oops")], "url string, strategy string, body string"))
-    assert [(r["id"], r["status"], r["rank"]) for r in performance.diagnostics(parsed).orderBy("rank").collect()] == [("c", "needs-improvement", 1), ("b", "poor", 2)]
+    assert [(r["id"], r["status"], r["rank"]) for r in performance.diagnostics(parsed).orderBy("rank").collect()] == [("bootup-time", "needs-improvement", 1), ("long-tasks", "poor", 2)]
     assert performance.category_scores(parsed).first()["bucket"] == "good"
 
 
@@ -102,3 +103,30 @@ def test_limiter_stream_agrees(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["ts"], r["allowed"]) for r in spark.table("limited").collect()) == sorted((r["ts"], r["allowed"]) for r in limiter.limit(rows).collect())
+
+
+def test_answers(spark):
+    said = lambda report, text: normalise.parse(spark.createDataFrame([("s", text), ("t", None)], "seed string, text string"), report)
+    v = {r["seed"]: r for r in normalise.visibility(said("visibility", '{"searchReadinessScore":200,"confidence":"MEDIUM","gaps":[{"status":"Warn","title":"x"},{"status":"pass"}],"signalScores":{"authority":7.5}}'), F.lit(3.2)).collect()}
+    assert (v["s"]["search_readiness_score"], v["s"]["confidence"], v["s"]["gaps"][0]["status"], len(v["s"]["gaps"]), v["s"]["signal_scores"]["authority"]) == (100, "Medium", "info", 1, 8)
+    assert (v["t"]["search_readiness_score"], v["t"]["local_signal"], v["t"]["signal_scores"]["authority"]) == (50, "Not assessed", 64)
+    t = normalise.traffic(said("traffic", '{"monthlyRange":" 1K–5K ","channelMix":[{"channel":"a","range":"1%"},{}]}')).orderBy("seed").first()
+    assert (t["monthly_range"], len(t["channel_mix"]), t["ai_visibility"]["level"]) == ("1K–5K", 1, "Limited")
+    r = normalise.three_phases(normalise.roadmap(said("roadmap", '{"technicalPriorities":[{"title":"T"}],"conversionPriorities":[{"title":"C","action":"A"}],"roadmap":[{"period":"p"},{"objective":"o"}]}'))).orderBy("seed").first()
+    assert [p["period"] for p in r["phases"]] == ["First 30 days", "", "Days 61–90"] and r["phases"][0]["tasks"] == ["T", "A"]
+    s = normalise.summary(said("summary", '{"plan":[{"phase":"1","tasks":["x",""]},{}],"critical":[{"status":"fail","detail":"d"}]}')).orderBy("seed").first()
+    assert (len(s["plan"]), s["plan"][0]["tasks"], s["critical"][0]["status"]) == (1, ["x"], "fail")
+    k = normalise.schema_recommendations(said("schema", '{"priorityRecommendations":[{"type":"Event","reason":"r"},{"type":"x"}]}')).orderBy("seed").collect()
+    assert [x["type"] for x in k] == ["Event", "WebPage"]
+
+
+def test_import_kinds(spark):
+    got = delimited.kinds(delimited.classify(spark.createDataFrame([("a", "one.com\none.com\n???\n"), ("b", "Domain\nsub.two.org\n")], "filename string, body string"))).orderBy("filename").collect()
+    assert [(r["file_kind"], r["source"], r["domain"], r["ignored"]) for r in got] == [("source-pages", 1, 0, 1), ("referring-domains", 0, 1, 0)]
+
+
+def test_templates(spark):
+    kinds = spark.createDataFrame([("Product",), ("Hotel",), ("Event",), ("BreadcrumbList",)], "kind string")
+    got = {r["kind"]: json.loads(r["t"]) for r in kinds.select("kind", structured.template(F.col("kind"), F.lit("N"), F.lit("https://a.com/p"), F.lit(None).cast("string")).alias("t")).collect()}
+    assert got["Product"]["offers"]["availability"].endswith("/InStock") and got["Hotel"]["name"] == "Organization"
+    assert list(got["Event"]) == ["@context", "@type", "name", "url", "description"] and got["BreadcrumbList"]["itemListElement"][0]["item"] == "https://a.com"

@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Suffixes of two labels, under which three labels make a domain.
-TWO_PART_SUFFIXES = ["co.uk", "org.uk", "gov.uk", "ac.uk", "com.au", "net.au", "org.au", "co.nz", "co.in", "com.br", "com.sg", "co.za"]
+TWO_PART_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "com.au", "net.au", "org.au", "co.nz", "com.pk", "net.pk", "org.pk", "com.br", "co.in"]
+#: The fewer suffixes that an import knows.
+IMPORT_SUFFIXES = ["co.uk", "org.uk", "com.au", "co.nz", "com.pk", "org.pk", "net.pk", "co.in"]
 #: What a cell holds when it holds nothing.
-PLACEHOLDERS = ["-", "n/a", "na", "null", "undefined", "none"]
+PLACEHOLDERS = ["n/a", "na", "null", "undefined", "-", "—"]
 #: Roots of search engines, which are no sources of links.
-SEARCH_ROOTS = ["google.com", "bing.com", "duckduckgo.com", "yahoo.com", "yandex.com", "baidu.com", "microsoft.com"]
+SEARCH_ROOTS = ["duckduckgo.com", "bing.com", "microsoft.com", "yahoo.com", "google.com", "googleusercontent.com"]
 
 _RELATIVE = r"(?is)^(?![a-z][a-z0-9+.-]*:)(?!//)"
 
@@ -63,26 +65,27 @@ def normalise(url: Column) -> Column:
 
 
 def clean_cell(c: Column) -> Column:
-    """Without byte-order mark, zero-width characters, outer quotes and blanks."""
-    plain = F.regexp_replace(F.coalesce(c, F.lit("")), "[﻿​-‍⁠]", "")
-    return F.regexp_replace(F.regexp_replace(plain, r"^[\s\x{A0}]+|[\s\x{A0}]+$", ""), r"^[\"']+|[\"']+$", "")
+    """Without byte-order mark, zero-width characters, one outer quote at either end, and blanks."""
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\x{FEFF}|[\x{200B}-\x{200D}\x{2060}]", "")
+    trimmed = lambda x: F.regexp_replace(x, r"^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$", "")
+    return trimmed(F.regexp_replace(trimmed(plain), r"^[\"']|[\"']$", ""))
 
 
 def import_url(c: Column) -> Column:
-    """A cell as a URL, '' if it is none."""
+    """A cell as a URL without fragment, '' if it is none.  A scheme is added to what looks like a host name."""
     cell = clean_cell(c)
-    full = F.when(F.rlike(cell, F.lit(r"(?i)^https?://")), cell).otherwise(F.concat(F.lit("https://"), F.regexp_replace(cell, r"^//", "")))
-    usable = ~F.lower(cell).isin(["", *PLACEHOLDERS]) & ~F.rlike(cell, F.lit(r"\s")) & F.rlike(host(full), F.lit(r"^([a-z0-9-]+\.)+[a-z][a-z0-9-]+$"))
-    return F.when(usable, normalise(full)).otherwise("")
+    bare = F.rlike(cell, F.lit(r"(?i)^(?:www\.)?[a-z0-9][a-z0-9.-]+\.[a-z]{2,}(?:[/:?#].*)?$"))
+    full = F.when(F.startswith(cell, F.lit("//")), F.concat(F.lit("https:"), cell)).when(~F.rlike(cell, F.lit(r"(?i)^https?://")) & bare, F.concat(F.lit("https://"), cell)).otherwise(cell)
+    usable = ~F.lower(cell).isin(["", *PLACEHOLDERS]) & F.rlike(full, F.lit(r"(?is)^https?://[^/?#\s]+([/?#].*)?$")) & (host(full) != "")
+    return F.when(usable, F.replace(normalise(full), F.lit(" "), F.lit("%20"))).otherwise("")
 
 
 def import_domain(c: Column, suffixes: list[str] | None = None) -> Column:
     """A cell as a root domain, '' if it is none."""
     cell = F.lower(clean_cell(c))
     name = F.regexp_replace(F.regexp_replace(cell, r"^https?://", ""), r"[/?#:].*$", "")
-    root = root_domain(name, suffixes)
-    ok = ~F.rlike(cell, F.lit(r"[\s@]")) & ~cell.isin(["", *PLACEHOLDERS]) & F.rlike(root, F.lit(r"^[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}$"))
-    return F.when(ok, root).otherwise("")
+    root = root_domain(name, suffixes or IMPORT_SUFFIXES)
+    return F.when(~F.rlike(cell, F.lit(r"[\s@]")) & F.rlike(root, F.lit(r"^[a-z0-9.-]+\.[a-z]{2,}$")), root).otherwise("")
 
 
 def query_value(url: Column, name: str) -> Column:
@@ -162,10 +165,10 @@ def private_address(name: Column) -> Column:
     a, b, c, d = (F.regexp_extract(name, v4, k).try_cast("int") for k in (1, 2, 3, 4))
     four = (
         (F.greatest(a, b, c, d) > 255) | a.isin(0, 10, 127) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0)) | ((a == 198) & b.isin(18, 19)) | (a >= 224)
+        | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & (c == 0)) | ((a == 198) & b.isin(18, 19)) | (a >= 224)
     )
     six = F.lower(F.regexp_replace(name, r"[\[\]]", ""))
-    six_private = six.isin("::", "::1") | F.rlike(six, F.lit(r"^(f[cd]|fe[89ab]|ff)")) | F.startswith(six, F.lit("::ffff:"))
+    six_private = six.isin("::", "::1") | F.rlike(six, F.lit(r"^(fc|fd|fe80:|::ffff:(127|10|192\.168)\.)"))
     return F.when(F.rlike(name, F.lit(v4)), F.coalesce(four, F.lit(True))).when(F.rlike(six, F.lit(r"^[0-9a-f:.]*:[0-9a-f:.]*$")), six_private).otherwise(True)
 
 

@@ -18,8 +18,8 @@ from tidemark.functions.urls import normalise, same_origin
 TITLE, DESCRIPTION, WORDS = (30, 65), (90, 170), 180
 SEVERITIES, PRIORITIES = ["critical", "warning", "info", "passed"], ["High", "Medium", "Low"]
 #: Words in a URL that tell of business pages, and of supporting ones.
-COMMERCIAL = r"(?i)(service|product|pricing|price|shop|store|buy|contact|quote|location|solution|category)"
-SUPPORT = r"(?i)(blog|guide|resource|about|faq|case|article|news|learn)"
+COMMERCIAL = r"(?i)(service|product|category|shop|pricing|contact|location|booking|quote)"
+SUPPORT = r"(?i)(blog|guide|resource|faq|about|privacy|terms)"
 
 
 def heading_skip(headings: Column) -> Column:

@@ -94,14 +94,20 @@ def authority_fallback(page_rank: Column) -> Column:
 
 
 #: What an error message says, in the order in which it is looked for.
-ERROR_KINDS = [("quota", r"quota|rate limit|429|exhausted"), ("temporary", r"overloaded|unavailable|503|timeout|timed out"), ("credentials", r"api key|credential|unauthori[sz]ed|401|403"), ("model", r"model|not found|404"), ("network", r"fetch|network|dns|socket|connect")]
+ERROR_KINDS = [
+    ("quota", r"RESOURCE_EXHAUSTED|quota|rate limit|billing details|429"),
+    ("temporary", r"UNAVAILABLE|overloaded|temporarily unavailable|503"),
+    ("credentials", r"API key|PERMISSION_DENIED|UNAUTHENTICATED|permission|401|403"),
+    ("model", r"model .*not found|NOT_FOUND|no longer available|404"),
+    ("network", r"timed out|AbortError|network|fetch failed"),
+]
 
 
 def error_kind(message: Column) -> Column:
     """K19."""
     out = F.lit("other")
     for kind, pattern in reversed(ERROR_KINDS):
-        out = F.when(F.rlike(F.lower(F.coalesce(message, F.lit(""))), F.lit(pattern)), F.lit(kind)).otherwise(out)
+        out = F.when(F.rlike(F.coalesce(message, F.lit("")), F.lit(f"(?i){pattern}")), F.lit(kind)).otherwise(out)
     return out
 
 

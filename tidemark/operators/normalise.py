@@ -8,21 +8,36 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import clamp_int, snap
 
 #: What fields may hold.
-LEVELS, INTENTS = ["High", "Medium", "Low"], ["Informational", "Commercial", "Transactional", "Navigational"]
-DEMAND = ["0–10", "10–100", "100–1K", "1K–10K", "10K+"]
-TRAFFIC = ["0–1K", "1K–5K", "5K–20K", "20K–100K", "100K+"]
-STATES = ["Strong", "Partial", "Missing"]
+LEVELS = ["Low", "Medium", "High"]
+DEMAND = ["0–50", "50–100", "100–500", "500–1K", "1K–5K", "5K+"]
+TRAFFIC = ["Unknown", "0–100", "100–500", "500–1K", "1K–5K", "5K+"]
+SIGNAL_STATES, SUMMARY_STATES = ["pass", "warn", "info"], ["fail", "warn", "pass", "info"]
 #: Weights of priorities.
 WEIGHTS = {"High": 3, "Medium": 2}
+#: Scores of signals that an answer leaves out.
+SIGNAL_SCORES = {"indexability": 50, "contentCoverage": 50, "authority": 35, "localRelevance": 40, "aiAnswerReadiness": 35}
+PROFILE = {"searchPresence": 35, "contentReach": 35, "brandDiscoverability": 30, "aiAnswerReadiness": 25}
+#: Phases of a roadmap, and the lists whose first actions fill one that is empty.
+PHASES = [
+    ("First 30 days", "Fix the highest-risk foundations", "A stable technical and conversion foundation.", "technicalPriorities", "conversionPriorities"),
+    ("Days 31–60", "Expand qualified visibility and content coverage", "Broader discovery for valuable commercial topics.", "contentPriorities", "conversionPriorities"),
+    ("Days 61–90", "Build authority, conversion and repeatable measurement", "Stronger trust, authority and measurable lead growth.", "authorityPriorities", "contentPriorities"),
+]
+ROADMAP_LISTS = ["observations", "competitorPatterns", "technicalPriorities", "contentPriorities", "authorityPriorities", "conversionPriorities", "measurementPlan", "risks"]
 
 _ITEM = "struct<title:string,detail:string,priority:string,evidence:string,action:string>"
+_STATED = "struct<status:string,title:string,detail:string,action:string>"
+_KEYWORD = "struct<keyword:string,intent:string,demandRange:string,competition:string,opportunity:string>"
+_PAGE, _CHANNEL, _TYPE = "struct<title:string,path:string>", "struct<channel:string,range:string>", "struct<type:string,reason:string>"
+_PHASE = "struct<period:string,objective:string,tasks:array<string>,kpis:array<string>,outcome:string>"
+_PLAN = "struct<phase:string,focus:string,tasks:array<string>,outcome:string>"
 SCHEMAS = {
-    "keywords": "struct<keywords:array<struct<keyword:string,intent:string,demand:string,competition:string,opportunity:string>>>",
-    "visibility": "struct<score:string,confidence:string,signals:array<struct<name:string,status:string,detail:string>>>",
-    "traffic": "struct<range:string,confidence:string,channels:array<struct<name:string,share:string>>,signals:array<struct<name:string,status:string>>>",
-    "roadmap": f"struct<quickWins:array<{_ITEM}>,priorities:array<{_ITEM}>,phases:array<struct<period:string,objective:string,tasks:array<string>,kpis:array<string>,outcome:string>>>",
-    "summary": f"struct<summary:string,strengths:array<{_ITEM}>,issues:array<{_ITEM}>,plan:array<{_ITEM}>>",
-    "schema": "struct<recommendations:array<struct<type:string,reason:string,url:string>>>",
+    "keywords": f"struct<primaryIntent:string,opportunityScore:string,demandSignal:string,confidence:string,keywords:array<{_KEYWORD}>,entities:array<string>,recommendedPages:array<{_PAGE}>,contentOutline:array<string>>",
+    "visibility": f"struct<searchReadinessScore:string,visibilityLevel:string,confidence:string,indexabilitySignal:string,contentCoverage:string,authoritySignal:string,localSignal:string,strengths:array<{_STATED}>,gaps:array<{_STATED}>,opportunities:array<{_STATED}>,signalScores:map<string,string>>",
+    "traffic": f"struct<monthlyRange:string,confidence:string,trafficMaturity:string,channelMix:array<{_CHANNEL}>,engagementBands:map<string,string>,signals:array<{_STATED}>,recommendations:array<{_STATED}>,visibilityProfile:map<string,string>,aiVisibility:struct<level:string,evidence:string,nextAction:string>>",
+    "roadmap": "struct<confidence:string,businessSummary:string,marketContext:string," + "".join(f"{k}:array<{_ITEM}>," for k in ROADMAP_LISTS) + f"roadmap:array<{_PHASE}>>",
+    "summary": f"struct<confidence:string,critical:array<{_STATED}>,quickWins:array<{_STATED}>,content:array<{_STATED}>,plan:array<{_PLAN}>>",
+    "schema": f"struct<siteIntent:string,priorityRecommendations:array<{_TYPE}>,recommendations:array<{_TYPE}>,preferredType:string>",
 }
 
 
@@ -37,70 +52,127 @@ def parse(answers: DataFrame, report: str, text: str = "text") -> DataFrame:
 
 
 def said(c: Column, fallback: str = "") -> Column:
-    plain = F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.coalesce(F.nullif(plain, F.lit("")), F.lit(fallback))
+    """A trimmed text; the fallback stands for one that is missing, not for an empty one."""
+    return F.coalesce(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(fallback))
 
 
-def _none(kind: str) -> Column:
-    return F.array().cast(f"array<{kind}>")
+def _list(c: Column, kind: str) -> Column:
+    return F.coalesce(c, F.array().cast(f"array<{kind}>"))
+
+
+def texts(c: Column, n: int) -> Column:
+    return F.slice(F.filter(F.transform(_list(c, "string"), lambda x: said(x)), lambda x: x != ""), 1, n)
 
 
 def items(c: Column, n: int = 12) -> Column:
-    """Entries with a title or a detail, at most n, with known priorities."""
-    kept = F.filter(F.coalesce(c, _none(_ITEM)), lambda x: (said(x["title"]) != "") | (said(x["detail"]) != ""))
-    return F.transform(F.slice(kept, 1, n), lambda x: F.struct(said(x["title"]).alias("title"), said(x["detail"]).alias("detail"), snap(x["priority"], LEVELS, "Medium").alias("priority"), said(x["evidence"]).alias("evidence"), said(x["action"]).alias("action")))
+    """Entries with a title or a detail, at most n."""
+    made = F.transform(_list(c, _ITEM), lambda x: F.struct(said(x["title"]).alias("title"), said(x["detail"]).alias("detail"), said(x["priority"], "Medium").alias("priority"), said(x["evidence"]).alias("evidence"), said(x["action"]).alias("action")))
+    return F.slice(F.filter(made, lambda x: (x["title"] != "") | (x["detail"] != "")), 1, n)
+
+
+def stated(c: Column, states: list[str], n: int) -> Column:
+    """Entries with a title or a detail, at most n; a status that is not among the states is info."""
+    made = F.transform(_list(c, _STATED), lambda x: F.struct(F.when(x["status"].isin(states), x["status"]).otherwise("info").alias("status"), said(x["title"]).alias("title"), said(x["detail"]).alias("detail"), said(x["action"]).alias("action")))
+    return F.slice(F.filter(made, lambda x: (x["title"] != "") | (x["detail"] != "")), 1, n)
+
+
+def confidence(c: Column) -> Column:
+    return F.when(F.lower(c) == "medium", "Medium").otherwise("Low")
+
+
+def demand_range(c: Column) -> Column:
+    plain = F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("-"), F.lit("–")), r"\s+", "")
+    return F.when(plain.isin(DEMAND), plain).otherwise("Unknown")
+
+
+def _scores(c: Column, defaults: dict[str, int]) -> Column:
+    return F.struct(*[clamp_int(F.try_element_at(c, F.lit(k)), v).alias(k) for k, v in defaults.items()])
+
+
+def _others(answers: DataFrame, made: list[Column], names: list[str]) -> DataFrame:
+    """answers without `answer`, with what was made of it; a column of the same name gives way."""
+    return answers.select(*[F.col(f"`{c}`") for c in answers.columns if c not in ("answer", *names)], *[c.alias(n) for c, n in zip(made, names, strict=True)])
 
 
 def keywords(answers: DataFrame, seed: str = "seed", n: int = 40) -> DataFrame:
     """Rows with a keyword, at most n; an answer without any gives one row for its seed."""
-    rows = F.filter(F.coalesce("answer.keywords", _none("struct<keyword:string,intent:string,demand:string,competition:string,opportunity:string>")), lambda x: said(x["keyword"]) != "")
     made = F.transform(
-        F.slice(rows, 1, n),
-        lambda x: F.struct(said(x["keyword"]).alias("keyword"), snap(x["intent"], INTENTS, "Informational").alias("intent"), snap(x["demand"], DEMAND, "10–100").alias("demand_range"), snap(x["competition"], LEVELS, "Medium").alias("competition"), clamp_int(x["opportunity"], 50).alias("opportunity")),
+        F.slice(F.filter(_list(F.col("answer.keywords"), _KEYWORD), lambda x: said(x["keyword"]) != ""), 1, n),
+        lambda x: F.struct(said(x["keyword"]).alias("keyword"), said(x["intent"], "Mixed").alias("intent"), demand_range(x["demandRange"]).alias("demand_range"), snap(x["competition"], LEVELS, "Medium").alias("competition"), clamp_int(x["opportunity"], 50).alias("opportunity")),
     )
-    one = F.array(F.struct(F.col(seed).alias("keyword"), F.lit("Informational").alias("intent"), F.lit("10–100").alias("demand_range"), F.lit("Medium").alias("competition"), F.lit(50).alias("opportunity")))
+    one = F.array(F.struct(F.col(seed).alias("keyword"), said(F.col("answer.primaryIntent"), "Mixed").alias("intent"), F.lit("Unknown").alias("demand_range"), F.lit("Medium").alias("competition"), clamp_int(F.col("answer.opportunityScore"), 50).alias("opportunity")))
     return answers.select(seed, F.inline(F.when(F.size(made) > 0, made).otherwise(one)))
 
 
-def visibility(answers: DataFrame) -> DataFrame:
-    """G02, K24."""
-    signals = F.slice(F.filter(F.coalesce("answer.signals", _none("struct<name:string,status:string,detail:string>")), lambda x: said(x["name"]) != ""), 1, 15)
-    return answers.select(
-        *[c for c in answers.columns if c not in ("answer", "score", "confidence", "signals")], clamp_int(F.col("answer.score"), 0).alias("score"), snap(F.col("answer.confidence"), ["Medium", "Low"], "Low").alias("confidence"),
-        F.transform(signals, lambda x: F.struct(said(x["name"]).alias("name"), snap(x["status"], STATES, "Partial").alias("status"), said(x["detail"], "No evidence").alias("detail"))).alias("signals"),
-    )
+def keyword_report(answers: DataFrame) -> DataFrame:
+    """What is said of the whole report."""
+    a = F.col("answer")
+    pages = F.transform(_list(a["recommendedPages"], _PAGE), lambda x: F.struct(said(x["title"]).alias("title"), said(x["path"]).alias("path")))
+    made = [said(a["primaryIntent"], "Mixed"), clamp_int(a["opportunityScore"], 50), snap(a["demandSignal"], LEVELS, "Medium"), snap(a["confidence"], ["Low", "Medium"], "Low"), texts(a["entities"], 30), F.slice(F.filter(pages, lambda x: (x["title"] != "") | (x["path"] != "")), 1, 15), texts(a["contentOutline"], 30)]
+    return _others(answers, made, ["primary_intent", "opportunity_score", "demand_signal", "confidence", "entities", "recommended_pages", "content_outline"])
+
+
+def visibility(answers: DataFrame, page_rank: Column | None = None) -> DataFrame:
+    """G02, K20, K24; page_rank, where it is known, gives the default of the authority score."""
+    a = F.col("answer")
+    scores = _scores(a["signalScores"], SIGNAL_SCORES)
+    if page_rank is not None:
+        own = F.least(F.lit(100), F.floor(page_rank * 20 + 0.5)).cast("int")
+        authority = F.when(F.try_element_at(a["signalScores"], F.lit("authority")).try_cast("double").isNull(), own)
+        scores = scores.withField("authority", F.coalesce(authority, scores["authority"]))
+    fields = {"indexabilitySignal": "Not enough evidence", "contentCoverage": "Not enough evidence", "authoritySignal": "Unverified", "localSignal": "Not assessed"}
+    made = [clamp_int(a["searchReadinessScore"], 50), said(a["visibilityLevel"], "Developing"), confidence(a["confidence"]), *[said(a[k], v) for k, v in fields.items()], *[stated(a[k], SIGNAL_STATES, 15) for k in ("strengths", "gaps", "opportunities")], scores]
+    return _others(answers, made, ["search_readiness_score", "visibility_level", "confidence", "indexability_signal", "content_coverage", "authority_signal", "local_signal", "strengths", "gaps", "opportunities", "signal_scores"])
 
 
 def traffic(answers: DataFrame) -> DataFrame:
     """G03."""
-    channels = F.slice(F.filter(F.coalesce("answer.channels", _none("struct<name:string,share:string>")), lambda x: said(x["name"]) != ""), 1, 10)
-    signals = F.slice(F.filter(F.coalesce("answer.signals", _none("struct<name:string,status:string>")), lambda x: said(x["name"]) != ""), 1, 12)
-    return answers.select(*[c for c in answers.columns if c not in ("answer", "range", "channels", "signals")], snap(F.col("answer.range"), TRAFFIC, "0–1K").alias("range"), channels.alias("channels"), F.transform(signals, lambda x: F.struct(said(x["name"]).alias("name"), snap(x["status"], STATES, "Partial").alias("status"))).alias("signals"))
+    a = F.col("answer")
+    channels = F.transform(_list(a["channelMix"], _CHANNEL), lambda x: F.struct(said(x["channel"]).alias("channel"), said(x["range"]).alias("range")))
+    ai = a["aiVisibility"]
+    seen = F.struct(said(ai["level"], "Limited").alias("level"), said(ai["evidence"], "Public evidence is limited.").alias("evidence"), said(ai["nextAction"], "Connect verified analytics and improve useful, attributable content evidence.").alias("next_action"))
+    month = said(a["monthlyRange"])
+    made = [F.when(month.isin(TRAFFIC), month).otherwise("Unknown"), confidence(a["confidence"]), said(a["trafficMaturity"], "Not enough evidence"), F.slice(F.filter(channels, lambda x: x["channel"] != ""), 1, 10), F.coalesce(a["engagementBands"], F.create_map().cast("map<string,string>")), stated(a["signals"], SIGNAL_STATES, 12), stated(a["recommendations"], SIGNAL_STATES, 12), _scores(a["visibilityProfile"], PROFILE), seen]
+    return _others(answers, made, ["monthly_range", "confidence", "traffic_maturity", "channel_mix", "engagement_bands", "signals", "recommendations", "visibility_profile", "ai_visibility"])
+
+
+def phases(c: Column) -> Column:
+    """Phases with a period, an objective or tasks, at most 6."""
+    made = F.transform(_list(c, _PHASE), lambda p: F.struct(said(p["period"]).alias("period"), said(p["objective"]).alias("objective"), texts(p["tasks"], 12).alias("tasks"), texts(p["kpis"], 8).alias("kpis"), said(p["outcome"]).alias("outcome")))
+    return F.slice(F.filter(made, lambda p: (p["period"] != "") | (p["objective"] != "") | (F.size(p["tasks"]) > 0)), 1, 6)
 
 
 def roadmap(answers: DataFrame) -> DataFrame:
-    """At most 6 phases; one without tasks takes the first five actions of both priority lists."""
-    wins, priorities = items(F.col("answer.quickWins")), items(F.col("answer.priorities"))
-    actions = F.slice(F.filter(F.transform(F.concat(wins, priorities), lambda x: F.when(x["action"] != "", x["action"]).otherwise(x["title"])), lambda x: x != ""), 1, 5)
-    texts = lambda c, n: F.slice(F.filter(F.transform(F.coalesce(c, _none("string")), said), lambda x: x != ""), 1, n)
-    phases = F.transform(
-        F.slice(F.coalesce("answer.phases", _none("struct<period:string,objective:string,tasks:array<string>,kpis:array<string>,outcome:string>")), 1, 6),
-        lambda p: F.struct(said(p["period"]).alias("period"), said(p["objective"]).alias("objective"), F.when(F.size(texts(p["tasks"], 12)) > 0, texts(p["tasks"], 12)).otherwise(actions).alias("tasks"), texts(p["kpis"], 8).alias("kpis"), said(p["outcome"]).alias("outcome")),
-    )
-    return answers.select(*[c for c in answers.columns if c not in ("answer", "quick_wins", "priorities", "phases")], wins.alias("quick_wins"), priorities.alias("priorities"), phases.alias("phases"))
+    """G04."""
+    a = F.col("answer")
+    return _others(answers, [confidence(a["confidence"]), said(a["businessSummary"]), said(a["marketContext"]), *[items(a[k]) for k in ROADMAP_LISTS], phases(a["roadmap"])], ["confidence", "businessSummary", "marketContext", *ROADMAP_LISTS, "roadmap"])
+
+
+def three_phases(roadmaps: DataFrame) -> DataFrame:
+    """Three phases of a normalised roadmap; one without tasks and objective is made of the first five entries of two lists."""
+    made = []
+    for k, (period, objective, outcome, one, two) in enumerate(PHASES):
+        given = F.get("roadmap", F.lit(k))
+        actions = F.filter(F.transform(F.slice(F.concat(one, two), 1, 5), lambda x: F.when(x["action"] != "", x["action"]).otherwise(x["title"])), lambda x: x != "")
+        filled = F.struct(F.lit(period).alias("period"), F.lit(objective).alias("objective"), actions.alias("tasks"), F.array().cast("array<string>").alias("kpis"), F.lit(outcome).alias("outcome"))
+        made.append(F.when((F.size(given["tasks"]) > 0) | (given["objective"] != ""), given).otherwise(filled))
+    return roadmaps.withColumn("phases", F.array(*made))
 
 
 def summary(answers: DataFrame) -> DataFrame:
     """G05."""
-    return answers.select(*[c for c in answers.columns if c not in ("answer", "summary", "strengths", "issues", "plan")], said(F.col("answer.summary")).alias("summary"), items(F.col("answer.strengths")).alias("strengths"), items(F.col("answer.issues")).alias("issues"), items(F.col("answer.plan"), 8).alias("plan"))
+    a = F.col("answer")
+    plan = F.transform(_list(a["plan"], _PLAN), lambda p: F.struct(said(p["phase"]).alias("phase"), said(p["focus"]).alias("focus"), texts(p["tasks"], 12).alias("tasks"), said(p["outcome"]).alias("outcome")))
+    kept = F.slice(F.filter(plan, lambda p: (p["phase"] != "") | (p["focus"] != "") | (F.size(p["tasks"]) > 0)), 1, 8)
+    return _others(answers, [confidence(a["confidence"]), *[stated(a[k], SUMMARY_STATES, 12) for k in ("critical", "quickWins", "content")], kept], ["confidence", "critical", "quick_wins", "content", "plan"])
 
 
 def schema_recommendations(answers: DataFrame, n: int = 20) -> DataFrame:
     """Type and reason are required; an answer without any gives WebPage."""
-    rows = F.filter(F.coalesce("answer.recommendations", _none("struct<type:string,reason:string,url:string>")), lambda x: (said(x["type"]) != "") & (said(x["reason"]) != ""))
-    one = F.array(F.struct(F.lit("WebPage").alias("type"), F.lit("Default").alias("reason"), F.lit(None).cast("string").alias("url")))
-    others = [c for c in answers.columns if c not in ("answer", "type", "reason", "url")]
-    return answers.select(*others, F.inline(F.when(F.size(rows) > 0, F.slice(rows, 1, n)).otherwise(one)))
+    rows = F.transform(_list(F.coalesce("answer.priorityRecommendations", "answer.recommendations"), _TYPE), lambda x: F.struct(said(x["type"]).alias("type"), said(x["reason"]).alias("reason")))
+    rows = F.slice(F.filter(rows, lambda x: (x["type"] != "") & (x["reason"] != "")), 1, n)
+    one = F.array(F.struct(F.lit("WebPage").alias("type"), F.lit("WebPage is a safe general type for a standard page.").alias("reason")))
+    return answers.select(*[F.col(f"`{c}`") for c in answers.columns if c not in ("answer", "type", "reason")], F.inline(F.when(F.size(rows) > 0, rows).otherwise(one)))
 
 
 def workload(rows: DataFrame, by: str = "workstream") -> DataFrame:
@@ -113,4 +185,4 @@ def workload(rows: DataFrame, by: str = "workstream") -> DataFrame:
 
 def status_histogram(rows: DataFrame) -> DataFrame:
     """A19."""
-    return rows.agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in STATES])
+    return rows.agg(*[F.count_if(F.col("status") == s).alias(s) for s in SUMMARY_STATES])

@@ -14,15 +14,39 @@ FIELD = "struct<record:struct<metrics:map<string,struct<percentiles:struct<p75:s
 #: Lab audits and field measurements of the metrics.
 LAB_METRICS = {"LCP": "largest-contentful-paint", "CLS": "cumulative-layout-shift", "FCP": "first-contentful-paint", "TBT": "total-blocking-time", "TTFB": "server-response-time"}
 FIELD_METRICS = {"LCP": "largest_contentful_paint", "INP": "interaction_to_next_paint", "CLS": "cumulative_layout_shift", "FCP": "first_contentful_paint", "TTFB": "experimental_time_to_first_byte"}
-#: Which diagnostics explain a metric, most telling first.
+#: Which diagnostics explain a metric, most telling first.
 CAUSES = {
-    "LCP": ["render-blocking-resources", "largest-contentful-paint-element", "server-response-time", "unused-javascript"],
-    "TBT": ["bootup-time", "mainthread-work-breakdown", "unused-javascript"],
-    "CLS": ["layout-shifts", "unsized-images"],
+    "LCP": ["largest-contentful-paint-element", "server-response-time", "render-blocking-resources", "uses-optimized-images", "uses-responsive-images"],
+    "CLS": ["layout-shifts"],
+    "INP": ["long-tasks", "bootup-time", "mainthread-work-breakdown", "unused-javascript"],
 }
+#: Of which diagnostics the highest ranked one is taken.
+RANKED_CAUSES = {
+    "LCP": ["largest-contentful-paint-element", "server-response-time", "render-blocking-resources"],
+    "CLS": ["layout-shifts"],
+    "INP": ["long-tasks", "unused-javascript", "bootup-time", "mainthread-work-breakdown"],
+}
+#: The audits that are diagnostics, in their order.
+AUDITS = [
+    "largest-contentful-paint-element", "layout-shifts", "unused-css-rules", "unused-javascript", "render-blocking-resources", "long-tasks",
+    "bootup-time", "mainthread-work-breakdown", "server-response-time", "offscreen-images", "uses-optimized-images", "uses-responsive-images",
+]
 #: What mends a diagnostic; others get a general advice.
-FIXES = {"render-blocking-resources": "Defer what blocks rendering.", "unused-javascript": "Load less script.", "unused-css-rules": "Load fewer styles.", "unsized-images": "Give images a width and a height.", "server-response-time": "Answer faster."}
-ADVICE = "Review this audit."
+FIXES = {
+    "unused-css-rules": "Remove unused selectors, split page-specific CSS, purge framework output, and load non-critical styles after the first render.",
+    "unused-javascript": "Remove unused bundles, tree-shake dependencies, code-split by route, delay third-party scripts, and load non-critical JavaScript after interaction.",
+    "render-blocking-resources": "Inline critical CSS, defer non-critical styles, add defer/async to safe scripts, and preload only the resources required above the fold.",
+    "largest-contentful-paint-element": "Optimise and preload the LCP asset, reduce server response time, avoid lazy-loading the hero image, and remove render-blocking work before it paints.",
+    "layout-shifts": "Reserve width and height for images, embeds and ads; avoid inserting content above existing elements; and stabilise fonts with appropriate preload and fallback metrics.",
+    "long-tasks": "Break long JavaScript tasks into smaller work, reduce main-thread execution, move heavy processing to web workers, and delay optional scripts.",
+    "bootup-time": "Reduce JavaScript parse and execution cost, ship smaller bundles, remove duplicate libraries, and defer third-party code.",
+    "mainthread-work-breakdown": "Reduce script evaluation, style recalculation and layout work; simplify DOM structure and limit expensive client-side rendering.",
+    "server-response-time": "Improve hosting, caching, database queries and backend processing; use a CDN and full-page caching where appropriate.",
+    "offscreen-images": "Lazy-load below-the-fold images while keeping the hero/LCP image eager.",
+    "uses-optimized-images": "Compress images, use AVIF/WebP, resize to rendered dimensions and avoid oversized originals.",
+    "uses-responsive-images": "Use srcset and sizes so each device downloads an appropriately sized image.",
+}
+ADVICE = "Review the affected resources and reduce the work required before the page becomes stable and interactive."
 
 
 def lab(documents: DataFrame) -> DataFrame:
@@ -74,10 +98,11 @@ def fix_for(audit: Column) -> Column:
     return out
 
 
-def diagnostics(parsed: DataFrame) -> DataFrame:
+def diagnostics(parsed: DataFrame, audits: list[str] | None = None) -> DataFrame:
     """Audits that leave something to do, ranked by what they would save; ties keep their order."""
-    rows = parsed.select("url", "strategy", F.posexplode(F.map_entries("lab.audits")).alias("ord", "e")).select("url", "strategy", "ord", F.col("e.key").alias("id"), F.col("e.value").alias("a"))
-    rows = rows.where("a is not null and (a.score is null or a.score < 1) and coalesce(a.scoreDisplayMode, '') <> 'notApplicable'")
+    listed = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(x).alias("id"), F.try_element_at(F.col("lab.audits"), F.lit(x)).alias("a")) for k, x in enumerate(audits or AUDITS)])
+    rows = parsed.select("url", "strategy", F.inline(listed))
+    rows = rows.where("a is not null and (a.score is null or a.score <> 1) and coalesce(a.scoreDisplayMode, '') <> 'notApplicable'")
     out = rows.select(
         "url", "strategy", "ord", "id", diagnostic_status(F.col("a.score")).alias("status"), "a.title", strip_markdown_links(F.col("a.description")).alias("description"), F.col("a.displayValue").alias("display_value"),
         F.coalesce("a.details.overallSavingsMs", F.lit(0.0)).alias("savings_ms"), F.coalesce("a.details.overallSavingsBytes", F.lit(0.0)).alias("savings_bytes"), fix_for(F.col("id")).alias("fix"), F.col("a.details.items").alias("items"),
@@ -97,7 +122,7 @@ def _causes(spark, causes: dict[str, list[str]]) -> DataFrame:
 def primary_cause(found: DataFrame, causes: dict[str, list[str]] | None = None, by_rank: bool = False) -> DataFrame:
     """For each document and metric the most preferred diagnostic that is there; J10 (by_rank): the highest ranked
     of those listed."""
-    hit = found.join(_causes(found.sparkSession, causes or CAUSES), "id")
+    hit = found.join(_causes(found.sparkSession, causes or (RANKED_CAUSES if by_rank else CAUSES)), "id")
     return hit.groupBy("url", "strategy", "metric").agg(F.min_by("id", "rank" if by_rank else "preference").alias("cause"))
 
 

@@ -5,24 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fields that a type should have; a table of more types is a parameter of the functions below.
+#: Fields that a type should have; another table is a parameter of the functions below.
 EXPECTED = {
-    "Organization": ["name", "url", "logo", "sameAs"],
-    "LocalBusiness": ["name", "address", "telephone", "url"],
-    "WebSite": ["name", "url"],
-    "WebPage": ["name", "url", "description"],
-    "Article": ["headline", "author", "datePublished", "image"],
-    "BlogPosting": ["headline", "author", "datePublished", "image"],
-    "Product": ["name", "image", "description", "offers"],
+    "Organization": ["name", "url"],
+    "LocalBusiness": ["name", "address", "telephone"],
+    "Service": ["name", "provider"],
+    "Product": ["name", "image", "offers"],
     "Offer": ["price", "priceCurrency", "availability"],
-    "FAQPage": ["mainEntity"],
+    "Article": ["headline", "author", "datePublished", "image"],
+    "NewsArticle": ["headline", "author", "datePublished", "image"],
+    "BlogPosting": ["headline", "author", "datePublished"],
     "BreadcrumbList": ["itemListElement"],
     "Event": ["name", "startDate", "location"],
+    "JobPosting": ["title", "description", "datePosted", "hiringOrganization"],
+    "Course": ["name", "description", "provider"],
     "Recipe": ["name", "image", "recipeIngredient"],
-    "Person": ["name", "url"],
-    "Service": ["name", "provider", "areaServed"],
-    "VideoObject": ["name", "description", "thumbnailUrl", "uploadDate"],
+    "VideoObject": ["name", "thumbnailUrl", "uploadDate"],
+    "SoftwareApplication": ["name", "operatingSystem"],
+    "Person": ["name"],
+    "ProfilePage": ["mainEntity"],
+    "Dataset": ["name", "description"],
+    "WebSite": ["name", "url"],
+    "WebPage": ["name", "url"],
+    "FAQPage": ["mainEntity"],
+    "HowTo": ["name", "step"],
+    "LodgingBusiness": ["name", "address"],
+    "Hotel": ["name", "address"],
+    "Resort": ["name", "address"],
+    "VacationRental": ["name", "address"],
+    "EducationalOrganization": ["name", "url"],
+    "School": ["name", "url"],
+    "CollegeOrUniversity": ["name", "url"],
+    "ProfessionalService": ["name", "address"],
+    "MedicalOrganization": ["name", "address"],
+    "Restaurant": ["name", "address"],
+    "Store": ["name", "address"],
+    "RealEstateAgent": ["name", "address"],
+    "TravelAgency": ["name", "address"],
 }
+#: Types whose template has a postal address.
+ADDRESSED = [
+    "Organization", "LocalBusiness", "LodgingBusiness", "Hotel", "Resort", "VacationRental", "EducationalOrganization", "School", "CollegeOrUniversity",
+    "ProfessionalService", "MedicalOrganization", "Restaurant", "Store", "RealEstateAgent", "TravelAgency",
+]
 
 
 def field_gaps(objects: DataFrame, expected: dict[str, list[str]] | None = None) -> DataFrame:
@@ -63,14 +88,28 @@ def recommendations(pages: DataFrame, recs: DataFrame, order: str = "ord") -> Da
     return out.select(*pages.columns, F.coalesce("own", "general", F.lit("WebPage")).alias("recommended"))
 
 
-def template(kind: Column, name: Column, url: Column, description: Column) -> Column:
+def template(kind: Column, name: Column, url: Column, description: Column, site_name: Column | None = None, image: Column | None = None) -> Column:
     """A JSON-LD text for a type; what is not known is empty."""
-    given = lambda c: F.coalesce(c, F.lit(""))
-    base = [F.lit("https://schema.org").alias("@context"), kind.alias("@type")]
-    article = F.to_json(F.struct(*base, given(name).alias("headline"), given(description).alias("description"), given(url).alias("mainEntityOfPage"), F.lit("").alias("datePublished")), {"pretty": "true"})
-    product = F.to_json(F.struct(*base, given(name).alias("name"), given(description).alias("description"), F.struct(F.lit("Offer").alias("@type"), F.lit("").alias("price"), F.lit("").alias("priceCurrency")).alias("offers")), {"pretty": "true"})
-    other = F.to_json(F.struct(*base, given(name).alias("name"), given(url).alias("url"), given(description).alias("description")), {"pretty": "true"})
-    return F.when(kind.isin("Article", "BlogPosting", "NewsArticle"), article).when(kind == "Product", product).otherwise(other)
+    known = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit(""))
+    nothing = F.lit("")
+    site, picture = (nothing if c is None else c for c in (site_name, image))
+    typed = lambda t, *fields: F.struct(F.lit(t).alias("@type"), *fields)
+    head = [F.lit("https://schema.org").alias("@context"), kind.alias("@type")]
+    rest = [known(url).alias("url"), known(description).alias("description")]
+    base = [*head, known(name, F.lit("Page")).alias("name"), *rest]
+    home = F.regexp_extract(url, r"(?i)^(https?://[^/?#]*)", 1)
+    empty = lambda *names: [nothing.alias(n) for n in names]
+    texts = {
+        "addressed": [*head, known(site, F.lit("Organization")).alias("name"), *rest, known(picture).alias("logo"), *empty("email", "telephone"), typed("PostalAddress", *empty("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry")).alias("address")],
+        "service": [*base, known(name).alias("serviceType"), *empty("areaServed"), typed("Organization", known(site, F.lit("Organization")).alias("name"), home.alias("url")).alias("provider")],
+        "article": [*base, known(name).alias("headline"), typed("Organization", known(site, F.lit("Publisher")).alias("name")).alias("author"), *empty("datePublished", "dateModified"), known(picture).alias("image")],
+        "product": [*base, known(picture).alias("image"), *empty("sku"), typed("Offer", *empty("priceCurrency", "price"), F.lit("https://schema.org/InStock").alias("availability"), known(url).alias("url")).alias("offers")],
+        "crumbs": [*head, F.array(*[typed("ListItem", F.lit(k).alias("position"), n.alias("name"), u.alias("item")) for k, n, u in ((1, F.lit("Home"), home), (2, known(name), known(url)))]).alias("itemListElement")],
+        "other": base,
+    }
+    made = {k: F.to_json(F.struct(*v), {"pretty": "true"}) for k, v in texts.items()}
+    out = F.when(kind.isin(ADDRESSED), made["addressed"]).when(kind == "Service", made["service"]).when(kind.isin("Article", "BlogPosting", "NewsArticle"), made["article"])
+    return out.when(kind == "Product", made["product"]).when(kind == "BreadcrumbList", made["crumbs"]).otherwise(made["other"])
 
 
 def chosen_type(requested: Column, supported: list[str], preferred: str | None) -> Column:

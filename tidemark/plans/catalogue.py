@@ -290,7 +290,7 @@ def k_metric_buckets(spark, sf_dir):
     return m.groupBy("metric", N.metric_bucket(F.col("metric"), F.col("value")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-_DIAGNOSTICS = [("u1", "m", 0, "unused-javascript", 300.0, 90000.0), ("u1", "m", 1, "render-blocking-resources", 390.0, 0.0), ("u1", "m", 2, "bootup-time", 100.0, 0.0), ("u2", "m", 0, "unsized-images", 0.0, 0.0), ("u2", "m", 1, "unused-javascript", 0.0, 5000.0)]
+_DIAGNOSTICS = [("u1", "m", 0, "unused-javascript", 300.0, 90000.0), ("u1", "m", 1, "render-blocking-resources", 390.0, 0.0), ("u1", "m", 2, "bootup-time", 100.0, 0.0), ("u2", "m", 0, "layout-shifts", 0.0, 0.0), ("u2", "m", 1, "unused-javascript", 0.0, 5000.0)]
 _DIAGNOSTICS_SQL = "d(url, strategy, ord, id, savings_ms, savings_bytes) AS (VALUES " + ", ".join(f"('{u}', '{s}', {o}, '{i}', {m}::DOUBLE, {b}::DOUBLE)" for u, s, o, i, m, b in _DIAGNOSTICS) + "), r AS (SELECT *, row_number() OVER (PARTITION BY url, strategy ORDER BY savings_ms + savings_bytes / 1000 DESC, ord)::INTEGER AS rank FROM d)"
 
 
@@ -303,15 +303,16 @@ def l_ranked_diagnostics(spark, sf_dir):
     return _diagnostics(spark).select("url", "id", "rank")
 
 
-_CAUSES_SQL = "c(metric, id, preference) AS (VALUES " + ", ".join(f"('{m}', '{i}', {k})" for m, ids in performance.CAUSES.items() for k, i in enumerate(ids)) + ")"
+def _causes_sql(causes: dict[str, list[str]]) -> str:
+    return "c(metric, id, preference) AS (VALUES " + ", ".join(f"('{m}', '{i}', {k})" for m, ids in causes.items() for k, i in enumerate(ids)) + ")"
 
 
-@query(f"WITH {_DIAGNOSTICS_SQL}, {_CAUSES_SQL} SELECT url, metric, arg_min(id, preference) AS cause FROM r JOIN c USING (id) GROUP BY ALL")
+@query(f"WITH {_DIAGNOSTICS_SQL}, {_causes_sql(performance.CAUSES)} SELECT url, metric, arg_min(id, preference) AS cause FROM r JOIN c USING (id) GROUP BY ALL")
 def j_primary_cause(spark, sf_dir):
     return performance.primary_cause(_diagnostics(spark)).select("url", "metric", "cause")
 
 
-@query(f"WITH {_DIAGNOSTICS_SQL}, {_CAUSES_SQL} SELECT url, metric, arg_min(id, rank) AS cause FROM r JOIN c USING (id) GROUP BY ALL")
+@query(f"WITH {_DIAGNOSTICS_SQL}, {_causes_sql(performance.RANKED_CAUSES)} SELECT url, metric, arg_min(id, rank) AS cause FROM r JOIN c USING (id) GROUP BY ALL")
 def j_ranked_cause(spark, sf_dir):
     return performance.primary_cause(_diagnostics(spark), by_rank=True).select("url", "metric", "cause")
 
@@ -329,22 +330,29 @@ def n_jsonld_types(spark, sf_dir):
     return pages.walk_types(spark.createDataFrame([(u, k, r) for k, (u, r) in enumerate(_BLOCKS)], "page_url string, block int, raw string")).select("page_url", "type")
 
 
-@query("SELECT * FROM (VALUES ('p1', 'Product', 'image,description'), ('p2', 'WebSite', 'url'), ('p3', 'Odd', '')) t(page_url, type, missing)")
+@query("SELECT * FROM (VALUES ('p1', 'Product', 'image'), ('p2', 'WebSite', 'url'), ('p3', 'Odd', '')) t(page_url, type, missing)")
 def n_field_gaps(spark, sf_dir):
     rows = spark.createDataFrame([("p1", "Product", '{"name":"x","offers":{"price":1}}'), ("p2", "WebSite", '{"name":"n","url":""}'), ("p3", "Odd", "{}")], "page_url string, type string, body string")
     return structured.field_gaps(rows).select("page_url", "type", F.array_join("missing", ",").alias("missing"))
 
 
-@query("""SELECT * FROM (VALUES ('a.csv', 'source', 'https://blog.one.com/x'), ('a.csv', 'target', 'https://shop.com/'), ('b.txt', 'domain', 'two.org'), ('b.txt', 'source', 'https://three.net/p,q')) t(filename, kind, value)""")
+@query("""SELECT * FROM (VALUES ('a.csv', 'source', 'https://blog.one.com/x'), ('a.csv', 'target', 'https://shop.com/'), ('a.csv', 'source', 'https://four.io/'), ('b.txt', 'source', 'https://www.two.org/'), ('b.txt', 'source', 'https://three.net/p,q'),
+('b.txt', 'target', 'https://m.shop.com/z'), ('b.txt', 'ignored', ''), ('c.csv', 'domain', 'five.co.uk'), ('c.csv', 'target', 'https://other.shop.com/')) t(filename, kind, value)""")
 def d_import_classify(spark, sf_dir):
-    files = [("a.csv", "﻿Source URL;Target URL\r\nblog.one.com/x;shop.com\r\n\r\n"), ("b.txt", 'www.two.org\n"https://three.net/p,q"\n')]
-    return delimited.classify(spark.createDataFrame(files, "filename string, body string")).where("kind <> 'ignored'").select("filename", "kind", "value")
+    files = [
+        ("a.csv", "\ufeffSource URL;Target URL;Last crawled\r\nblog.one.com/x;shop.com#f;3\r\n\r\nn/a;-;four.io\r\n", "https://www.shop.com/"),
+        ("b.txt", 'www.two.org\n"https://three.net/p,q"\nm.shop.com/z\nnothing here\n', "https://www.shop.com/"),
+        ("c.csv", "Site,Links\nblog.five.co.uk,1\nother.shop.com,2.5\n", "https://www.shop.com/"),
+    ]
+    got = delimited.classify(spark.createDataFrame(files, "filename string, body string, target_url string"))
+    return got.select("filename", "kind", "value")
 
 
-@query("""SELECT * FROM (VALUES ('s1', 'a', 'Commercial', '1K–10K', 'High', 100), ('s1', 'b', 'Informational', '10–100', 'Medium', 50), ('s2', 's2', 'Informational', '10–100', 'Medium', 50)) t(seed, keyword, intent, demand_range, competition, opportunity)""")
+@query("""SELECT * FROM (VALUES ('s1', 'a', 'COMMERCIAL', '1K–5K', 'High', 100), ('s1', 'b', '?', 'Unknown', 'Medium', 50), ('s2', 's2', 'Mixed', 'Unknown', 'Medium', 50), ('s3', 's3', 'Local', 'Unknown', 'Medium', 71)) t(seed, keyword, intent, demand_range, competition, opportunity)""")
 def g_keyword_normalise(spark, sf_dir):
-    said = '```json\n{"keywords":[{"keyword":" a ","intent":"COMMERCIAL","demand":"1k-10k","competition":"high","opportunity":"140"},{"keyword":"b","intent":"?","opportunity":null},{"keyword":""}]}\n```'
-    return normalise.keywords(normalise.parse(spark.createDataFrame([("s1", said), ("s2", "no answer")], "seed string, text string"), "keywords"))
+    said = '```json\n{"keywords":[{"keyword":" a ","intent":"COMMERCIAL","demandRange":"1K - 5K","competition":"high","opportunity":"140"},{"keyword":"b","intent":"?","demandRange":"1k-5k"},{"keyword":""}]}\n```'
+    none = '{"primaryIntent":"Local","opportunityScore":70.5,"keywords":[]}'
+    return normalise.keywords(normalise.parse(spark.createDataFrame([("s1", said), ("s2", "no answer"), ("s3", none)], "seed string, text string"), "keywords"))
 
 
 @query(f"""WITH {_FINDINGS}, c AS (SELECT count_if(severity = 'critical') AS critical, count_if(severity = 'warning') AS warnings FROM findings),

@@ -8,11 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.urls import clean_cell, import_domain, import_url
+from tidemark.functions.urls import clean_cell, host, import_domain, import_url, root_domain
 
 DELIMITERS, SNIFFED, CAPS = [",", ";", "\t"], 8, {"source": 5000, "domain": 2000, "target": 5000}
-#: Words in a header that tell what a column holds.
-ROLES = [("target", r"target|destination|landing|to url|link url"), ("source", r"source|referring page|from|backlink|page url|^url$"), ("domain", r"domain|host|site")]
+#: What a header says that tells what a column holds, and names by which a header is known.
+ROLES = {
+    "source": r"linking page|source page|source url|backlink|linking url|referring page|from page",
+    "domain": r"^site$|linking site|referring domain|^domain$",
+    "target": r"target page|target url|linked page|destination",
+}
+HEADERS = r"^(?:linking page|source page|source url|backlink|linking url|referring page|from page|site|linking site|referring domain|domain|target page|target url|linked page|destination|last crawled|links?|pages?)$"
 
 
 def delimiter(body: Column) -> Column:
@@ -47,33 +52,52 @@ def records(body: Column, delim: Column) -> Column:
     return out
 
 
-def role(header: Column) -> Column:
-    """D04."""
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(ROLES):
-        out = F.when(F.rlike(F.lower(F.trim(header)), F.lit(pattern)), name).otherwise(out)
-    return out
+def _links(cell: Column, own: Column, always: str | None = None) -> Column:
+    """A URL as an array of (kind, value), empty if the cell is none: a page of the own site, or of a target column, is a target."""
+    url = F.transform(F.array(import_url(cell)), lambda u: F.struct(F.when(F.lit(always == "target") | (root_domain(host(u)) == own), "target").otherwise("source").alias("kind"), u.alias("value")))
+    return F.filter(url, lambda x: x["value"] != "")
+
+
+def _domains(cell: Column, own: Column) -> Column:
+    name = F.transform(F.array(import_domain(cell)), lambda d: F.struct(F.lit("domain").alias("kind"), d.alias("value")))
+    return F.filter(name, lambda x: (x["value"] != "") & (x["value"] != own))
 
 
 def classify(files: DataFrame) -> DataFrame:
-    """Files (filename, body) to filename, kind, value, ord; kind is source, domain, target or ignored.
-
-    With a header, columns keep their roles; without, a cell that is a URL is a source, and one that is a domain a domain."""
-    rows = files.select("filename", records(F.col("body"), delimiter(F.col("body"))).alias("rows"))
-    roles = F.transform(F.coalesce(F.get("rows", F.lit(0)), F.array().cast("array<string>")), role)
-    rows = rows.withColumn("roles", roles).withColumn("headed", F.exists("roles", lambda r: r.isNotNull()))
-    cells = rows.select("filename", "roles", "headed", F.posexplode("rows").alias("line", "row")).where("not (headed and line = 0)")
-    cells = cells.select("filename", "line", "headed", "roles", F.posexplode("row").alias("col", "cell"))
-    own = F.when(F.col("headed"), F.get("roles", F.col("col")))
-    url, domain = import_url(F.col("cell")), import_domain(F.col("cell"))
-    is_url = F.rlike(clean_cell(F.col("cell")), F.lit(r"(?i)^(https?:)?//|/"))
-    kind = F.when(F.col("headed") & own.isNull(), None).when(own.isin("source", "target") & (url != ""), own).when((own == "domain") & (domain != ""), "domain").when(~F.col("headed") & is_url & (url != ""), "source").when(~F.col("headed") & (domain != ""), "domain")
-    found = cells.select("filename", "line", "col", kind.alias("kind"), F.when(kind == "domain", domain).otherwise(url).alias("value"))
-    by_line = F.count("kind").over(Window.partitionBy("filename", "line"))
-    marked = found.withColumn("_n", by_line)
-    ignored = marked.where("_n = 0 and col = 0").select("filename", F.lit("ignored").alias("kind"), F.lit("").alias("value"), F.col("line").alias("ord"))
-    kept = marked.where("kind is not null").groupBy("filename", "kind", "value").agg(F.min(F.col("line") * 1000 + F.col("col")).alias("ord"))
-    return kept.select("filename", "kind", "value", "ord").union(ignored)
+    """Files (filename, body, and target_url if it is known) to filename, kind, value, ord; kind is source, domain,
+    target or ignored.
+
+    Columns that the first row names keep their roles.  A row of which these give nothing is looked through cell by cell:
+    a URL of the own site is a target, another a source, and what is a domain a domain.  A row without any is ignored;
+    blank rows are not counted.  Values are distinct within a kind.  All of it is within the rows, but for the last step."""
+    own = root_domain(host(F.col("target_url"))) if "target_url" in files.columns else F.lit("")
+    rows = files.select("filename", own.alias("own"), records(F.col("body"), delimiter(F.col("body"))).alias("rows"))
+    headers = F.transform(F.coalesce(F.get("rows", F.lit(0)), F.array().cast("array<string>")), lambda h: F.lower(clean_cell(h)))
+    rows = rows.withColumn("headers", headers)
+    at = {name: F.array_position(F.transform("headers", lambda h: F.rlike(h, F.lit(pattern))), True).alias(name) for name, pattern in ROLES.items()}  # noqa: B023
+    rows = rows.select("filename", "own", "rows", F.exists("headers", lambda h: F.rlike(h, F.lit(HEADERS))).alias("headed"), F.struct(*at.values()).alias("at"))
+    lines = rows.select("filename", "own", "headed", "at", F.posexplode("rows").alias("line", "row")).where("not (headed and line = 0)").where(F.exists("row", lambda c: clean_cell(c) != ""))
+    cell = {name: F.when(F.col(f"at.{name}") > 0, F.get("row", F.col(f"at.{name}") - 1)) for name in ROLES}
+    named = F.concat(_links(cell["source"], F.col("own"), "source"), _links(cell["target"], F.col("own"), "target"), _domains(cell["domain"], F.col("own")))
+    lines = lines.withColumn("found", named)
+
+    def look(c: Column) -> Column:
+        links = _links(c, F.col("own"))
+        return F.when(F.size(links) > 0, links).when(F.rlike(clean_cell(c), F.lit(r"^\d+(?:\.\d+)?$")), F.slice(links, 1, 0)).otherwise(_domains(c, F.col("own")))
+
+    lines = lines.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(F.flatten(F.transform("row", look))))
+    nothing = F.array(F.struct(F.lit("ignored").alias("kind"), F.lit("").alias("value")))
+    each = lines.select("filename", "line", F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(nothing)).alias("pos", "x"))
+    each = each.select("filename", "x.kind", "x.value", (F.col("line").cast("long") * 100_000 + F.col("pos")).alias("ord"))
+    kept = each.where("kind <> 'ignored'").groupBy("filename", "kind", "value").agg(F.min("ord").alias("ord"))
+    return kept.union(each.where("kind = 'ignored'"))
+
+
+def kinds(classified: DataFrame) -> DataFrame:
+    """What each file is, by what it holds, and how many of each there are."""
+    counts = {k: F.count_if(F.col("kind") == k) for k in ("source", "domain", "target", "ignored")}
+    kind = F.when(F.col("source") > 0, "source-pages").when(F.col("domain") > 0, "referring-domains").when(F.col("target") > 0, "target-pages-only").otherwise("unrecognised")
+    return classified.groupBy("filename").agg(*[c.alias(k) for k, c in counts.items()]).withColumn("file_kind", kind)
 
 
 def capped(classified: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
