@@ -99,6 +99,13 @@ def test_line_dedup_merges_in_stretches(spark, monkeypatch):
     assert got == brute_line_dedup(rows, 4)
 
 
+def test_line_dedup_of_one_line_that_repeats_over_many_stretches(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "STRETCH", 3)
+    rows = [(k, "\n".join(["a b"] * n)) for k, n in enumerate((40, 1, 17, 40))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOCS), 4).collect()}
+    assert got == brute_line_dedup(rows, 4)
+
+
 def test_line_dedup_odd_rows(spark):
     line = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(None, line, "x"), (1, line, "x"), (1, line, "x"), (2, None, "x"), (3, "", "x")], DOCS + ", n_lines string")

@@ -151,16 +151,18 @@ def _merger(last: bool):
 def earlier_runs(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
     """(sid, p, lcp): for each place, the lines of the longest run from there that also starts at an earlier place; none if 0."""
     schema = "done boolean, idx long, sid long, d long, t long, p int, lcp int"
-    found, rest, n, k = [], suffixes, suffixes.count(), 0
+    found, rest, n, k, stretch = [], suffixes, suffixes.count(), 0, STRETCH
     while True:
-        last = n <= STRETCH
-        dealt = rest.repartition(1) if last else rest.repartitionByRange(max(2, -(-n // STRETCH)), "idx")
+        last = n <= stretch
+        dealt = rest.repartition(1) if last else rest.repartitionByRange(max(2, -(-n // stretch)), "idx")
         merged = scratch.keep(dealt.sortWithinPartitions("idx").mapInArrow(_merger(last), schema), f"merged-{k}")
         found.append(merged.where("done").select("sid", "p", "lcp"))
         rest, k = merged.where("not done").drop("done"), k + 1
         if last:
             break
-        n = rest.count()
+        before, n = n, rest.count()
+        if 2 * n > before:  # as where one line repeats and lcp only rises; a task holds at most the lines of the longest segment
+            stretch *= 2
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
