@@ -43,9 +43,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     return once.select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.posexplode("a").alias("p", "x")).select("d", "t", "p", "x.h1", "x.h2", "x.w")
 
 
-def _segments(lines: DataFrame) -> DataFrame:
+def _segments(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """(d, t, p, lines): maximal stretches of lines that occur elsewhere, with the place of the first line."""
-    repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    # written, as Spark splits the rows of a common line only if the join reads both sides from exchanges of its own
+    repeated = scratch.keep(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "repeated")
     by_doc = lines.join(repeated, ["h1", "h2"]).groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("p", "h1", "h2", "w"))).alias("a"))
     begins = F.filter(F.sequence(F.lit(0), F.size("a") - 1), lambda k: (k == 0) | (F.get("a", k - 1)["p"] != F.get("a", k)["p"] - 1))
     cut = by_doc.withColumn("at", begins).select("d", "t", "a", "at", F.posexplode("at").alias("k", "from"))
@@ -202,9 +203,9 @@ def _masks(batches):
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, t, mask): for each document with later copies, which of its lines are in one."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    segments = _segments(scratch.keep(_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "lines"))
+    segments = _segments(scratch.keep(_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "lines"), scratch)
     segments = scratch.keep(segments.select(F.monotonically_increasing_id().alias("sid"), "*", F.xxhash64("lines").alias("g1"), F.xxhash64(F.lit(11), "lines").alias("g2")), "segments")
-    scratch.drop("lines")
+    scratch.drop("lines", "repeated")
     first = segments.groupBy("g1", "g2").agg(F.min(F.struct("d", "t", "p")).alias("f"))
     marked = segments.join(first, ["g1", "g2"])
     is_first = F.col("d").eqNullSafe(F.col("f.d")) & (F.col("t") == F.col("f.t")) & (F.col("p") == F.col("f.p"))
