@@ -237,6 +237,18 @@ def test_licenses(spark):
     assert got == {(1, "MIT"), (4, "Apache-2.0")}
 
 
+def test_licenses_of_alike_wording(spark):
+    notice = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    filler = " ".join(f"word{k}" for k in range(80))
+    texts = {"GPL-2.0": notice.format("General Public License", 2), "GPL-3.0": notice.format("General Public License", 3), "LGPL-2.1": notice.format("Lesser General Public License", "2.1"), "AGPL-3.0": notice.format("Affero General Public License", 3)}
+    rows = [(f"{x} notice", f"{filler} {t} {filler}") for x, t in texts.items()] + [(f"{x} body", f"{filler} {t} {filler}") for x, t in licenses.bodies()]
+    rows += [("GPL-2.0 line", "This work is licensed under the GNU General Public License, version 2."), ("GPL-2.0 GPL-3.0 both", f"{texts['GPL-2.0']} {filler} {texts['GPL-3.0']}")]
+    got = {k: set() for k, _ in rows}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        got[r["doc_id"]].add(r["license"])
+    assert got == {k: set(k.split()[:-1]) for k, _ in rows}
+
+
 def test_url_rules_and_trees(spark):
     urls = ["http://a.com/x", "https://example.com/en/1", "https://www.Example.com/en/1?q", "http://x.net/es/", "http://net.org/fr/", None, "no scheme", "http://b.com", "https://sub.example.com/en/#t"]
     rows = spark.createDataFrame([(k, u, "v") for k, u in enumerate(urls)], "page_id long, url string, host string")
