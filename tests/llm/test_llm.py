@@ -210,6 +210,17 @@ def test_held_out_accuracy(spark, name, column, least):
     assert accuracy([r for r in rows if r["held_out"] and r["doc_id"] in truth], truth) >= least
 
 
+@pytest.mark.parametrize("good, bad", [("天地玄黄宇宙洪荒日月盈昃", "甲乙丙丁戊己庚辛壬癸子丑"), ("добро правда дело книга", "купить срочно казино ставка"), ("river garden winter letter", "casino jackpot viagra lender")])
+def test_quality_reads_letters_of_every_script(good, bad):
+    rng = random.Random(3)
+    gap = " " if " " in good else ""
+    words = [w.split() if gap else list(w) for w in (bad, good)]
+    texts = [(k % 2, gap.join(rng.choice(words[k % 2]) for _ in range(30))) for k in range(80)]
+    model = quality.fit({0: 30, 1: 30}, [np.unique(quality.codes(t)) for _, t in texts[:60]], np.array([y for y, _ in texts[:60]]))
+    assert all((quality.margin(np.unique(quality.codes(t)), model) > 0) == (y == 1) for y, t in texts[60:])
+    assert {len(quality.letter_codes(t)) for t in (None, "", "12 !")} == {0}
+
+
 def test_classifiers_on_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "text"), (3, "x" * 50_000)], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")

@@ -1,8 +1,10 @@
 """Quality by naive Bayes support vectors.
 
 A text becomes indicators of n-grams of one to four character classes (runs of lower-case, of upper-case letters, digits,
-blanks, and each punctuation mark; bytes beyond ASCII are skipped) and of the word n-grams in which a word is repeated
-three, four, six or twelve times in a row.  Indicators are scaled by the log ratio of their smoothed counts in good and bad
+blanks, and each punctuation mark; bytes beyond ASCII are skipped), of the word n-grams in which a word is repeated
+three, four, six or twelve times in a row, and of what is written: words, and two and three characters in a row, over the
+letters and marks of all of Unicode, lower-cased and hashed to HASHED values (what is between them counts as one blank).
+The shapes and the letters of a text are scaled to the same length, each by itself.  Indicators are scaled by the log ratio of their smoothed counts in good and bad
 texts; on these, a linear hinge loss is minimised by dual coordinate descent, and the weights are drawn toward their mean
 size.  A logistic of the margin, fitted on margins of left-out parts, is the score.
 
@@ -15,7 +17,9 @@ several for one document the lowest decides.  If one class is missing, all get t
 
 from __future__ import annotations
 
+import functools
 import operator
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,8 @@ from tidemark.llm.common import bucket
 FOLDS, HELD_OUT = 3, 1
 PER_CLASS, LEAST, N = 4000, 5, 4
 _CLASSES = 40
-SPACE = _CLASSES**N + 4
+SHAPES, HASHED = _CLASSES**N + 4, 1 << 20
+SPACE = SHAPES + HASHED
 _RUNS = (3, 4, 6, 12)
 
 
@@ -43,6 +48,44 @@ def _class_table() -> np.ndarray:
 _TABLE = _class_table()
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points are letters or marks."""
+    return np.fromiter((unicodedata.category(chr(k))[0] in "LM" for k in range(0x110000)), bool, 0x110000)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes spread over the codes after the shapes."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(44)) % np.uint64(HASHED)).astype(np.int32) + SHAPES
+
+
+def letter_codes(text: str | None) -> list[np.ndarray]:
+    """Hashed words and runs of two and three characters."""
+    c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = _letters()[c]
+    if not own.any():
+        return []
+    c = np.where(own, c, 32)
+    stay = own.copy()
+    stay[1:] |= own[:-1]  # of what is between letters, the first
+    c, own = np.r_[32, c[stay], 32].astype(np.uint64), np.r_[False, own[stay], False]
+    out = []
+    for n in (2, 3):
+        h = np.full(len(c) - n + 1, n, np.uint64)
+        for j in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + c[j : len(c) - n + 1 + j]
+        out.append(_mixed(h))
+    edges = np.flatnonzero(np.diff(own.astype(np.int8)))
+    begin, end = edges[::2] + 1, edges[1::2] + 1
+    at = np.arange(len(c)) - np.repeat(np.r_[0, begin], np.diff(np.r_[0, begin, len(c)]))
+    spread = (c + np.uint64(1)) * (at.astype(np.uint64) * np.uint64(0x94D049BB133111EB) + np.uint64(0x9E3779B97F4A7C15))
+    spread = (spread ^ (spread >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    total = np.r_[np.uint64(0), np.cumsum(np.where(own, spread, np.uint64(0)), dtype=np.uint64)]
+    out.append(_mixed(total[end] - total[begin]))
+    return out
+
+
 def codes(text: str | None) -> np.ndarray:
     """All n-gram codes, with repeats."""
     text = text or ""
@@ -63,9 +106,16 @@ def codes(text: str | None) -> np.ndarray:
         ends = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8)))
         longest = int((ends[1::2] - ends[::2]).max()) + 1 if len(ends) else 1
         out.append(np.array([_CLASSES**N + k for k, n in enumerate(_RUNS) if longest >= n], np.int32))
+    out += letter_codes(text)
     return np.concatenate(out) if out else np.empty(0, np.int32)
 
 
+def _lengths(shape: np.ndarray) -> np.ndarray:
+    """What scales the indicators of a text, of which `shape` says which are shapes."""
+    n = np.count_nonzero(shape)
+    return np.where(shape, 1 / np.sqrt(max(1, n)), 1 / np.sqrt(max(1, len(shape) - n)))
+
+
 def _features(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(codes(x.as_py())).tobytes() for x in batch.column(1)], pa.binary())], names=["quality", "x"])
@@ -108,8 +158,11 @@ def _train(x: list[np.ndarray], y: np.ndarray, cost: float, toward: float) -> tu
     at[chosen] = np.arange(len(chosen))
     rows = [c[c >= 0] for c in (at[r] for r in x)]
     good, bad = (1.0 + np.bincount(np.concatenate([r for r, k in zip(rows, y, strict=True) if k == c] or [np.empty(0, int)]), minlength=len(chosen)) for c in (1, 0))
-    ratio = np.log((good / good.sum()) / (bad / bad.sum()))
-    w = dual_coordinate_descent([(r, ratio[r] / np.sqrt(max(1, len(r)))) for r in rows], np.where(y == 1, 1, -1), len(chosen), cost)
+    shape = chosen < SHAPES
+    ratio = np.empty(len(chosen))
+    for own in (shape, ~shape):
+        ratio[own] = np.log((good[own] / good[own].sum()) / (bad[own] / bad[own].sum()))
+    w = dual_coordinate_descent([(r, ratio[r] * _lengths(shape[r])) for r in rows], np.where(y == 1, 1, -1), len(chosen), cost)
     w, b = w[:-1], w[-1]
     w = toward * np.abs(w).mean() + (1 - toward) * w
     return chosen, w * ratio, b
@@ -141,7 +194,7 @@ def margin(present: np.ndarray, model: tuple) -> float:
     chosen, w, b = model[:3]
     k = np.searchsorted(chosen, present)
     k = k[(k < len(chosen)) & (chosen[np.minimum(k, len(chosen) - 1)] == present)] if len(chosen) else np.empty(0, int)
-    return float(w[k].sum() / np.sqrt(max(1, len(k))) + b)
+    return float(w[k] @ _lengths(chosen[k] < SHAPES) + b) if len(k) else float(b)
 
 
 def score(docs: DataFrame, model: tuple, keep: list[str] | None = None) -> DataFrame:
@@ -152,14 +205,14 @@ def score(docs: DataFrame, model: tuple, keep: list[str] | None = None) -> DataF
     def run(batches):
         at = np.full(SPACE, len(chosen), np.int32)
         at[chosen] = np.arange(len(chosen))
-        weight, seen = np.r_[w, 0.0], np.zeros(len(chosen) + 1, bool)
+        weight, seen, n_shapes = w, np.zeros(len(chosen) + 1, bool), int(np.searchsorted(chosen, SHAPES))
         for batch in batches:
             z = []
             for x in batch.column(batch.num_columns - 1):
                 seen[:] = False
                 seen[at[codes(x.as_py())]] = True
-                seen[-1] = False
-                z.append(weight[seen].sum() / np.sqrt(max(1, np.count_nonzero(seen))) + b)
+                parts = (slice(0, n_shapes), slice(n_shapes, len(chosen)))
+                z.append(sum(weight[p] @ seen[p] / np.sqrt(max(1, np.count_nonzero(seen[p]))) for p in parts) + b)
             s = 1 / (1 + np.exp(-np.clip(slope * np.array(z, float) + intercept, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "held_out", "score", "predicted"])
 
