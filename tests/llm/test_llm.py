@@ -114,6 +114,13 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_scripts_without_spaces(spark):
+    lines = ["天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏", "これはそらをとぶとりのはなしでありますからよくきいてください", "ภาษาไทยไม่มีช่องว่างระหว่างคำในประโยคเดียวกันเลยแม้แต่น้อย", "谢谢", "déjà vu été à la plage"]
+    rows = [(k, line) for k, line in enumerate([*lines, *lines])]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {k: int(5 <= k < 8) for k in range(10)}
+
+
 def test_decontaminate(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     docs = spark.createDataFrame([(1, "x " + item.upper() + " y"), (2, "alpha beta gamma delta epsilon zeta eta theta iota"), (3, "Short One!"), (4, None), (5, ""), (None, "short, one"), (6, "kappa iota theta eta zeta epsilon delta gamma beta alpha lambda")], DOCS)

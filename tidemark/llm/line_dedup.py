@@ -15,7 +15,8 @@ Stretches of the array are merged apart, with a stack, and what reaches over the
 sees the whole.  Every run of at least MIN_WORDS words that also starts earlier is a later copy, and its lines go.
 
 Order is by doc_id (nulls first), then by the text's hash, then by place.  Rows with the same doc_id and text are one
-document and get equal results.  Lines are split at "\\n" and compared exactly; empty lines count no words but can stand
+document and get equal results.  Words are what stands between spaces or tabs; scripts that write no spaces count a word for
+each two Han or kana characters in a row, or four of Thai and the like (SEVERAL), so that runs of them are measured too.  Lines are split at "\\n" and compared exactly; empty lines count no words but can stand
 within a run.  Null and empty texts stay as they are.  A text of only later copies becomes empty.  An empty table gives
 an empty result.  Extra columns pass through.
 """
@@ -32,9 +33,18 @@ MIN_WORDS = 10
 #: Places in a stretch of the suffix array, from the second merge on.
 STRETCH = 200_000
 
+#: Scripts without spaces between words, and how many characters in a row count as a word at most.
+SEVERAL = {2: r"[\p{IsHan}\p{IsBopomofo}\p{IsYi}\p{IsHiragana}\p{IsKatakana}ー]", 4: r"[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"}
+
+
 def line_words(line: Column) -> Column:
-    """Words between spaces or tabs."""
-    return F.size(F.array_remove(F.split(line, r"[ \t]+", -1), ""))
+    """Words between spaces or tabs, and in scripts that write no spaces, stretches of characters."""
+    cut = line
+    for n, kind in SEVERAL.items():
+        cut = F.regexp_replace(cut, f"{kind}{{1,{n}}}", " x ")
+    # all of these scripts are from U+0E00 on; most lines have nothing there and need no cutting
+    cut = F.when((F.length(line) == F.octet_length(line)) | ~line.rlike(r"[^\x00-\u0DFF]"), line).otherwise(cut)
+    return F.size(F.array_remove(F.split(cut, r"[ \t]+", -1), ""))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
