@@ -134,6 +134,16 @@ def test_decontaminate(spark):
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
 
 
+def test_proximity_with_words_that_the_corpus_lacks(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    texts = [words[:9] + ["other"], words[:4] + ["other"] + words[5:], words[:8] + ["x", "y"], words[:7] + ["x", "y", "z"]]
+    items = spark.createDataFrame([("a", " ".join(words))], "item_id string, text string")
+    for text, near in zip(texts, (1, 1, 1, 0), strict=True):
+        got = decontaminate.decontaminate(spark.createDataFrame([(1, " ".join(text))], DOCS), items).first()
+        assert (got["n_near_items"], got["contaminated"]) == (near, False)
+    assert "op3_near_matches" in queries.QUERIES
+
+
 def test_components(spark):
     rows = [(1, 2), (2, 3), (10, 11), (11, 12), (12, 13), (13, 14), (5, 5)] + [(100, k) for k in range(101, 160)]
     got = components(spark.createDataFrame(rows, "a long, b long"), Scratch(spark, "t")).collect()

@@ -1,14 +1,15 @@
 """Benchmark decontamination by a positional inverted index, with DataFrame functions only.
 
 1. Postings are counted: how often each benchmark term stands in the corpus, over all documents.
-2. Each window of ten item words is represented by its rarest term, its anchor; a window with a term that the corpus
-   lacks cannot occur and needs none.  Overlapping windows share anchors.
+2. Each window of ten item words is represented by its rarest terms, its anchors: one more than a proximity match may lack,
+   so that each match holds one.  Terms that the corpus lacks are lacked by all; a window with too many of them needs no
+   anchor.  The rarest is enough for exact phrases.  Overlapping windows share anchors.
 3. The posting lists of the anchor terms are read from the corpus, each posting with its position and its neighbours of
    nine words on either side.  Shifting by the anchor's offset lines a posting up with the item; the neighbours are the
    entries that the lists of the window's other terms have at the shifted positions, so intersecting those lists is a
    comparison within the posting and not a shuffle.
 4. A stretch of equal words around the anchor that is as long as a window is an exact phrase; it is the union of the
-   windows in it.  If it is shorter but most of the neighbouring terms stand nearby in any order, it is a proximity match.
+   windows in it.  If it is shorter but NEAR of the terms of a window stand nearby in any order, it is a proximity match.
 
 The anchors are broadcast, in blocks of at most BLOCK; a larger benchmark takes more passes.  Nothing else is
 broadcast.  Every document word is examined, and all lists are whole.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch, lower_az, raw_words, row_key
 
 WINDOW = 10
-#: Of the neighbouring item terms, the share that makes a proximity match.
+#: Of a window's terms, the share that makes a proximity match.
 NEAR = 0.8
 #: Anchors in a broadcast; each has at most 19 words.
 BLOCK = 50_000
@@ -61,13 +62,16 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
 
 
-def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
+def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW, near: float = NEAR) -> DataFrame:
     """For each item, the positions that stand for its windows, with the words around them."""
     size = F.size("words")
     windows = items.withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(size - window, F.lit(0))))).withColumn("need", F.least(size, F.lit(window)))
     terms = windows.select("words", "start", F.posexplode(F.slice("words", F.col("start") + 1, F.col("need"))).alias("off", "term"))
-    ranked = terms.join(counts, "term", "left").select("words", "start", F.struct(F.coalesce("n", F.lit(0)).alias("n"), (F.col("start") + F.col("off")).alias("at"), "term").alias("x"))
-    chosen = ranked.groupBy("words", "start").agg(F.min("x").alias("x")).where("x.n > 0").select("words", F.col("x.at").alias("at"), F.col("x.term").alias("term")).distinct()
+    ranked = terms.join(counts, "term", "left").groupBy("words", "start", "term").agg(F.first(F.coalesce("n", F.lit(0))).alias("n"), F.min(F.col("start") + F.col("off")).alias("at"))
+    ranked = ranked.groupBy("words", "start").agg(F.sort_array(F.collect_list(F.struct("n", "at", "term"))).alias("x"))
+    spare = F.size("x") - F.ceil(near * F.size("x") - F.lit(1e-9)).cast("int") - F.size(F.filter("x", lambda x: x["n"] == 0))  # terms that a match may lack besides
+    some = ranked.select("words", F.filter("x", lambda x: x["n"] > 0).alias("x"), spare.alias("spare")).where("spare >= 0")
+    chosen = some.select("words", F.explode(F.slice("x", 1, F.col("spare") + 1)).alias("x")).select("words", F.col("x.at").alias("at"), F.col("x.term").alias("term")).distinct()
     reach, at = F.lit(window - 1), F.col("at")
     return chosen.join(items, "words").select(
         "term",
@@ -91,13 +95,16 @@ def matches(docs: DataFrame, found: DataFrame, window: int = WINDOW, near: float
     cut = F.array(F.struct(before.alias("my_left"), F.slice("words", pos + 2, reach).alias("my_right")))
     rows = _postings(docs).join(F.broadcast(found), "term")
     # cut out in a generator: conditions on it stay above it, and out of the join, which they would keep from being compiled
-    rows = rows.select("_d", "_t", "pos", "ids", "need", "left", "right", F.inline(cut))
+    rows = rows.select("_d", "_t", "pos", "term", "ids", "need", "left", "right", F.inline(cut))
     rows = rows.withColumns({c: F.transform(c, lower_az) for c in ("my_left", "my_right")})
     rows = rows.withColumns({"l": F.when(F.size("left") > 0, _agree(F.slice("my_left", 1, F.size("left")), F.col("left"))).otherwise(0), "r": F.when(F.size("right") > 0, _agree(F.slice("my_right", 1, F.size("right")), F.col("right"))).otherwise(0)})
-    others = F.array_distinct(F.concat("left", "right"))
-    common = F.size(F.array_intersect(others, F.concat("my_left", "my_right")))
+    around = F.concat(F.reverse("left"), F.array("term"), "right")
+    mine = F.concat("my_left", "my_right", F.array("term"))
+    rows = rows.withColumns({"around": around, "mine": mine})
+    terms = lambda k: F.array_distinct(F.slice("around", k + 1, F.col("need")))
+    nearby = F.exists(F.sequence(F.lit(0), F.size("around") - F.col("need")), lambda k: F.size(F.array_intersect(terms(k), F.col("mine"))) >= near * F.size(terms(k)) - 1e-9)
     exact = F.col("l") + F.col("r") + 1 >= F.col("need")
-    return rows.select("_d", "_t", (pos - F.col("l")).alias("first"), (pos + F.col("r")).alias("last"), "ids", exact.alias("exact"), ((F.size(others) > 0) & (common >= near * F.size(others))).alias("near")).where("exact or near")
+    return rows.select("_d", "_t", (pos - F.col("l")).alias("first"), (pos + F.col("r")).alias("last"), "ids", exact.alias("exact"), nearby.alias("near")).where("exact or near")
 
 
 def _covered(spans: Column) -> Column:
@@ -119,7 +126,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = scratch.keep(_items(benchmark), "items")
     counts = scratch.keep(term_counts(docs, items.select(F.explode("words").alias("term")).distinct()), "counts")
-    chosen = scratch.keep(anchors(items, counts, window), "anchors")
+    chosen = scratch.keep(anchors(items, counts, window, near), "anchors")
     blocks = max(1, -(-chosen.count() // BLOCK))
     parts = [chosen] if blocks == 1 else [chosen.where(F.pmod(F.xxhash64("term", "left", "right"), F.lit(2 * blocks)) == b) for b in range(2 * blocks)]
     hits = reduce(DataFrame.unionAll, [matches(docs, part, window, near) for part in parts])
