@@ -14,10 +14,10 @@ earliest place lives on, and every other learns the longest run that starts ther
 Stretches of the array are merged apart, with a stack, and what reaches over their ends is merged again, so no task
 sees the whole.  Every run of at least MIN_WORDS words that also starts earlier is a later copy, and its lines go.
 
-Order is by doc_id (nulls first), then by the text's hash, then by place.  Rows with the same doc_id and text are one
+Order is by doc_id (nulls first; whole numbers as such, others as text), then by the text's hash, then by place.  Rows with the same doc_id and text are one
 document and get equal results.  Words are what stands between spaces or tabs; scripts that write no spaces count a word for
 each two Han or kana characters in a row, or four of Thai and the like (SEVERAL), so that runs of them are measured too.  Lines are split at "\\n" and compared exactly; empty lines count no words but can stand
-within a run.  Null and empty texts stay as they are.  A text of only later copies becomes empty.  An empty table gives
+within a run.  Null and empty texts stay as they are; a text of any length is one row of lines.  A text of only later copies becomes empty.  An empty table gives
 an empty result.  Extra columns pass through.
 """
 
@@ -37,19 +37,19 @@ STRETCH = 200_000
 SEVERAL = {2: r"[\p{IsHan}\p{IsBopomofo}\p{IsYi}\p{IsHiragana}\p{IsKatakana}ー]", 4: r"[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"}
 
 
-def line_words(line: Column) -> Column:
-    """Words between spaces or tabs, and in scripts that write no spaces, stretches of characters."""
-    cut = line
-    for n, kind in SEVERAL.items():
-        cut = F.regexp_replace(cut, f"{kind}{{1,{n}}}", " x ")
-    # all of these scripts are from U+0E00 on; most lines have nothing there and need no cutting
-    cut = F.when((F.length(line) == F.octet_length(line)) | ~line.rlike(r"[^\x00-\u0DFF]"), line).otherwise(cut)
-    return F.size(F.array_remove(F.split(cut, r"[ \t]+", -1), ""))
+def line_words(line: Column, cut: bool = True) -> Column:
+    """Words between spaces or tabs, and if `cut`, in scripts that write no spaces, stretches of characters."""
+    for n, kind in SEVERAL.items() if cut else ():
+        line = F.regexp_replace(line, f"{kind}{{1,{n}}}", " x ")
+    return F.size(F.array_remove(F.split(F.replace(line, F.lit("\t"), F.lit(" ")), " ", -1), ""))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    ids = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(11), x).alias("h2"), line_words(x).alias("w")))
-    once = docs.where(F.length("text") > 0).select(*row_key(), ids.alias("a")).dropDuplicates(["_d", "_t"])
+    lines = F.split("text", "\n", -1)
+    ids = lambda cut: F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(11), x).alias("h2"), line_words(x, cut).alias("w")))
+    # all scripts that need cutting are from U+0E00 on; most texts have nothing there
+    plain = F.when(F.length("text") == F.octet_length("text"), True).otherwise(~F.col("text").rlike(r"[^\x00-\u0DFF]"))
+    once = docs.where(F.length("text") > 0).select(*row_key(), F.when(plain, ids(False)).otherwise(ids(True)).alias("a")).dropDuplicates(["_d", "_t"])
     return once.select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.posexplode("a").alias("p", "x")).select("d", "t", "p", "x.h1", "x.h2", "x.w")
 
 
@@ -71,17 +71,17 @@ def _numbered(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def suffix_ranks(places: DataFrame, longest: int, scratch: Scratch) -> list[DataFrame]:
     """places: (sid, o, h1, h2), the o-th line of segment sid.  For k = 1, 2, 4, ... the ranks (sid, o, r) of all places by
-    their next k lines, or by all that are left."""
+    their next k lines, or by all that are left.  It ends where all ranks differ, as longer stretches are in the same order."""
     names = scratch.keep(_numbered(places, ["h1", "h2"]), "names-0")
     ranks = [scratch.keep(places.join(names, ["h1", "h2"]).select("sid", "o", "r"), "ranks-0")]
-    k = 1
-    while k < longest:
+    n_places, k = ranks[0].count(), 1
+    while k < longest and names.count() < n_places:
         n, last = len(ranks), ranks[-1]
         on = last.select("sid", (F.col("o") - k).alias("o"), F.col("r").alias("r2"))
         both = scratch.keep(last.withColumnRenamed("r", "r1").join(on, ["sid", "o"], "left").select("sid", "o", "r1", F.coalesce("r2", F.lit(-1)).alias("r2")), f"pairs-{n}")
         names = scratch.keep(_numbered(both, ["r1", "r2"]), f"names-{n}")
         ranks.append(scratch.keep(both.join(names, ["r1", "r2"]).select("sid", "o", "r"), f"ranks-{n}"))
-        scratch.drop(f"pairs-{n}", f"names-{n}")
+        scratch.drop(f"pairs-{n}", f"names-{n - 1}")
         k *= 2
     return ranks
 
@@ -116,7 +116,9 @@ def suffix_array(ranks: list[DataFrame], segments: DataFrame, scratch: Scratch)
     return scratch.keep(rows.select("idx", "sid", "d", "t", "p", "lcp"), "suffixes")
 
 
-def _merger(last: bool):
+def _merger(last: bool, kind: pa.DataType):
+    none = 0 if pa.types.is_integer(kind) else ""
+
     def run(batches):
         """Rows (idx, sid, d, t, p, lcp) in order.  Out go rows whose run is known (done: lcp is its length) and those that may
         still merge with what is outside; of those, idx and lcp say where they stand."""
@@ -142,14 +144,14 @@ def _merger(last: bool):
 
         def flush():
             cols = list(zip(*[(done, idx, place[4], place[1] if place[0] else None, place[2], place[3], lcp) for done, idx, lcp, place in out], strict=True)) or [[]] * 7
-            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            kinds = [pa.bool_(), pa.int64(), pa.int64(), kind, pa.int64(), pa.int32(), pa.int32()]
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["done", "idx", "sid", "d", "t", "p", "lcp"])
 
         for batch in batches:
             for idx, sid, d, t, p, lcp in zip(*(batch.column(c).to_pylist() for c in ("idx", "sid", "d", "t", "p", "lcp")), strict=True):
                 close(lcp)
-                stack.append([idx, lcp, (d is not None, d or 0, t, p, sid)])
+                stack.append([idx, lcp, (d is not None, none if d is None else d, t, p, sid)])
             yield flush()
         if last:
             close(0)
@@ -161,18 +163,21 @@ def _merger(last: bool):
 
 def earlier_runs(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
     """(sid, p, lcp): for each place, the lines of the longest run from there that also starts at an earlier place; none if 0."""
-    schema = "done boolean, idx long, sid long, d long, t long, p int, lcp int"
+    d = dict(suffixes.dtypes)["d"]
+    schema = f"done boolean, idx long, sid long, d {d}, t long, p int, lcp int"
     found, rest, n, k, stretch = [], suffixes, suffixes.count(), 0, STRETCH
     while True:
         last = n <= stretch
         dealt = rest.repartition(1) if last else rest.repartitionByRange(max(2, -(-n // stretch)), "idx")
-        merged = scratch.keep(dealt.sortWithinPartitions("idx").mapInArrow(_merger(last), schema), f"merged-{k}")
+        merged = scratch.keep(dealt.sortWithinPartitions("idx").mapInArrow(_merger(last, _ARROW[d]), schema), f"merged-{k}")
         found.append(merged.where("done").select("sid", "p", "lcp"))
         rest, k = merged.where("not done").drop("done"), k + 1
         if last:
             break
         before, n = n, rest.count()
-        if 2 * n > before:  # as where one line repeats and lcp only rises; a task holds at most the lines of the longest segment
+        # as where one line repeats and lcp only rises.  A stretch leaves at most twice as many rows as the longest segment has
+        # lines, so stretches end at about four times that: a task never holds more than a few times the longest text's lines
+        if 2 * n > before:
             stretch *= 2
     out = found[0]
     for x in found[1:]:
@@ -180,9 +185,16 @@ def earlier_runs(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def _spans(min_words: int):
+def _small(batches):
+    """Batches of at most 512 rows, as rows hold lists."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            yield batch.slice(at, 512)
+
+
+def _spans(min_words: int, kind: pa.DataType):
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             rows = []
             for d, t, p0, words, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 total = [0]
@@ -194,13 +206,13 @@ def _spans(min_words: int):
                         rows.append((d, t, p0 + max(p, end), p0 + p + n))
                         end = p + n
             cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["d", "t", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (kind, pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["d", "t", "a", "b"])
 
     return run
 
 
 def _masks(batches):
-    for batch in batches:
+    for batch in _small(batches):
         masks = []
         for spans in batch.column(2).to_pylist():
             mask = [False] * max(x["b"] for x in spans)
@@ -210,32 +222,45 @@ def _masks(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks, pa.list_(pa.bool_()))], names=["d", "t", "mask"])
 
 
+#: Kinds of doc_id: whole numbers are compared as such, all else as text.
+_ARROW = {"bigint": pa.int64(), "string": pa.string()}
+
+
+def _id_kind(docs: DataFrame) -> str:
+    return "bigint" if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, t, mask): for each document with later copies, which of its lines are in one."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    segments = _segments(scratch.keep(_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "lines"), scratch)
+    d = _id_kind(docs)
+    segments = _segments(scratch.keep(_lines(docs.select(F.col("doc_id").cast(d).alias("doc_id"), "text")), "lines"), scratch)
     segments = scratch.keep(segments.select(F.monotonically_increasing_id().alias("sid"), "*", F.xxhash64("lines").alias("g1"), F.xxhash64(F.lit(11), "lines").alias("g2")), "segments")
     scratch.drop("lines", "repeated")
-    first = segments.groupBy("g1", "g2").agg(F.min(F.struct("d", "t", "p")).alias("f"))
+    # written, as Spark splits the rows of a common segment only if the join reads both sides from exchanges of its own
+    first = scratch.keep(segments.groupBy("g1", "g2").agg(F.min(F.struct("d", "t", "p")).alias("f")), "first")
     marked = segments.join(first, ["g1", "g2"])
     is_first = F.col("d").eqNullSafe(F.col("f.d")) & (F.col("t") == F.col("f.t")) & (F.col("p") == F.col("f.p"))
     marked = scratch.keep(marked.select("sid", "d", "t", "p", "lines", is_first.alias("first")), "marked")
+    scratch.drop("segments", "first")
     later = marked.where(~F.col("first") & (F.aggregate("lines", F.lit(0), lambda n, x: n + x["w"]) >= min_words)).select("d", "t", F.col("p").alias("a"), (F.col("p") + F.size("lines")).alias("b"))
     firsts = marked.where("first")
     longest = firsts.agg(F.max(F.size("lines"))).first()[0] or 0
     places = firsts.select("sid", F.posexplode("lines").alias("o", "x")).select("sid", "o", "x.h1", "x.h2")
     runs = earlier_runs(suffix_array(suffix_ranks(places, longest, scratch), firsts, scratch), scratch).where("lcp > 0")
     by_segment = runs.groupBy("sid").agg(F.collect_list(F.struct("p", "lcp")).alias("runs"))
-    within = firsts.join(by_segment, "sid").select("d", "t", "p", F.transform("lines", lambda x: x["w"]).alias("words"), "runs").mapInArrow(_spans(min_words), "d long, t long, a int, b int")
+    within = firsts.join(by_segment, "sid").select("d", "t", "p", F.transform("lines", lambda x: x["w"]).alias("words"), "runs").mapInArrow(_spans(min_words, _ARROW[d]), f"d {d}, t long, a int, b int")
     spans = later.union(within).groupBy("d", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return scratch.keep(spans.mapInArrow(_masks, "d long, t long, mask array<boolean>"), "masks")
+    masks = scratch.keep(spans.mapInArrow(_masks, f"d {d}, t long, mask array<boolean>"), "masks")
+    scratch.drop(*(x for x in scratch.paths if x != "masks"))
+    return masks
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the lines of later copies gone from `text`, and with n_lines (before) and n_removed."""
     masks = later_copies(docs, min_words)
     keyed = docs.drop("n_lines", "n_removed").select("*", *row_key())
-    joined = keyed.join(masks, keyed["_d"].cast("long").eqNullSafe(masks["d"]) & (keyed["_t"] == masks["t"]), "left")
+    joined = keyed.join(masks, keyed["_d"].cast(_id_kind(docs)).eqNullSafe(masks["d"]) & (keyed["_t"] == masks["t"]), "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, k: ~F.coalesce(F.get("mask", k), F.lit(False))), "\n")
     removed = F.coalesce(F.size(F.filter("mask", lambda x: x)), F.lit(0)).cast("long")
