@@ -46,7 +46,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, their number, and digests of the ids and of the bytes they decode to."""
-    return bpe.encode(docs.select("doc_id", "text"), ranks(), public_tokenizers.PATTERN, digests=True).drop("text")
+    return bpe.encode(docs.select("doc_id", "text"), ranks(), public_tokenizers.PATTERN, digests=True, drop=True)
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("ngram_join", near_copies), ("decontaminate", clean), ("byte_bpe", encode)]

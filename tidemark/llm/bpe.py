@@ -5,6 +5,10 @@ inverted index from each mergeable token pair to the positions where it stands.
 all words at once; a merge touches only the index entries of its two neighbours.  Words that a worker has seen stay in
 a bounded table, so each is replayed about once per worker.  There is no shuffle.
 
+Memory is bounded in bytes, whatever the texts: the table of seen words holds REMEMBERED bytes of words and ids, the
+table of pairs PAIRS entries, a stretch CHARS_AT_ONCE characters, and finished rows go out when they fill SENT_AT_ONCE
+bytes; the texts themselves go out only if they are asked for.
+
 Nulls count as empty text.  An empty text has no ids; its digests are those of no bytes.  A text of any length works:
 long ones go through in slices of words.  Repeated rows are each encoded.  An empty table gives an empty result.
 A column that is named like an output is replaced by it; any other passes through.
@@ -14,18 +18,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
-from itertools import chain, islice
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Distinct words that a worker remembers, characters in a longest remembered word, and words or characters that are
-#: in memory at once.
-REMEMBERED, LONGEST, AT_ONCE, CHARS_AT_ONCE = 300_000, 64, 200_000, 2_000_000
+#: Bytes of words and ids that a worker remembers (as objects, these take about twelve times that), bytes of a longest remembered
+#: word, pairs remembered, words or characters that are in memory at once, and bytes of finished rows.
+REMEMBERED, LONGEST, PAIRS, AT_ONCE, CHARS_AT_ONCE, SENT_AT_ONCE = 3_000_000, 64, 200_000, 120_000, 1_200_000, 4_000_000
 
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -36,6 +42,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+class _Pairs(dict):
+    """For two tokens a and b, at a << 32 | b the rank of the token that they make, or -1; at most PAIRS are remembered."""
+
+    def __init__(self, ranks: dict[bytes, int], tokens: dict[int, bytes]):
+        super().__init__()
+        self.ranks, self.tokens = ranks, tokens
+
+    def __missing__(self, key: int) -> int:
+        if len(self) > PAIRS:
+            self.clear()
+        found = self[key] = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
+        return found
+
+
 class MergeReplay:
     """Applies merges to many words at once."""
 
@@ -43,19 +63,10 @@ class MergeReplay:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def rank_of(self, a: int, b: int) -> int:
-        """The rank of the token that a and b make, or -1."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return found
+        self.pairs = _Pairs(ranks, self.tokens)
 
-    def __call__(self, words: Iterable[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...] | int] = []
+    def __call__(self, words: Iterable[bytes]) -> list[list[int]]:
+        out: list[list[int] | int] = []
         symbols: list[int] = []
         after: list[int] = []
         before: list[int] = []
@@ -63,7 +74,7 @@ class MergeReplay:
         for word in words:
             whole = self.ranks.get(word)
             if whole is not None or not word:
-                out.append((whole,) if word else ())
+                out.append([whole] if word else [])
                 continue
             out.append(len(starts))
             at, n = len(symbols), len(word)
@@ -80,14 +91,14 @@ class MergeReplay:
             while at >= 0:
                 ids.append(symbols[at])
                 at = after[at]
-            done.append(tuple(ids))
-        return [x if isinstance(x, tuple) else done[x] for x in out]
+            done.append(ids)
+        return [x if isinstance(x, list) else done[x] for x in out]
 
     def _replay(self, symbols: list[int], before: list[int], after: list[int]) -> None:
-        rank_of = self.rank_of
+        pairs = self.pairs
         where: dict[int, list[int]] = {}
         for p, q in enumerate(after):
-            if q >= 0 and (rank := rank_of(symbols[p], symbols[q])) >= 0:
+            if q >= 0 and (rank := pairs[symbols[p] << 32 | symbols[q]]) >= 0:
                 where.setdefault(rank, []).append(p)
         queue = sorted(where)
         while queue:
@@ -98,7 +109,7 @@ class MergeReplay:
             places.sort()
             for k, p in enumerate(places):
                 q = after[p]
-                if symbols[p] < 0 or q < 0 or rank_of(symbols[p], symbols[q]) != rank:
+                if symbols[p] < 0 or q < 0 or pairs[symbols[p] << 32 | symbols[q]] != rank:
                     continue
                 symbols[p], symbols[q] = rank, -1
                 left, right = before[p], after[q]
@@ -106,13 +117,13 @@ class MergeReplay:
                 lowest = rank
                 if right >= 0:
                     before[right] = p
-                    if (found := rank_of(rank, symbols[right])) >= 0:
+                    if (found := pairs[rank << 32 | symbols[right]]) >= 0:
                         if found not in where:
                             where[found] = []
                             heappush(queue, found)
                         where[found].append(p)
                         lowest = min(lowest, found)
-                if left >= 0 and (found := rank_of(symbols[left], rank)) >= 0:
+                if left >= 0 and (found := pairs[symbols[left] << 32 | rank]) >= 0:
                     if found not in where:
                         where[found] = []
                         heappush(queue, found)
@@ -125,8 +136,12 @@ class MergeReplay:
 
 
 class Encoder:
+    """Ids are kept as four bytes each, so that those of a text are its words' joined."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.replay, self.find, self.known = MergeReplay(ranks), regex.compile(pattern), {}
+        self.replay, self.find = MergeReplay(ranks), regex.compile(pattern)
+        self.known: dict[str, bytes] = {}
+        self.held = 0
         self.shown = {rank: str(rank) for rank in ranks.values()}
 
     def words(self, text: str) -> Iterator[list[str]]:
@@ -137,23 +152,27 @@ class Encoder:
         while part := list(islice(found, AT_ONCE)):
             yield part
 
-    def ids(self, lists: list[list[str]]) -> list[list[int]]:
+    def ids(self, lists: list[list[str]]) -> list[bytes]:
         """Ids of each list of words."""
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
         known = self.known
-        new = set().union(*lists).difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known = self.known = {}
-            new = set().union(*lists)
-        new = list(new)
-        known.update(zip(new, self.replay([x.encode() for x in new]), strict=True))
-        out = [list(chain.from_iterable(map(known.__getitem__, x))) for x in lists]
-        for x in new:
-            if len(x) > LONGEST:
-                del known[x]
+        new = list(set().union(*lists).difference(known))
+        words = [x.encode() for x in new]
+        long = []
+        for x, word, made in zip(new, words, self.replay(words), strict=True):
+            known[x] = ids = np.array(made, np.int32).tobytes() if len(made) > 8 else b"".join(k.to_bytes(4, sys.byteorder) for k in made)
+            if len(word) > LONGEST:
+                long.append(x)
+            else:
+                self.held += len(word) + len(ids)
+        out = [b"".join(map(known.__getitem__, x)) for x in lists]
+        for x in long:
+            del known[x]
         return out
 
-    def documents(self, texts: Iterable[str | None]) -> Iterator[Iterator[list[int]]]:
-        """For each text, its ids in one list or, if it is very long, in several."""
+    def documents(self, texts: Iterable[str | None]) -> Iterator[Iterator[bytes]]:
+        """For each text, its ids in one piece or, if it is very long, in several."""
         held: list[list[str]] = []
         size = 0
         for text in texts:
@@ -173,9 +192,10 @@ class Encoder:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.replay.tokens.__getitem__, ids))
 
-    def digest(self, parts: Iterable[list[int]]) -> tuple[int, str, str]:
+    def digest(self, parts: Iterable[bytes]) -> tuple[int, str, str]:
         n, shown, decoded = 0, hashlib.sha256(), hashlib.sha256()
-        for ids in parts:
+        for part in parts:
+            ids = memoryview(part).cast("i").tolist()
             if ids:
                 shown.update(("," * (n > 0) + ",".join(map(self.shown.__getitem__, ids))).encode())
                 decoded.update(self.decode(ids))
@@ -195,38 +215,49 @@ def _encoder(held, pattern: str) -> Encoder:
     return _encoders[key]
 
 
-def _with(docs: DataFrame, text: str, more: list[T.StructField], one) -> DataFrame:
-    """docs with columns that `one` makes of a batch's texts."""
+def _with(docs: DataFrame, text: str, more: list[T.StructField], rows, drop: bool = False) -> DataFrame:
+    """docs with columns that `rows` makes of a batch's texts, in pieces; without the text itself if it is to be dropped."""
     names = [f.name for f in more]
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c not in names and not (drop and c == text)]
     fed = docs.select(*kept) if text in kept else docs.select(*kept, docs[text].alias("__text"))
     schema = T.StructType([f for f in docs.schema.fields if f.name in kept] + more)
 
     def run(batches):
         for batch in batches:
-            made = one(batch.column(batch.schema.get_field_index(text if text in kept else "__text")))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + made, names=kept + names)
+            at = 0
+            for made in rows(batch.column(batch.schema.get_field_index(text if text in kept else "__text"))):
+                n = len(made[0])
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).slice(at, n) for c in kept] + made, names=kept + names)
+                at += n
 
     return fed.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", digests: bool = False) -> DataFrame:
-    """docs with `ids`, and with the digests of `digest` if asked for."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", digests: bool = False, drop: bool = False) -> DataFrame:
+    """docs with `ids`, and with the digests of `digest` if asked for; without the text if it is to be dropped."""
     held = docs.sparkSession.sparkContext.broadcast(ranks)
 
-    def one(column):
+    def rows(column):
         encoder = _encoder(held, pattern)
-        offsets, values, rows = [0], [], []
+        lengths, values, size, said = [0], [], 0, []
+
+        def made():
+            ids = pa.Array.from_buffers(pa.int32(), sum(lengths), [None, pa.py_buffer(b"".join(values))])
+            return [pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), ids)] + (_columns(said) if digests else [])
+
         for parts in encoder.documents(x.as_py() for x in column):
-            ids = list(chain.from_iterable(parts))
-            values.append(pa.array(ids, pa.int32()))
-            offsets.append(offsets[-1] + len(ids))
+            ids = b"".join(parts)
+            values.append(ids)
+            lengths.append(len(ids) // 4)
+            size += len(ids)
             if digests:
-                rows.append(encoder.digest([ids]))
-        made = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(values) if values else pa.array([], pa.int32()))]
-        return made + (_columns(rows) if digests else [])
+                said.append(encoder.digest([ids]))
+            if size > SENT_AT_ONCE:
+                yield made()
+                lengths, values, size, said = [0], [], 0, []
+        yield made()
 
-    return _with(docs, text, IDS.fields + (DIGEST.fields if digests else []), one)
+    return _with(docs, text, IDS.fields + (DIGEST.fields if digests else []), rows, drop)
 
 
 def _columns(rows: list[tuple[int, str, str]]) -> list[pa.Array]:
@@ -237,19 +268,19 @@ def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     """docs with the number of ids, the hash of the ids, and the hash of the bytes that the ids decode to."""
     held = docs.sparkSession.sparkContext.broadcast(ranks)
 
-    def one(column):
+    def rows(column):
         encoder = _encoder(held, pattern)
-        return _columns([encoder.digest(parts) for parts in encoder.documents(x.as_py() for x in column)])
+        yield _columns([encoder.digest(parts) for parts in encoder.documents(x.as_py() for x in column)])
 
-    return _with(docs, text, DIGEST.fields, one)
+    return _with(docs, text, DIGEST.fields, rows)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
     """encoded with `decoded`: the bytes that the ids stand for; null ids decode to no bytes."""
     held = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
 
-    def one(column):
+    def rows(column):
         tokens = held.value
-        return [pa.array([b"".join(map(tokens.__getitem__, x.as_py() or [])) for x in column], pa.binary())]
+        yield [pa.array([b"".join(map(tokens.__getitem__, x.as_py() or [])) for x in column], pa.binary())]
 
-    return _with(encoded, ids, [T.StructField("decoded", T.BinaryType())], one)
+    return _with(encoded, ids, [T.StructField("decoded", T.BinaryType())], rows)

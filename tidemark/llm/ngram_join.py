@@ -44,10 +44,14 @@ _ODD = np.random.default_rng(20_18).integers(1 << 62, 1 << 63, 64, dtype=np.uint
 
 
 class _WordHash(dict):
+    """Hashes of words; at most 100,000 of up to 64 bytes are remembered."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = value
         return value
 
 
