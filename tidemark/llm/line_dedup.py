@@ -44,13 +44,19 @@ def line_words(line: Column, cut: bool = True) -> Column:
     return F.size(F.array_remove(F.split(F.replace(line, F.lit("\t"), F.lit(" ")), " ", -1), ""))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    lines = F.split("text", "\n", -1)
-    ids = lambda cut: F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(11), x).alias("h2"), line_words(x, cut).alias("w")))
+def _lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(d, t, p, h1, h2, w): all lines of each document, with two hashes and the number of words."""
     # all scripts that need cutting are from U+0E00 on; most texts have nothing there
     plain = F.when(F.length("text") == F.octet_length("text"), True).otherwise(~F.col("text").rlike(r"[^\x00-\u0DFF]"))
-    once = docs.where(F.length("text") > 0).select(*row_key(), F.when(plain, ids(False)).otherwise(ids(True)).alias("a")).dropDuplicates(["_d", "_t"])
-    return once.select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.posexplode("a").alias("p", "x")).select("d", "t", "p", "x.h1", "x.h2", "x.w")
+    texts = docs.where(F.length("text") > 0).select(*row_key(), "text", plain.alias("plain"))
+    # only texts of rows that are there more than once are shuffled
+    several = texts.groupBy(F.col("_d").alias("d"), F.col("_t").alias("t")).agg(F.count("*").alias("n")).where("n > 1").select("d", "t")
+    several = scratch.keep(several, "several")
+    same = texts["_d"].eqNullSafe(several["d"]) & (texts["_t"] == several["t"])
+    once = texts.join(several, same, "left_anti").union(texts.join(several, same, "left_semi").dropDuplicates(["_d", "_t"]))
+    lines = once.select(F.col("_d").alias("d"), F.col("_t").alias("t"), "plain", F.posexplode(F.split("text", "\n", -1)).alias("p", "x"))
+    words = F.when(F.col("plain"), line_words(F.col("x"), False)).otherwise(line_words(F.col("x"), True))
+    return lines.select("d", "t", "p", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(11), "x").alias("h2"), words.alias("w"))
 
 
 def _segments(lines: DataFrame, scratch: Scratch) -> DataFrame:
@@ -234,7 +240,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, t, mask): for each document with later copies, which of its lines are in one."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     d = _id_kind(docs)
-    segments = _segments(scratch.keep(_lines(docs.select(F.col("doc_id").cast(d).alias("doc_id"), "text")), "lines"), scratch)
+    segments = _segments(scratch.keep(_lines(docs.select(F.col("doc_id").cast(d).alias("doc_id"), "text"), scratch), "lines"), scratch)
     segments = scratch.keep(segments.select(F.monotonically_increasing_id().alias("sid"), "*", F.xxhash64("lines").alias("g1"), F.xxhash64(F.lit(11), "lines").alias("g2")), "segments")
     scratch.drop("lines", "repeated")
     # written, as Spark splits the rows of a common segment only if the join reads both sides from exchanges of its own
