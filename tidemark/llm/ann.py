@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by a hierarchical navigable small-world graph per shard.
 
-Equal vectors are indexed once, with the smallest ids that a result can need.  Vectors are dealt to shards of about SHARD
-rows by hash; each shard's graph is built in one task and kept as flat neighbour arrays in one row of a written table.
-Queries are searched in every shard, in blocks of at most QUERIES that go to the shards; each shard returns its
+Equal vectors are indexed once, with the smallest ids that a result can need.  Vectors are dealt by hash to shards, as many
+as there are cores but of SHARD rows at most, about; each shard's graph is built in one task and kept as flat neighbour arrays
+in one row of a written table.  All queries are sent to each shard, whose task reads the graph and then lets the queries pass by;
+nothing of either is collected.  A search in a graph grows with the logarithm of its rows.  Each shard returns its
 nearest, with cosines in double precision of the original vectors, and these are merged by score, then smaller id.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without id.  Vectors of
 other lengths than the query are never near.  Rows that agree in id and vector are one; an id with several vectors counts
-with the nearest.  Fewer candidates than k: all of them.  An empty table gives an empty result.  Other columns are ignored.
+with the nearest.  An id that is no whole number is an error.  Fewer candidates than k: all of them.  An empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch
 from tidemark.llm.ngram_join import _grouped
 
-SHARD, QUERIES = 4096, 20_000
+#: Rows of a shard at most, about, and rows below which no more shards are made for more cores.
+SHARD, LEAST_ROWS = 100_000, 4096
 LINKS, BUILD, SEARCH = 16, 64, 96
 
 
@@ -130,7 +132,9 @@ def usable(embedding: Column) -> Column:
     return F.when(finite & (square > 0) & (square < float("inf")), v)
 
 
-_INDEX = "shard int, dim int, ids binary, counts binary, vectors binary, layers array<binary>, degrees array<binary>"
+_INDEX = "shard int, dim int, kind int, vec_id long, v binary, ids binary, counts binary, vectors binary, layers array<binary>, degrees array<binary>"
+_NAMES = [x.split()[0] for x in _INDEX.split(", ")]
+_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
 
 
 def _build(batches):
@@ -141,54 +145,78 @@ def _build(batches):
         vectors = np.array(t.column("v").to_pylist(), float).reshape(len(lists), -1)[order]
         lists = [lists[k] for k in order]
         g = Graph.build((vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32))
-        row = [int(shard), int(dim), np.concatenate([np.array(x, np.int64) for x in lists]).tobytes(), np.array([len(x) for x in lists], np.int32).tobytes(), vectors.tobytes(), [x.tobytes() for x in g.layers], [x.tobytes() for x in g.degrees]]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["shard", "dim", "ids", "counts", "vectors", "layers", "degrees"])
+        ids = np.concatenate([np.array(x, np.int64) for x in lists])
+        counts = np.array([len(x) for x in lists], np.int32)
+        row = [int(shard), int(dim), 0, None, None, ids.tobytes(), counts.tobytes(), vectors.tobytes(), [x.tobytes() for x in g.layers], [x.tobytes() for x in g.degrees]]
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _KINDS, strict=True)], names=_NAMES)
+
+
+class Shard:
+    """A shard's graph, read from its row."""
+
+    def __init__(self, row: dict):
+        self.key = row["shard"], row["dim"]
+        self.counts, self.ids = np.frombuffer(row["counts"], np.int32), np.frombuffer(row["ids"], np.int64)
+        self.ends, n = np.cumsum(self.counts), len(self.counts)
+        self.vectors = np.frombuffer(row["vectors"]).reshape(n, -1)
+        self.norms = np.linalg.norm(self.vectors, axis=1)
+        layers = [np.frombuffer(x, np.int32).reshape(n, -1) for x in row["layers"]]
+        self.graph = Graph((self.vectors / self.norms[:, None]).astype(np.float32), layers, [np.frombuffer(x, np.int32) for x in row["degrees"]])
+
+    def nearest(self, me: int, q: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        ids, ends, counts = self.ids, self.ends, self.counts
+        size = np.linalg.norm(q)
+        near = np.array(self.graph.nearest((q / size).astype(np.float32), max(SEARCH, 2 * k)))
+        s = (self.vectors[near] * q).sum(1) / (self.norms[near] * size)
+        best = sorted(((-float(a), int(x)) for x, a in zip(near, s, strict=True)), key=lambda y: (y[0], ids[ends[y[1]] - counts[y[1]]]))
+        out: list[tuple[int, int, float]] = []
+        for a, x in best:
+            out += [(me, y, -a) for y in ids[ends[x] - counts[x] : ends[x]].tolist() if y != me]
+            if len(out) >= k:
+                break
+        return out[:k]
 
 
-def _searcher(held, k: int):
+def _searcher(k: int):
     def run(batches):
+        """Rows sorted by shard, dim and kind: a shard's graph, then all queries, which pass by one at a time."""
+        shard = None
         for batch in batches:
-            for row in batch.to_pylist():
-                queries = held.value.get(row["dim"])
-                if queries is None:
-                    continue
-                own, asked = queries
-                counts = np.frombuffer(row["counts"], np.int32)
-                ids, ends = np.frombuffer(row["ids"], np.int64), np.cumsum(counts)
-                n = len(counts)
-                vectors = np.frombuffer(row["vectors"]).reshape(n, -1)
-                norms = np.linalg.norm(vectors, axis=1)
-                arrays = [np.frombuffer(x, np.int32).reshape(n, -1) for x in row["layers"]]
-                g = Graph((vectors / norms[:, None]).astype(np.float32), arrays, [np.frombuffer(x, np.int32) for x in row["degrees"]])
-                out: list[tuple[int, int, float]] = []
-                for q, me in zip(asked, own.tolist(), strict=True):
-                    size = np.linalg.norm(q)
-                    near = np.array(g.nearest((q / size).astype(np.float32), max(SEARCH, 2 * k)))
-                    s = (vectors[near] * q).sum(1) / (norms[near] * size)
-                    best = sorted(((-float(a), int(x)) for x, a in zip(near, s, strict=True)), key=lambda y: (y[0], ids[ends[y[1]] - counts[y[1]]]))
-                    left = k
-                    for a, x in best:
-                        for y in ids[ends[x] - counts[x] : ends[x]].tolist():
-                            if y != me and left > 0:
-                                out.append((me, y, -a))
-                                left -= 1
-                        if left <= 0:
-                            break
-                cols = list(zip(*out, strict=True)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+            out: list[tuple[int, int, float]] = []
+            kinds = batch.column(2).to_pylist()
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            asked, vectors = batch.column(3).to_pylist(), batch.column(4)
+            for at, kind in enumerate(kinds):
+                if kind == 0:
+                    shard = None  # freed before the next is read
+                    shard = Shard(batch.slice(at, 1).to_pylist()[0])
+                elif shard is not None and shard.key == keys[at]:  # without a graph, no vector of this length is in the shard
+                    out += shard.nearest(asked[at], np.frombuffer(vectors[at].as_buffer()), k)
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def build_index(rows: DataFrame, k: int, scratch: Scratch, shard_rows: int = SHARD) -> DataFrame:
-    """A row for each shard.  rows: vec_id, v."""
+def _packed(batches):
+    """Vectors as bytes."""
+    for batch in batches:
+        v = [np.array(x.as_py(), float).tobytes() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 8 for x in v], pa.int32()), pa.array(v, pa.binary())], names=["vec_id", "dim", "v"])
+
+
+def build_index(rows: DataFrame, k: int, scratch: Scratch, shard_rows: int = SHARD) -> tuple[DataFrame, int]:
+    """A row for each shard, and the number of shards.  rows: vec_id, v."""
     keyed = rows.select("vec_id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(3), "v").alias("h2")).dropDuplicates(["h1", "h2", "vec_id"])
     first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     distinct = scratch.keep(first.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.first("dim").alias("dim"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "distinct")
-    shards = max(1, -(-distinct.count() // shard_rows))
+    n = distinct.count()
+    # as many shards as cores while shards stay small, then as few as a task's memory allows, as each query visits them all
+    shards = max(1, -(-n // shard_rows), min(-(-n // LEAST_ROWS), rows.sparkSession.sparkContext.defaultParallelism))
     dealt = distinct.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "dim", "ids", "v").repartition(shards, "shard").sortWithinPartitions("shard", "dim")
-    return scratch.keep(dealt.mapInArrow(_build, _INDEX), "index").repartition(shards)
+    index = scratch.keep(dealt.mapInArrow(_build, _INDEX), "index")
+    scratch.drop("distinct")
+    return index, shards
 
 
 def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD) -> DataFrame:
@@ -196,19 +224,12 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 5, shard_rows: i
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "ann")
     of = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), usable(F.col("embedding")).alias("v")).where("vec_id is not null and v is not null")
-    index = build_index(of(embeddings), k, scratch, shard_rows)
-    asked = scratch.keep(of(queries).distinct(), "queries")
-    blocks = max(1, -(-asked.count() // QUERIES))
-    found = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        block = part.toArrow()  # at most about QUERIES vectors
-        by_dim: dict[int, list] = {}
-        for x, v in zip(block.column("vec_id").to_pylist(), block.column("v").to_pylist(), strict=True):
-            by_dim.setdefault(len(v), []).append((x, v))
-        held = spark.sparkContext.broadcast({d: (np.array([x for x, _ in rows], np.int64), np.array([v for _, v in rows], float)) for d, rows in by_dim.items()})
-        one = index.mapInArrow(_searcher(held, k), "query_id long, vec_id long, score double")
-        found = one if found is None else found.union(one)
+    index, shards = build_index(of(embeddings), k, scratch, shard_rows)
+    asked = of(queries).distinct().mapInArrow(_packed, "vec_id long, dim int, v binary")
+    nothing = [F.lit(None).cast(x.split(" ")[1]).alias(x.split(" ")[0]) for x in _INDEX.split(", ")[5:]]
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", F.lit(1).alias("kind"), "vec_id", "v", *nothing)
+    dealt = index.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "dim", "kind")
+    found = dealt.mapInArrow(_searcher(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
