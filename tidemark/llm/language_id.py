@@ -5,8 +5,10 @@ lower-cased, encoded in pieces of CHUNK bytes with every dictionary, and gets th
 total.  The margin is the share that the best saves over the second best; below REJECT it is narrow and `rejected` is
 true, and lang_pred still names the best.  The score rises with the margin from 0 to 1.
 
-Dictionaries take at most TEXTS pieces of PIECE characters a language, from the texts of smallest hash among all that may
-be learned from; predictions read every whole text.
+Dictionaries take at most TEXTS pieces of PIECE characters a language, each from a hashed place of a text, the texts being
+those of smallest hash among all that may be learned from.  Of n pieces each may take an nth of DICTIONARY bytes; with so many
+languages that all dictionaries would pass TOTAL bytes, all are smaller (below LEAST bytes it is an error).  Predictions
+read every whole text.
 
 A text that is null or has no letter is `und` with score 0, and so is any if nothing was learned.  With one language, all
 others are that one with score 1.  Ties go to the language first in order.  Rows without lang or text teach nothing.
@@ -26,8 +28,8 @@ from tidemark.llm.common import bucket
 
 FOLDS, HELD_OUT = 3, 1
 TEXTS, PIECE, DICTIONARY, CHUNK, REJECT = 100, 2000, 120_000, 4096, 0.01
-#: Languages whose dictionaries are collected and sent out; more are refused.
-LANGUAGES = 500
+#: Bytes of all dictionaries, which are collected and sent out, and the fewest of one.
+TOTAL, LEAST = 64_000_000, 2000
 _LETTER = re.compile(r"[^\W\d_]")
 _LEVEL, _PARAMS = 5, dict(min_match=4, write_content_size=0, write_checksum=0)
 
@@ -35,18 +37,24 @@ _LEVEL, _PARAMS = 5, dict(min_match=4, write_content_size=0, write_checksum=0)
 def learn(docs: DataFrame, texts: int = TEXTS) -> dict[str, bytes]:
     """The content of each language's dictionary."""
     own = F.coalesce(bucket("doc_id", FOLDS) != HELD_OUT, F.lit(False))
-    keys = docs.where(own & F.col("lang").isNotNull() & (F.length("text") > 0)).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    part = F.pmod("h", F.lit(32)).alias("part")  # a language of very many texts is first ranked in parts
-    for by in (["lang", part], ["lang"]):
-        keys = keys.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("n") <= texts)
-    first = keys.select("doc_id", "lang")
-    if first.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    pieces = docs.select("doc_id", "lang", F.substring("text", 1, PIECE).alias("piece")).join(F.broadcast(first), ["doc_id", "lang"])
-    held: dict[str, list[str]] = {}
-    for row in pieces.select("lang", "piece").collect():  # at most LANGUAGES times TEXTS pieces
-        held.setdefault(row["lang"], []).append(row["piece"].lower())
-    return {lang: "\n".join(sorted(set(x))).encode()[:DICTIONARY] for lang, x in sorted(held.items())}
+    known = docs.where(own & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "doc_id", F.xxhash64("text").alias("h"))
+    # the smallest hash of each of 4 * texts parts first: combined before the shuffle, so a language of most rows is no hot group
+    parts = known.groupBy("lang", F.pmod("h", F.lit(4 * texts)).alias("part")).agg(F.min(F.struct("h", "doc_id")).alias("x"))
+    first = parts.select("lang", "x.h", "x.doc_id").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= texts)
+    first = first.select("lang", "doc_id", "h").collect()  # at most `texts` a language
+    n_langs = max(1, len({r["lang"] for r in first}))
+    most = min(DICTIONARY, TOTAL // n_langs)
+    if most < LEAST:
+        raise ValueError(f"more than {TOTAL // LEAST} languages")
+    chosen = docs.sparkSession.createDataFrame([(r["lang"], r["doc_id"], r["h"]) for r in first], f"lang string, doc_id {dict(docs.dtypes)['doc_id']}, h long")
+    size = F.length("text")
+    start = F.pmod(F.xxhash64(F.lit(7), "text"), F.greatest(size - PIECE + 1, F.lit(1))).cast("int") + 1
+    rows = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), ["lang", "doc_id", "h"])
+    pieces = rows.groupBy("lang", "h").agg(F.min(F.substr("text", start, F.lit(PIECE))).alias("piece")).collect()  # as many
+    held: dict[str, list[bytes]] = {}
+    for row in sorted(pieces, key=lambda r: (r["lang"], r["h"])):
+        held.setdefault(row["lang"], []).append(row["piece"].lower().encode())
+    return {lang: b"\n".join(x[: most // len(got)] for x in got) for lang, got in held.items()}
 
 
 class Judge:
