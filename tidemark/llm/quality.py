@@ -12,7 +12,9 @@ Fitting uses at most PER_CLASS labelled texts a class, those of smallest hash, o
 counts of all labels.  Scoring reads every whole text.
 
 Null and empty texts have no indicator and get the score of the bias.  Label rows without id or label teach nothing; of
-several for one document the lowest decides.  If one class is missing, all get the other.  Repeated rows get equal scores.
+several for one document the lowest decides.  If one class is missing, all get the other.  Repeated rows get equal scores,
+ties at 0.5 count as good, and texts of any length are read whole.  An empty table gives an empty result.  `quality` ignores other
+columns; `keep_good` returns them all, also those named like an output.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ from __future__ import annotations
 import functools
 import operator
 import unicodedata
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucket
+from tidemark.llm.common import Scratch, bucket, smallest
 
 FOLDS, HELD_OUT = 3, 1
 PER_CLASS, LEAST, N = 4000, 5, 4
@@ -118,20 +121,23 @@ def _lengths(shape: np.ndarray) -> np.ndarray:
 
 def _features(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(codes(x.as_py())).tobytes() for x in batch.column(1)], pa.binary())], names=["quality", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(codes(x.as_py())).tobytes() for x in batch.column(1)], pa.binary()), batch.column(2)], names=["quality", "x", "h"])
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], list[np.ndarray], np.ndarray]:
     """Counts of all usable labels, and features and labels of the chosen texts."""
     own = F.coalesce(bucket("doc_id", FOLDS) != HELD_OUT, F.lit(False))
-    known = labels.where(own & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    scratch = Scratch(docs.sparkSession, "quality")
+    known = labels.where(own & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    known = scratch.keep(known, "known")
     counts = {int(r[0]): r[1] for r in known.groupBy("quality").count().collect()}
-    chosen = None
-    for k in (0, 1):
-        part = known.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS)
-        chosen = part if chosen is None else chosen.union(part)
+    of = lambda df, h: [smallest(df.where(F.col("quality") == k), h, PER_CLASS) for k in (0, 1)]
+    chosen = reduce(DataFrame.union, of(known, F.xxhash64("doc_id")))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("quality", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
-    rows = sorted((bytes(r["x"]), int(r["quality"])) for r in texts.select("quality", "text").mapInArrow(_features, "quality int, x binary").collect())
+    texts = scratch.keep(texts.select("quality", "text", "h").mapInArrow(_features, "quality int, x binary, h long"), "texts")
+    # once more, as an id may stand for many texts
+    rows = sorted((bytes(r["x"]), r["quality"]) for part in of(texts, F.col("h")) for r in part.collect())
+    scratch.drop("known", "texts")
     return counts, [np.frombuffer(x, np.int32) for x, _ in rows], np.array([y for _, y in rows])
 
 
