@@ -9,7 +9,8 @@ Fitting uses at most POSITIVES toxic and UNLABELLED other texts, those of smalle
 labels cover all.  Scoring reads every whole text.
 
 Null, empty and wordless texts get the score of no feature.  Label rows without id or label teach nothing; of several
-for one document, one that says toxic decides.  Without any toxic label all scores are 0.  Repeated rows get equal scores.
+for one document, one that says toxic decides.  Without any toxic label all scores are 0.  Repeated rows get equal scores,
+ties at 0.5 count as toxic, and texts of any length are read whole.  Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucket
+from tidemark.llm.common import Scratch, bucket, smallest
 
 FOLDS, HELD_OUT = 5, 0
 POSITIVES, UNLABELLED, FEATURES, SPACE = 4000, 8000, 2048, 1 << 20
@@ -42,22 +43,25 @@ def hashed(text: str | None) -> np.ndarray:
 
 def _features(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashed(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], names=["toxic", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashed(x.as_py()).tobytes() for x in batch.column(1)], pa.binary()), batch.column(2)], names=["toxic", "x", "h"])
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
     """The class prior, and the features of toxic and of unlabelled texts."""
     own = F.coalesce(bucket("doc_id", FOLDS) != HELD_OUT, F.lit(False))
-    known = labels.where(own & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    known = scratch.keep(labels.where(own & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "known")
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    by_hash = F.xxhash64("doc_id")
-    toxic = known.where("toxic = 1").orderBy(by_hash, "doc_id").limit(POSITIVES).select("doc_id", F.lit(1).alias("toxic"))
-    free = docs.where(own).select("doc_id").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(UNLABELLED).select("doc_id", F.lit(0).alias("toxic"))
+    toxic = smallest(known.where("toxic = 1"), F.xxhash64("doc_id"), POSITIVES)
+    free = smallest(docs.where(own).select("doc_id"), F.xxhash64(F.lit(1), "doc_id"), UNLABELLED).select("doc_id", F.lit(0).alias("toxic"))
     chosen = toxic.union(free)  # at most POSITIVES + UNLABELLED rows of two numbers
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("toxic", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
-    rows = texts.select("toxic", "text").mapInArrow(_features, "toxic int, x binary").collect()
-    of = lambda k: [np.frombuffer(r["x"], np.int32) for r in sorted(rows, key=lambda r: bytes(r["x"])) if r["toxic"] == k]
-    return prior, of(1), of(0)
+    texts = scratch.keep(texts.select("toxic", "text", "h").mapInArrow(_features, "toxic int, x binary, h long"), "texts")
+    # once more, as an id may stand for many texts
+    of = lambda k, n: [np.frombuffer(x, np.int32) for x in sorted(bytes(r["x"]) for r in smallest(texts.where(F.col("toxic") == k), F.col("h"), n).collect())]
+    found = prior, of(1, POSITIVES), of(0, UNLABELLED)
+    scratch.drop("known", "texts")
+    return found
 
 
 def _matrix(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
