@@ -15,12 +15,14 @@ windows, of which one has half or more of its matched shingles in the other, onl
 (if equal, that of which more is there; if that is equal too, both).
 
 Templates are a parameter (KNOWN: the notices below and the bodies in license_texts); their shingles and bands are broadcast,
-so there may be at most TEMPLATES.  Templates of fewer than five words are refused.  Null, empty and short texts have no match.
+so there may be at most TEMPLATES.  Templates of fewer than five words are an error.  Null, empty and short texts have no match;
+texts of any length are read whole.  Extra columns are ignored; an empty table gives an empty result.
 Rows that agree in doc_id and text are one document.  A document may match several licenses, and a row is returned for each.
 """
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,6 +122,9 @@ def templates(spark: SparkSession, notices: list[tuple[str, str]]) -> DataFrame:
     """license, n (words), shingles."""
     if len(notices) > TEMPLATES:
         raise ValueError(f"more than {TEMPLATES} templates")
+    short = [x for x, t in notices if len([w for w in re.split(r"[\W_]+", t) if w]) < SHINGLE]
+    if short:
+        raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
     rows = spark.createDataFrame([(k, x, t) for k, (x, t) in enumerate(notices)], "template int, license string, text string")
     rows = rows.select("template", "license", _once(scan_words(F.col("text"))).alias("words")).where(F.size("words") >= SHINGLE)
     return rows.select("template", "license", F.size("words").alias("n"), _once(_shingles(F.col("words"))).alias("shingles"))
