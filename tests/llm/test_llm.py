@@ -144,6 +144,39 @@ def test_proximity_with_words_that_the_corpus_lacks(spark):
     assert "op3_near_matches" in queries.QUERIES
 
 
+def test_decontaminate_repeated_rows_long_texts_and_extra_columns(spark):
+    item = " ".join(f"w{k}" for k in range(14))
+    long = f"{'filler ' * 30_000}{item} {'filler ' * 30_000}{item}"
+    rows = [(1, item, 5)] * 3 + [(1, item + " more", 6), (2, long, 7), (3, "w1 " * 12, 8)]
+    items = spark.createDataFrame([(7, item, "x"), (8, "w1 w1 w1", "x")], "item_id int, text string, n_words string")
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, DOCS + ", n_hit int"), items, near=None).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in got) == [(1, 14, 14, 1)] * 3 + [(1, 15, 14, 1), (2, 60_028, 28, 1), (3, 12, 12, 1)]
+
+
+def brute_near(text, item):
+    """Whether ten words in a row hold eight tenths of the different words of a window, in any order."""
+    words, terms = text.split(), item.split()
+    cuts = [set(words[k : k + 10]) for k in range(max(1, len(words) - 9))]
+    wanted = [set(terms[k : k + 10]) for k in range(max(1, len(terms) - 9))]
+    return any(len(c & w) >= 0.8 * len(w) - 1e-9 for c in cuts for w in wanted)
+
+
+def test_proximity_agrees_with_brute_force(spark):
+    rng = random.Random(4)
+    pool = [f"w{k}" for k in range(30)]
+    items = {str(k): " ".join(rng.sample(pool, rng.randrange(4, 16))) for k in range(6)}
+    texts = {}
+    for k in range(60):
+        words = rng.choice(list(items.values())).split()
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(len(words))] = rng.choice([*pool, "other"])
+        rng.shuffle(words) if k % 2 else None
+        texts[k] = " ".join([*rng.choices(pool, k=rng.randrange(12)), *words, *rng.choices(pool, k=rng.randrange(6))])
+    got = decontaminate.decontaminate(spark.createDataFrame(list(texts.items()), DOCS), spark.createDataFrame(list(items.items()), "item_id string, text string"))
+    exact = {k: {i for i, x in items.items() if any(f" {' '.join(x.split()[s : s + 10])} " in f" {t} " for s in range(max(1, len(x.split()) - 9)))} for k, t in texts.items()}
+    assert {r["doc_id"]: (r["n_items"], r["n_near_items"]) for r in got.collect()} == {k: (len(exact[k]), sum(brute_near(t, x) for i, x in items.items() if i not in exact[k])) for k, t in texts.items()}
+
+
 def test_components(spark):
     rows = [(1, 2), (2, 3), (10, 11), (11, 12), (12, 13), (13, 14), (5, 5)] + [(100, k) for k in range(101, 160)]
     got = components(spark.createDataFrame(rows, "a long, b long"), Scratch(spark, "t")).collect()

@@ -57,6 +57,14 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["_d"].eqNullSafe(b["_d"]) & (a["_t"] == b["_t"])
 
 
+def one_of_each(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """One of the rows of each key (_d, _t), and the keys that several rows have: (d, t, n).  Only rows of these are shuffled."""
+    several = texts.groupBy(F.col("_d").alias("d"), F.col("_t").alias("t")).agg(F.count("*").alias("n")).where("n > 1")
+    several = scratch.keep(several, "several")
+    same = texts["_d"].eqNullSafe(several["d"]) & (texts["_t"] == several["t"])
+    return texts.join(several, same, "left_anti").union(texts.join(several, same, "left_semi").dropDuplicates(["_d", "_t"])), several
+
+
 def raw_words(text: Column) -> Column:
     """The words of a text in order, with case kept; null and empty texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN_WORDS, -1), "")

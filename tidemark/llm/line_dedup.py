@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, row_key
+from tidemark.llm.common import Scratch, one_of_each, row_key
 
 MIN_WORDS = 10
 #: Places in a stretch of the suffix array, from the second merge on.
@@ -49,11 +49,7 @@ def _lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # all scripts that need cutting are from U+0E00 on; most texts have nothing there
     plain = F.when(F.length("text") == F.octet_length("text"), True).otherwise(~F.col("text").rlike(r"[^\x00-\u0DFF]"))
     texts = docs.where(F.length("text") > 0).select(*row_key(), "text", plain.alias("plain"))
-    # only texts of rows that are there more than once are shuffled
-    several = texts.groupBy(F.col("_d").alias("d"), F.col("_t").alias("t")).agg(F.count("*").alias("n")).where("n > 1").select("d", "t")
-    several = scratch.keep(several, "several")
-    same = texts["_d"].eqNullSafe(several["d"]) & (texts["_t"] == several["t"])
-    once = texts.join(several, same, "left_anti").union(texts.join(several, same, "left_semi").dropDuplicates(["_d", "_t"]))
+    once, _ = one_of_each(texts, scratch)
     lines = once.select(F.col("_d").alias("d"), F.col("_t").alias("t"), "plain", F.posexplode(F.split("text", "\n", -1)).alias("p", "x"))
     words = F.when(F.col("plain"), line_words(F.col("x"), False)).otherwise(line_words(F.col("x"), True))
     return lines.select("d", "t", "p", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(11), "x").alias("h2"), words.alias("w"))
