@@ -39,7 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    dirty = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_xd"), F.col("_t").alias("_xt")).distinct()
+    dirty = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), near=None).where("contaminated").select(F.col("doc_id").alias("_xd"), F.col("_t").alias("_xt")).distinct()
     keyed = docs.select("*", *row_key())
     return keyed.join(dirty, keyed["_d"].eqNullSafe(dirty["_xd"]) & (keyed["_t"] == dirty["_xt"]), "left_anti").select(*docs.columns)
 
