@@ -53,7 +53,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def index(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """The postings (_d, _t, pos, tid) of the terms (term, tid) in all texts (_d, _t, text), from position 1 on; at 0 stands,
     with tid -1, the number n of the text's words."""
-    marked = terms.union(texts.sparkSession.createDataFrame([("", -1)], "term string, tid long"))
+    marked = terms.union(texts.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).cast("long").alias("tid")))  # of known size, to be broadcast
     words = texts.select("_d", "_t", raw_words(F.col("text")).alias("words"))
     places = words.select("_d", "_t", F.size("words").alias("n"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("pos", "raw"))
     found = places.withColumn("term", lower_az(F.col("raw"))).join(marked, "term")
