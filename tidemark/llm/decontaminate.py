@@ -5,8 +5,8 @@
 2. Posting lists are counted.  Each window of ten item words is a list of terms with offsets, from the rarest term on;
    windows with a term that the corpus lacks go.
 3. Intersection: the list of the rarest term, shifted by its offset, gives the places where a window may begin.  They are
-   intersected with the shifted list of the second rarest term, and what is left, which is little, with all other lists at
-   once.  Joins are by document, position and term, so no term and no document is a hot key.
+   intersected with the shifted list of the second rarest term, and what is left, which is little, with all other lists of
+   the documents left at once.  Joins are by document, position and term, so no term and no document is a hot key.
 4. A place that is in all lists of a window is an exact phrase.  The words of all phrases of a document are counted once.
 
 Proximity matches (`near`) are stretches of ten document words that hold NEAR of the different terms of a window, in any
@@ -87,7 +87,9 @@ def phrases(postings: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFra
     left = scratch.keep(second.join(lists, _same_place(second, lists)).select(second["_d"], second["_t"], "s", "wid", "rest"), "begun")
     open_ = left.select("_d", "_t", "s", "wid", F.size("rest").alias("n"), F.explode("rest").alias("y"))
     open_ = scratch.keep(open_.select("_d", "_t", "s", "wid", "n", (F.col("s") + F.col("y.off")).alias("pos"), F.col("y.tid").alias("tid")), "open")
-    there = open_.join(postings.select("_d", "_t", "pos", "tid"), _same_place(open_, postings)).select(open_["_d"], open_["_t"], "s", "wid", "n")
+    docs = scratch.keep(left.select(F.col("_d").alias("d"), F.col("_t").alias("t")).distinct(), "begun-docs")
+    theirs = postings.join(docs, postings["_d"].eqNullSafe(docs["d"]) & (postings["_t"] == docs["t"]), "left_semi").select("_d", "_t", "pos", "tid")
+    there = open_.join(theirs, _same_place(open_, theirs)).select(open_["_d"], open_["_t"], "s", "wid", "n")
     full = there.groupBy("_d", "_t", "s", "wid", "n").agg(F.count("*").alias("c")).where("c = n").select("_d", "_t", "s", "wid")
     return whole.union(left.where(F.size("rest") == 0).select("_d", "_t", "s", "wid")).union(full)
 
