@@ -40,28 +40,29 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def bytes_label(c: Column) -> Column:
-    """M03."""
+    """What is no number counts as 0."""
+    n = number(c)
     return (
-        F.when(c.isNull(), F.lit(None))
-        .when(c < 1024, F.concat(F.format_number(c.cast("double"), 0), F.lit(" B")))
-        .when(c < 1024 * 1024, F.concat(F.format_number(c / 1024, 1), F.lit(" KB")))
-        .otherwise(F.concat(F.format_number(c / (1024 * 1024), 1), F.lit(" MB")))
+        F.when(n < 1024, F.concat(round_half_up(n).cast("string"), F.lit(" B")))
+        .when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB")))
+        .otherwise(F.concat(F.format_string("%.1f", n / (1024 * 1024)), F.lit(" MB")))
     )
 
 
 def ms_label(c: Column) -> Column:
-    """M04."""
-    return F.when(c >= 1000, F.concat(F.format_number(c / 1000, 1), F.lit(" s"))).otherwise(F.concat(F.format_number(round_half_up(c), 0), F.lit(" ms")))
+    """What is no number counts as 0."""
+    n = number(c)
+    return F.when(n >= 1000, F.concat(F.format_string("%.2f", n / 1000), F.lit(" s"))).otherwise(F.concat(round_half_up(n).cast("string"), F.lit(" ms")))
 
 
-def percent_label(c: Column, digits: int = 1) -> Column:
-    """M05."""
-    return F.concat(F.format_number(c, digits), F.lit("%"))
+def grouped_label(c: Column, digits: int = 0) -> Column:
+    """Thousands in groups, at most so many digits after the point, and no zeros at their end."""
+    return F.call_function("format_number", F.round(number(c), digits), F.lit("#,##0" + ("." + "#" * digits if digits else "")))
 
 
-def grouped_label(c: Column) -> Column:
-    """M05."""
-    return F.format_number(round_half_up(c), 0)
+def percent_label(c: Column, digits: int = 1) -> Column:
+    """A share as a percentage."""
+    return F.concat(grouped_label(number(c) * 100, digits), F.lit("%"))
 
 
 def band_midpoint(c: Column) -> Column:
@@ -118,7 +119,7 @@ def direction(value: Column, inverse: bool = False) -> Column:
 
 def age_label(years: Column) -> Column:
     """K17."""
-    return F.when(years < 1, "<1 year").otherwise(F.concat(F.floor(years).cast("string"), F.when(F.floor(years) == 1, " year").otherwise(" years")))
+    return F.when(years < 1, "<1 year").otherwise(F.concat(F.floor(years).cast("string"), F.lit(" years")))
 
 
 def snap(c: Column, allowed: list[str], fallback: str) -> Column:

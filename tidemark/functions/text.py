@@ -55,8 +55,9 @@ def decode_more(c: Column) -> Column:
 
 def strip(html: Column) -> Column:
     """Markup to text."""
-    body = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", " ")
-    return collapse(decode(F.regexp_replace(body, r"<[^>]*>", " ")))
+    for name in ("script", "style", "noscript"):
+        html = F.regexp_replace(html, rf"(?is)<{name}.*?</{name}>", " ")
+    return collapse(decode(F.regexp_replace(html, r"<[^>]+>", " ")))
 
 
 def strip_tags(html: Column) -> Column:
@@ -71,7 +72,7 @@ def attr(tag: Column, name: str) -> Column:
 
 
 def has_attr(tag: Column, name: str) -> Column:
-    return F.rlike(tag, F.lit(rf"(?i)\s{name}\s*="))
+    return F.rlike(tag, F.lit(rf"(?i)\s{name}(?:\s*=|\s|>)"))
 
 
 def tags(html: Column, name: str) -> Column:
@@ -85,7 +86,7 @@ def first(values: Column) -> Column:
 
 def meta(metas: Column, key: str, value: str) -> Column:
     """The content of the first meta tag whose key has the value; metas: the array of tags."""
-    return first(F.transform(F.filter(metas, lambda t: F.lower(attr(t, key)) == value.lower()), lambda t: decode(attr(t, "content"))))
+    return first(F.transform(F.filter(metas, lambda t: F.lower(attr(t, key)) == value.lower()), lambda t: attr(t, "content")))
 
 
 def link_rel(links: Column, rel: str) -> Column:
@@ -121,14 +122,14 @@ def strip_markdown_links(c: Column) -> Column:
 
 
 def microdata_types(html: Column) -> Column:
-    """E20."""
-    return F.array_distinct(F.regexp_extract_all(html, F.lit(r"(?i)itemtype\s*=\s*[\"']https?://schema\.org/([^\"'#?\s]+)"), 1))
+    """In order, repeats included."""
+    return F.regexp_extract_all(html, F.lit(r"(?i)itemtype\s*=\s*[\"']https?://schema\.org/([^\"']+)[\"']"), 1)
 
 
 def rdfa_types(html: Column) -> Column:
-    """Any typeof, in script code too."""
+    """Any typeof, in script code too; in order, repeats included."""
     values = F.regexp_extract_all(html, F.lit(r"(?i)typeof\s*=\s*[\"']([^\"']+)[\"']"), 1)
-    return F.array_distinct(F.filter(F.flatten(F.transform(values, lambda v: F.split(v, r"\s+"))), lambda x: x != ""))
+    return F.filter(F.flatten(F.transform(values, lambda v: F.split(v, r"\s+"))), lambda x: x != "")
 
 
 def escape_html(c: Column) -> Column:
@@ -145,8 +146,8 @@ def excerpt(text: Column, n: int = EXCERPT) -> Column:
 
 def site_name(name_in_data: Column, page_title: Column) -> Column:
     """The name that structured data gives, else the title up to a bar or dash, else a default."""
-    head = trim(F.get(F.split(page_title, r"[|–—-]", -1), F.lit(0)))
-    return F.coalesce(F.nullif(name_in_data, F.lit("")), F.nullif(head, F.lit("")), F.lit("Website"))
+    head = F.get(F.split(page_title, r"[|–—-]", -1), F.lit(0))
+    return strip(F.coalesce(F.nullif(name_in_data, F.lit("")), F.nullif(head, F.lit("")), F.lit("Website")))
 
 
 def ellipsis(c: Column, n: int) -> Column:

@@ -181,11 +181,18 @@ def public_url(c: Column) -> Column:
     return F.when(ok, normalise(full))
 
 
-def search_queries(root: Column) -> Column:
+def search_queries(name: Column) -> Column:
     """Queries that look for links to a host."""
-    return F.array(F.format_string('"%s"', root), F.format_string('"%s" -site:%s', root, root), F.format_string('"https://%s"', root), F.format_string('"www.%s"', root))
+    return F.array(F.format_string('"%s" -site:%s', name, name), F.format_string('"https://%s" OR "http://%s" -site:%s', name, name, name))
 
 
-def valid_query(query: Column, root: Column) -> Column:
-    """R10."""
-    return (F.length(query) <= 180) & F.lower(query).contains(root)
+def valid_query(query: Column, name: Column) -> Column:
+    """A suggested query with blanks folded, or '' if it is empty, too long, or does not name the host."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(query, F.lit("")), r"\s+", " "), "^ | $", "")
+    return F.when((F.length(plain) <= 180) & F.lower(plain).contains(F.lower(name)), plain).otherwise("")
+
+
+def query_plan(name: Column, suggested: Column, most: int = 4) -> Column:
+    """The own queries and the valid ones of an array of suggestions, once each, the first `most`."""
+    valid = F.filter(F.transform(suggested, lambda q: valid_query(q, name)), lambda q: q != "")
+    return F.slice(F.array_distinct(F.concat(search_queries(name), valid)), 1, most)

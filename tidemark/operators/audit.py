@@ -46,8 +46,8 @@ def _finding(code: str, category: str, severity: str | Column, fires: Column, ev
 
 
 @lru_cache(maxsize=4)
-def _rules(gateway: int, crawled: bool) -> Column:
-    """The array of a page's findings; built once for a gateway."""
+def _rules(app: str, crawled: bool) -> Column:
+    """The array of a page's findings; built once for an application."""
     c = F.col
     error = c("error") if crawled else F.lit(None).cast("string")
     images_no_alt = F.size(F.filter("images", lambda i: ~i["has_alt"]))
@@ -80,15 +80,39 @@ def _rules(gateway: int, crawled: bool) -> Column:
     return F.when(error.isNotNull(), crawl).otherwise(F.array_compact(F.array(*rules)))
 
 
+def page_findings(pages: DataFrame) -> Column:
+    """The array of each page's findings."""
+    return _rules(pages.sparkSession.sparkContext.applicationId, "error" in pages.columns)
+
+
 def findings(pages: DataFrame) -> DataFrame:
     """Url, category, severity, status, code, evidence.  A page whose `error` is set yields that finding alone."""
-    all_of = _rules(id(pages.sparkSession.sparkContext._gateway), "error" in pages.columns)
-    return pages.select(F.col("final_url").alias("url"), F.explode(all_of).alias("f")).select("url", "f.*")
+    return pages.select(F.col("final_url").alias("url"), F.explode(page_findings(pages)).alias("f")).select("url", "f.*")
 
 
 def missing_alt(pages: DataFrame) -> DataFrame:
     """Evidence rows: images without alternative text."""
-    return pages.select(F.col("final_url").alias("source_url"), F.explode("images").alias("i")).where("not i.has_alt").select(F.col("i.src").alias("image_url"), "source_url", F.col("i.tag").alias("evidence"))
+    return pages.select(F.col("final_url").alias("source_url"), F.explode("images").alias("i")).where("not i.has_alt").select(F.col("i.src").alias("image_url"), "source_url", F.substring("i.tag", 1, 500).alias("evidence"))
+
+
+def pages_missing_alt(evidence: DataFrame) -> DataFrame:
+    """How many pages have an image without alternative text."""
+    return evidence.agg(F.count_distinct("source_url").alias("pages"))
+
+
+def image_total(rows: DataFrame) -> DataFrame:
+    """Images of all pages of an inventory."""
+    return rows.agg(F.coalesce(F.sum("images"), F.lit(0)).cast("long").alias("images"))
+
+
+def of_severity(found: DataFrame, shown: str = "all") -> DataFrame:
+    """All findings, or those of one severity."""
+    return found if shown == "all" else found.where(F.col("severity") == shown)
+
+
+def load_more(found: DataFrame, order: list[Column], times: int = 1, step: int = 16) -> DataFrame:
+    """What a list shows after so many times; order must be total."""
+    return found.orderBy(*order).limit(max(1, times) * step)
 
 
 def audited_links(pages: DataFrame) -> DataFrame:
@@ -106,7 +130,7 @@ def audited_links(pages: DataFrame) -> DataFrame:
 def link_state(status_code: Column, label: Column) -> Column:
     """Broken, unverified, or null for neither."""
     broken = status_code.isin(404, 410) | (status_code >= 500)
-    unverified = label.isin("Blocked", "Unverified", "Error") | status_code.isin(401, 403, 429)
+    unverified = label.isin("Blocked", "Unverified") | status_code.isin(401, 403, 429)
     return F.when(F.coalesce(broken, F.lit(False)), "broken").when(F.coalesce(unverified, F.lit(False)), "unverified")
 
 
@@ -155,16 +179,16 @@ def priority(url: Column, n_links: Column, words: Column) -> Column:
     return F.when(F.rlike(url, F.lit(COMMERCIAL)) | (n_links >= 10) | (words >= 900), "High").when(F.rlike(url, F.lit(SUPPORT)) | (words >= 350), "Medium").otherwise("Low")
 
 
-def inventory(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """Page inventory (A02, J06): facts of a page with counts of its findings, images without alternative text, priority."""
+def inventory(pages: DataFrame) -> DataFrame:
+    """Page inventory (A02, J06): facts of a page with counts of its findings, images without alternative text, priority.
+    Findings are counted within the row, so nothing is joined."""
     internal = F.size(F.filter("links", lambda x: same_origin(x["url"], F.col("final_url"))))
-    rows = pages.select(
+    rows = pages.withColumn("_f", page_findings(pages)).select(
         F.col("final_url").alias("url"), "status", "title", "description", F.coalesce(F.get("h1", F.lit(0)), F.lit("")).alias("h1"), "canonical", "word_count", "schema_types",
         F.size("images").alias("images"), F.size(F.filter("images", lambda i: ~i["has_alt"])).alias("missing_alt"), internal.alias("internal_links"),
+        F.size("_f").cast("long").alias("issues"), *[F.size(F.filter("_f", lambda f: f["severity"] == s)).cast("long").alias(n) for s, n in (("critical", "critical"), ("warning", "warnings"))],  # noqa: B023
     )
-    counts = severity_counts(found, "url").select("url", F.col("findings").alias("issues"), "critical", "warnings")
-    out = rows.join(counts, "url", "left").fillna(0, ["issues", "critical", "warnings"])
-    return out.withColumn("priority", priority(F.col("url"), F.col("internal_links"), F.col("word_count")))
+    return rows.withColumn("priority", priority(F.col("url"), F.col("internal_links"), F.col("word_count")))
 
 
 def priority_levels(pages: DataFrame) -> DataFrame:

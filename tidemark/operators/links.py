@@ -20,16 +20,23 @@ def follow(rel: Column) -> Column:
 
 
 def verify(pages: DataFrame, target_root: str) -> DataFrame:
-    """For each page its first link to the target's domain, or a row that says there is none.
+    """For each page its first link to the target's domain, or a row that says there is none, or the error of a page
+    that could not be read.  Pages of the target's own domain are left out.
 
-    pages: final_url, status, links.  The match is found within the page's array; nothing is exploded."""
+    pages: final_url, status, links, and error if there are failed ones.  The match is found within the page's array;
+    nothing is exploded."""
     hit = F.get(F.filter("links", lambda x: root_domain(host(x["url"])) == target_root), F.lit(0))
-    rows = pages.select(F.col("final_url").alias("source_url"), root_domain(host(F.col("final_url"))).alias("source_domain"), F.col("status").alias("http_status"), hit.alias("x"))
-    none = F.col("x").isNull()
+    failed = F.col("error").cast("string") if "error" in pages.columns else F.lit(None).cast("string")
+    hit = F.when(failed.isNull(), hit)
+    rows = pages.select(F.col("final_url").alias("source_url"), root_domain(host(F.col("final_url"))).alias("source_domain"), F.col("status").alias("http_status"), hit.alias("x"), failed.alias("error"))
+    none = F.col("x").isNull() & F.col("error").isNull()
+    rows = rows.where(F.col("error").isNotNull() | (F.col("source_domain") != target_root))
+    own = lambda c: F.when(F.col("error").isNull(), F.col(c)).alias(c)
+    rel, ok = F.lower(F.col("x.rel")), F.col("http_status").between(200, 299)
     return rows.select(
-        "source_url", "source_domain", F.col("x.url").alias("target_url"), F.coalesce("x.anchor", F.lit("")).alias("anchor"), F.coalesce("x.rel", F.lit("")).alias("rel"),
-        (~none & follow(F.col("x.rel"))).alias("follow"), (~none & F.col("http_status").between(200, 299)).alias("live"), none.alias("no_link_found"), "http_status",
-    ).where(F.col("source_domain") != target_root)
+        "source_url", own("source_domain"), F.col("x.url").alias("target_url"), F.coalesce(F.substring("x.anchor", 1, 180), F.lit("")).alias("anchor"), F.coalesce(rel, F.lit("")).alias("rel"),
+        (F.col("x").isNotNull() & follow(rel)).alias("follow"), F.coalesce(F.col("x").isNotNull() & ok, F.lit(False)).alias("live"), none.alias("no_link_found"), own("http_status"), "error",
+    )
 
 
 def first_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -85,7 +92,7 @@ def authority(s: DataFrame, page_rank: float = 0.0) -> DataFrame:
 
 def confidence(candidates: Column, n_live: Column) -> Column:
     """K09."""
-    return F.when(candidates == 0, "Insufficient").when(n_live >= 20, "High").when(n_live >= 5, "Medium").otherwise("Low")
+    return F.when(candidates == 0, "Insufficient evidence").when(n_live >= 20, "High").when(n_live >= 5, "Medium").otherwise("Low")
 
 
 def authority_fallback(page_rank: Column) -> Column:

@@ -1,7 +1,8 @@
 """Web-page extraction (S02, E01-E21, N01-N03): raw HTML rows to page rows, in one pass and without a shuffle.
 
 The expensive expressions (stripped text, tag lists) are computed once in a first projection; a repartition of single-file
-inputs is left to the caller, since a table of many files needs none.
+inputs is left to the caller, since a table of many files needs none.  An empty reference resolves to the page's own URL, so a
+page without a canonical link is its own canonical, as surveyed.
 """
 
 from __future__ import annotations
@@ -13,115 +14,107 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
+from tidemark.operators import blocks
 
 #: JSON-LD blocks that are read of a page.
 MAX_BLOCKS = 100
 _BLOCK = r"(?is)<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
-_ANCHOR = r"(?is)(<a\b[^>]*>)(.*?)</a>"
+_ANCHOR = r"(?is)<a\b[^>]*>.*?</a>"
 
 
 def images(html: Column, base: Column) -> Column:
-    """Source with lazy-loading fallbacks, alternative text, size; images without source are dropped.  base: base_parts."""
+    """Source with lazy-loading fallbacks, alternative text, size; without source, the page's own URL is the source, as an
+    empty reference resolves to it.  base: base_parts."""
     src = lambda tag: F.coalesce(*[F.nullif(T.attr(tag, n), F.lit("")) for n in ("src", "data-src", "data-lazy-src")], F.lit(""))
     size = lambda tag, n: F.nullif(T.attr(tag, n).try_cast("double"), F.lit(0.0))
-    tags = F.filter(T.tags(html, "img"), lambda tag: src(tag) != "")
-    found = F.transform(tags, lambda tag: F.struct(tag.alias("tag"), T.decode(T.attr(tag, "alt")).alias("alt"), T.has_attr(tag, "alt").alias("has_alt"), size(tag, "width").alias("width"), size(tag, "height").alias("height"), T.attr(tag, "loading").alias("loading")))
+    tags = T.tags(html, "img")
+    found = F.transform(tags, lambda tag: F.struct(tag.alias("tag"), T.attr(tag, "alt").alias("alt"), T.has_attr(tag, "alt").alias("has_alt"), size(tag, "width").alias("width"), size(tag, "height").alias("height"), T.attr(tag, "loading").alias("loading")))
     made = F.zip_with(found, U.resolve(F.transform(tags, src), base), lambda x, u: F.struct(u.alias("src"), x["alt"].alias("alt"), x["has_alt"].alias("has_alt"), x["width"].alias("width"), x["height"].alias("height"), x["loading"].alias("loading"), x["tag"].alias("tag")))
     return F.filter(made, lambda x: x["src"] != "")
 
 
 def anchors(html: Column) -> Column:
-    """The opening tags of anchors and what is in them."""
-    heads, bodies = (F.regexp_extract_all(html, F.lit(_ANCHOR), k) for k in (1, 2))
-    return F.zip_with(heads, bodies, lambda tag, body: F.struct(F.trim(T.decode(T.attr(tag, "href"))).alias("href"), body.alias("body"), T.attr(tag, "rel").alias("rel")))
+    """Anchors, each as a whole, with its reference and rel."""
+    whole = F.regexp_extract_all(html, F.lit(_ANCHOR), 0)
+    return F.transform(whole, lambda tag: F.struct(T.attr(tag, "href").alias("href"), tag.alias("body"), T.attr(tag, "rel").alias("rel")))
 
 
 def links(found: Column, base: Column) -> Column:
-    """Resolved http(s) links with anchor text and rel.  found: anchors; base: base_parts."""
-    found = F.filter(found, lambda x: x["href"] != "")
+    """Resolved http(s) links with anchor text and rel; without a reference, a link to the page itself.
+    found: anchors; base: base_parts."""
     made = F.zip_with(found, U.resolve(F.transform(found, lambda x: x["href"]), base), lambda x, u: F.struct(u.alias("url"), T.strip(x["body"]).alias("anchor"), x["rel"].alias("rel")))
-    return F.filter(made, lambda x: F.rlike(x["url"], F.lit(r"^https?://")))
+    return F.filter(made, lambda x: F.rlike(x["url"], F.lit(r"^https?:")))
 
 
-def json_ld(html: Column) -> Column:
-    """Up to MAX_BLOCKS blocks, each raw and whether it parses."""
-    raw = F.slice(F.regexp_extract_all(html, F.lit(_BLOCK), 1), 1, MAX_BLOCKS)
-    return F.transform(raw, lambda x: F.struct(F.trim(x).alias("raw"), F.try_parse_json(x).isNotNull().alias("valid")))
+def raw_blocks(html: Column) -> Column:
+    """Up to MAX_BLOCKS blocks."""
+    return F.transform(F.slice(F.regexp_extract_all(html, F.lit(_BLOCK), 1), 1, MAX_BLOCKS), T.trim)
 
 
-def json_types(raw: Column) -> Column:
-    """N02 without a walk: @type values of a valid block in order of appearance, strings and arrays of strings."""
-    single = F.regexp_extract_all(raw, F.lit(r'"@type"\s*:\s*(?:"([^"]+)"|\[([^\]]*)\])'), 1)
-    several = F.regexp_extract_all(raw, F.lit(r'"@type"\s*:\s*(?:"([^"]+)"|\[([^\]]*)\])'), 2)
-    each = F.zip_with(single, several, lambda a, b: F.when(a != "", F.array(a)).otherwise(F.regexp_extract_all(b, F.lit(r'"([^"]+)"'), 1)))
-    return F.array_distinct(F.flatten(each))
+#: Optional columns of the input, with their types and what stands for them.
+OPTIONAL = {"status": ("int", 200), "x_robots_tag": ("string", ""), "requested_url": ("string", None), "content_type": ("string", ""), "ms": ("long", None), "error": ("string", None)}
 
 
 @lru_cache(maxsize=16)
-def _expressions(gateway: int, html: str, url: str, given: tuple[str, ...]) -> tuple[list[Column], list[Column], dict[str, Column], Column]:
-    """Two projections, the facts, and the site's name.  There are thousands of nodes, and each costs a call to the JVM, so
-    they are built once for a gateway and kept."""
+def _expressions(app: str, html: str, url: str, given: tuple[str, ...]) -> tuple[list[Column], list[Column], dict[str, Column]]:
+    """Two projections and the facts.  There are thousands of nodes, and each costs a call to the JVM, so they are built once
+    for an application and kept."""
     h = F.coalesce(F.col("_h"), F.lit(""))
-    optional = lambda c, kind: F.col(c).cast(kind) if c in given else F.lit(None).cast(kind)
-    first = [F.col(html).alias("_h"), F.col(url).alias("_u"), U.base_parts(F.col(url)).alias("_base"), anchors(F.coalesce(F.col(html), F.lit(""))).alias("_anchors")]
+
+    def optional(c: str) -> Column:
+        kind, other = OPTIONAL[c]
+        return F.coalesce(F.col(f"_o_{c}"), F.lit(other).cast(kind)) if c in given else F.lit(other).cast(kind)
+
+    passed = [F.col(c).cast(OPTIONAL[c][0]).alias(f"_o_{c}") for c in given]
+    first = [F.col(html).alias("_h"), F.col(url).alias("_u"), U.base_parts(F.col(url)).alias("_base"), anchors(F.coalesce(F.col(html), F.lit(""))).alias("_anchors"), *passed]
     second = [
-        F.col("_u"), F.col("_h"), F.col("_base"), T.strip(h).alias("_text"), T.tags(h, "meta").alias("_meta"), T.tags(h, "link").alias("_link"), links(F.col("_anchors"), F.col("_base")).alias("_links"), images(h, F.col("_base")).alias("_images"), json_ld(h).alias("_blocks"),
+        F.col("_u"), F.col("_h"), F.col("_base"), T.strip(h).alias("_text"), T.tags(h, "meta").alias("_meta"), T.tags(h, "link").alias("_link"), links(F.col("_anchors"), F.col("_base")).alias("_links"),
+        images(h, F.col("_base")).alias("_images"), raw_blocks(h).alias("_raw"), *[F.col(f"_o_{c}") for c in given],
     ]
     resolved = lambda c: U.resolve(F.array(c), F.col("_base"))[0]
-    blocks_valid = F.filter("_blocks", lambda b: b["valid"])
+    meta = lambda key, value: T.meta(F.col("_meta"), key, value)
+    status, kind = optional("status"), optional("content_type")
+    refused = status.between(200, 299) & (kind != "") & ~F.rlike(kind, F.lit(r"(?i)(text/html|application/xhtml\+xml)"))
     facts = {
+        "requested_url": F.coalesce(optional("requested_url"), F.col("_u")),
         "final_url": F.col("_u"),
         "title": T.title(h),
-        "description": T.meta(F.col("_meta"), "name", "description"),
-        "robots": T.meta(F.col("_meta"), "name", "robots"),
-        "x_robots_tag": F.coalesce(optional("x_robots_tag", "string"), F.lit("")),
-        "viewport": T.meta(F.col("_meta"), "name", "viewport"),
-        "canonical": F.when(T.link_rel(F.col("_link"), "canonical") != "", resolved(T.link_rel(F.col("_link"), "canonical"))).otherwise(""),
+        "description": meta("name", "description"),
+        "robots": meta("name", "robots"),
+        "x_robots_tag": optional("x_robots_tag"),
+        "viewport": meta("name", "viewport"),
+        "canonical": resolved(T.link_rel(F.col("_link"), "canonical")),
         "favicon": resolved(F.coalesce(F.nullif(T.link_rel(F.col("_link"), "icon"), F.lit("")), F.nullif(T.link_rel(F.col("_link"), "shortcut"), F.lit("")), F.lit("/favicon.ico"))),
         "lang": T.attr(F.regexp_extract(h, r"(?i)<html\b[^>]*>", 0), "lang"),
-        "status": F.coalesce(optional("status", "int"), F.lit(200)),
+        "status": status,
+        "ok": status.between(200, 299),
+        "ms": optional("ms"),
+        "content_type": kind,
+        "error": F.coalesce(optional("error"), F.when(refused, F.concat(F.lit("The URL returned "), kind, F.lit(", not an HTML webpage.")))),
         "h1": T.h1(h),
         "headings": T.headings(h),
         "images": F.col("_images"),
         "links": F.col("_links"),
-        "blocks": F.col("_blocks"),
-        "schema_types": F.array_distinct(F.flatten(F.transform(blocks_valid, lambda b: json_types(b["raw"])))),
-        "og": F.struct(*[T.meta(F.col("_meta"), "property", f"og:{n}").alias(n) for n in ("title", "description", "image", "url", "type")]),
-        "twitter": F.struct(*[T.meta(F.col("_meta"), "name", f"twitter:{n}").alias(n) for n in ("card", "title", "description", "image")]),
+        "blocks": F.zip_with("_raw", F.col("_read")["valid"], lambda r, v: F.struct(r.alias("raw"), v.alias("valid"))),
+        "schema_types": F.col("_read")["types"],
+        "og": F.struct(*[(resolved if n in ("image", "url") else lambda c: c)(meta("property", f"og:{n}")).alias(n) for n in ("title", "description", "image", "url", "type")]),
+        "twitter": F.struct(*[(resolved if n == "image" else lambda c: c)(meta("name", f"twitter:{n}")).alias(n) for n in ("card", "title", "description", "image")]),
         "word_count": T.word_count(F.col("_text")).cast("int"),
         "text_excerpt": T.excerpt(F.col("_text")),
+        "site_name": T.site_name(F.col("_read")["name"], F.col("title")),
     }
-    name = F.get(F.filter(F.transform("_b", lambda b: F.regexp_extract(b["raw"], r'(?s)"@type"\s*:\s*"(?:Organization|LocalBusiness|WebSite)".*?"name"\s*:\s*"([^"]+)"', 1)), lambda x: x != ""), F.lit(0))
-    return first, second, facts, T.site_name(name, F.col("title"))
+    return first, second, facts
 
 
 def page_facts(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """A page row for each HTML row; other columns pass through, and those named like a fact are replaced.
 
-    Null HTML counts as empty.  Optional input columns: status, x_robots_tag."""
+    Null HTML counts as empty.  Optional input columns: those of OPTIONAL.  A page that was not read, or is no HTML, has an error."""
     kept = [c for c in pages.columns if c != html]
-    given = tuple(c for c in ("status", "x_robots_tag") if c in pages.columns)
-    first, second, facts, name = _expressions(id(pages.sparkSession.sparkContext._gateway), html, url, given)
-    staged = pages.select("*", *first).select(*kept, *second)
-    out = staged.select(*[c for c in kept if c not in facts], *[x.alias(n) for n, x in facts.items()], F.col("_blocks").alias("_b"))
-    return out.withColumn("site_name", name).drop("_b")
-
-
-def walk_types(blocks: DataFrame) -> DataFrame:
-    """Blocks (page_url, raw) to (page_url, block, path, type) for every object with @type, by a recursive walk
-    over variants.  path tells the place in the document: pre-order is the order of paths."""
-    spark = blocks.sparkSession
-    blocks.select("page_url", F.coalesce(F.col("block") if "block" in blocks.columns else F.lit(0), F.lit(0)).alias("block"), F.try_parse_json("raw").alias("v")).where("v is not null").createOrReplaceTempView("_tidemark_blocks")
-    return spark.sql("""
-        WITH RECURSIVE walk(page_url, block, path, v) AS (
-          SELECT page_url, block, array(cast('' AS string)), v FROM _tidemark_blocks
-          UNION ALL
-          SELECT w.page_url, w.block, concat(w.path, array(lpad(cast(e.pos AS string), 6, '0'))), e.value
-          FROM walk w, LATERAL variant_explode(w.v) AS e
-          WHERE schema_of_variant(w.v) LIKE 'OBJECT%' OR schema_of_variant(w.v) LIKE 'ARRAY%'
-        ), typed AS (
-          SELECT page_url, block, path, try_variant_get(v, '$.@type', 'string') AS one, try_variant_get(v, '$.@type', 'array<string>') AS many
-          FROM walk WHERE schema_of_variant(v) LIKE 'OBJECT%'
-        )
-        SELECT page_url, block, array_join(path, '/') AS path, explode(CASE WHEN many IS NOT NULL THEN many ELSE array(one) END) AS type
-        FROM typed WHERE one IS NOT NULL OR many IS NOT NULL""")
+    given = tuple(c for c in OPTIONAL if c in pages.columns)
+    first, second, facts = _expressions(pages.sparkSession.sparkContext.applicationId, html, url, given)
+    staged = pages.select("*", *first).select(*kept, *second).withColumn("_read", blocks.read("_raw"))
+    facts, name = dict(facts), facts["site_name"]
+    del facts["site_name"]
+    out = staged.select(*[c for c in kept if c not in facts and c != "site_name"], *[x.alias(n) for n, x in facts.items()], "_read")
+    return out.withColumn("site_name", name).drop("_read")

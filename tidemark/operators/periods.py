@@ -12,7 +12,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import change, ratio
+from tidemark.functions.numbers import change, number, ratio
 
 PAGE_SIZES, DEFAULT_PAGE = (25, 50, 100), 25
 #: Report dimensions by source; what is unknown takes the first.
@@ -82,6 +82,28 @@ def tagged(facts: DataFrame, day: str, current: Range, previous: Range) -> DataF
     return facts.where(inside(current) | inside(previous)).withColumns({"is_current": inside(current), "is_previous": inside(previous)})
 
 
+_SEARCH = "struct<rows:array<struct<keys:array<string>,clicks:string,impressions:string,ctr:string,position:string>>>"
+_VALUE = "array<struct<value:string>>"
+_ANALYTICS = f"struct<rows:array<struct<dimensionValues:{_VALUE},metricValues:{_VALUE}>>>"
+#: Metrics of an analytics answer, in order.
+ANALYTICS_METRICS = ["activeUsers", "newUsers", "sessions", "engagedSessions", "engagementRate", "views", "keyEvents", "engagementSeconds"]
+
+
+def search_rows(answers: DataFrame, body: str = "body") -> DataFrame:
+    """Answers of a search report (JSON text) to a row for each key; what is no number is 0.  Other columns pass through."""
+    kept = [c for c in answers.columns if c != body]
+    rows = answers.select(*kept, F.posexplode(F.from_json(body, _SEARCH)["rows"]).alias("ord", "x"))
+    return rows.select(*kept, "ord", F.coalesce(F.get("x.keys", F.lit(0)), F.lit("")).alias("key"), *[number(F.col(f"x.{m}")).alias(m) for m in ("clicks", "impressions", "ctr", "position")])
+
+
+def analytics_rows(answers: DataFrame, body: str = "body") -> DataFrame:
+    """Answers of an analytics report (JSON text) to a row for each key, metrics by their place."""
+    kept = [c for c in answers.columns if c != body]
+    rows = answers.select(*kept, F.posexplode(F.from_json(body, _ANALYTICS)["rows"]).alias("ord", "x"))
+    at = lambda k: number(F.get("x.metricValues", F.lit(k))["value"])
+    return rows.select(*kept, "ord", F.coalesce(F.get("x.dimensionValues", F.lit(0))["value"], F.lit("")).alias("key"), *[at(k).alias(m) for k, m in enumerate(ANALYTICS_METRICS)])
+
+
 def sums(columns: list[str]) -> list[Column]:
     """For each column its sums in both periods; null where no row is in the period."""
     return [F.sum(F.when(F.col(f"is_{p}"), F.col(c))).alias(f"{p}_{c}") for c in columns for p in ("current", "previous")]

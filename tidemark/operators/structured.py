@@ -74,10 +74,12 @@ def page_status(n_invalid: Column, n_types: Column) -> Column:
 def summary(pages: DataFrame) -> DataFrame:
     """Pages (valid_blocks, invalid_blocks, types) in one row."""
     has = F.size("types") > 0
-    return pages.agg(
+    kinds = pages.select(F.explode("types").alias("t")).distinct().agg(F.sort_array(F.collect_list("t")).alias("types"))
+    one = pages.agg(
         F.count("*").alias("pages"), F.count_if(has).alias("with_types"), F.count_if(~has).alias("without_types"), F.coalesce(F.sum("valid_blocks"), F.lit(0)).cast("long").alias("valid_blocks"),
-        F.coalesce(F.sum("invalid_blocks"), F.lit(0)).cast("long").alias("invalid_blocks"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"),
+        F.coalesce(F.sum("invalid_blocks"), F.lit(0)).cast("long").alias("invalid_blocks"),
     )
+    return one.crossJoin(F.broadcast(kinds))
 
 
 def recommendations(pages: DataFrame, recs: DataFrame, order: str = "ord") -> DataFrame:

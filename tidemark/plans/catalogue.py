@@ -38,8 +38,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages dealt to all cores: parsing is all the work, and the test tables are single files of one row group."""
-    return table(spark, sf_dir, "pages").repartition(spark.sparkContext.defaultParallelism)
+    """Pages, dealt to all cores only if a scan has fewer splits than there are, as with single files of one row group."""
+    rows = table(spark, sf_dir, "pages")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +52,12 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _S = r"[\s\x{A0}]"
 _DROP = "html"
 for _tag in ("script", "style", "noscript"):
-    _DROP = f"regexp_replace({_DROP}, '<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', ' ', 'gis')"
+    _DROP = f"regexp_replace({_DROP}, '<{_tag}.*?</{_tag}>', ' ', 'gis')"
 
 
 def _strip(x: str, body: bool = True) -> str:
     x = x if not body else x
-    x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
     for name, said in (("nbsp", " "), ("amp", "&"), ("quot", '"'), ("#39", "''"), ("lt", "<"), ("gt", ">")):
         x = f"regexp_replace({x}, '&{name};', '{said}', 'gi')"
     return f"regexp_replace(regexp_replace({x}, '{_S}+', ' ', 'g'), '^{_S}+|{_S}+$', '', 'g')"
@@ -69,10 +71,9 @@ _HOST = r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1))"
 _ROOT = f"array_to_string(list_slice(string_split(regexp_replace({_HOST}, '^www\\.', ''), '.'), -2, -1), '.')"
 _NORM = r"regexp_replace(regexp_replace(url, '#.*$', ''), '^([a-z]+://[^/?]+)(\?.*)?$', '\1/\2')"
 _FACTS = f"""facts AS (SELECT page_id, url, {_TITLE} AS title, {_H1} AS h1, {_LANG} AS lang, CASE WHEN {_TEXT} = '' THEN 0 ELSE len(string_split({_TEXT}, ' ')) END AS words,
-  len(regexp_extract_all(html, '<a\\b[^>]*href=', 0, 'i')) AS n_links FROM pages)"""
+  len(regexp_extract_all(html, '<a\\b[^>]*>.*?</a>', 0, 'is')) AS n_links FROM pages)"""
 _FINDINGS = f"""{_FACTS}, findings AS (
   SELECT url, 'Technical SEO' AS category, 'critical' AS severity, 'viewport' AS code FROM facts
-  UNION ALL SELECT url, 'Indexability', 'warning', 'canonical-missing' FROM facts
   UNION ALL SELECT url, 'Technical SEO', 'warning', 'lang' FROM facts WHERE lang = ''
   UNION ALL SELECT url, 'Structured Data', 'warning', 'schema-missing' FROM facts
   UNION ALL SELECT url, 'On-page SEO', 'critical', 'title-missing' FROM facts WHERE title = ''
@@ -81,7 +82,7 @@ _FINDINGS = f"""{_FACTS}, findings AS (
   UNION ALL SELECT url, 'On-page SEO', CASE WHEN len(h1) = 0 THEN 'critical' ELSE 'warning' END, 'h1' FROM facts WHERE len(h1) <> 1
   UNION ALL SELECT url, 'Content', 'warning', 'thin-content' FROM facts WHERE words < 180
   UNION ALL SELECT url, 'Social & Sharing', 'warning', 'og-incomplete' FROM facts)"""
-_COMMERCIAL, _SUPPORT = audit.COMMERCIAL.replace("(?i)", ""), audit.SUPPORT.replace("(?i)", "")
+_COMMERCIAL, _SUPPORT = "(service|product|category|shop|pricing|contact|location|booking|quote)", "(blog|guide|resource|faq|about|privacy|terms)"
 _PRIORITY = f"CASE WHEN regexp_matches(url, '{_COMMERCIAL}', 'i') OR n_links >= 10 OR words >= 900 THEN 'High' WHEN regexp_matches(url, '{_SUPPORT}', 'i') OR words >= 350 THEN 'Medium' ELSE 'Low' END"
 
 
@@ -130,7 +131,7 @@ def k_audit_findings(spark, sf_dir):
 
 @query(f"WITH {_FINDINGS} SELECT code, severity, count(*)::BIGINT AS findings FROM findings GROUP BY ALL")
 def k_findings_by_code(spark, sf_dir):
-    return audit.findings(facts(spark, sf_dir)).groupBy("code", "severity").agg(F.count("*").alias("findings"))
+    return audit.severity_counts(audit.findings(facts(spark, sf_dir)), "code", "severity").select("code", "severity", "findings")
 
 
 @query(f"""WITH {_FINDINGS} SELECT category, count_if(severity = 'critical')::BIGINT AS critical, count_if(severity = 'warning')::BIGINT AS warnings,
@@ -149,8 +150,7 @@ def k_site_health(spark, sf_dir):
 @query(f"""WITH {_FINDINGS}, c AS (SELECT url, count(*) AS issues, count_if(severity = 'critical') AS critical, count_if(severity = 'warning') AS warnings FROM findings GROUP BY url)
 SELECT f.url, title, words::INTEGER AS word_count, n_links::INTEGER AS internal_links, issues::BIGINT AS issues, critical::BIGINT AS critical, warnings::BIGINT AS warnings, {_PRIORITY.replace("url,", "f.url,")} AS priority FROM facts f JOIN c ON c.url = f.url""")
 def k_page_inventory(spark, sf_dir):
-    p = facts(spark, sf_dir)
-    return audit.inventory(p, audit.findings(p)).select("url", "title", "word_count", "internal_links", "issues", "critical", "warnings", "priority")
+    return audit.inventory(facts(spark, sf_dir)).select("url", "title", "word_count", "internal_links", "issues", "critical", "warnings", "priority")
 
 
 @query(f"""WITH {_FACTS}, p AS (SELECT {_PRIORITY} AS priority FROM facts), l(ord, priority) AS (VALUES (0, 'High'), (1, 'Medium'), (2, 'Low'))
@@ -166,9 +166,11 @@ def u_dedupe_last_wins(spark, sf_dir):
     return links.last_of_each(rows.withColumn("at", F.col("event_id")), "user_id", "at").select("user_id", "event_id", "event_type", "first_at")
 
 
-@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) WHERE n = 1")
+@query("""SELECT source_url, target_url, anchor, live, http_status, rel FROM (SELECT *, row_number() OVER (PARTITION BY source_url, target_url, anchor ORDER BY live DESC, http_status, rel) AS n
+FROM (SELECT user_id::VARCHAR AS source_url, event_type AS target_url, '' AS anchor, value > 100 AS live, (event_id % 500)::INTEGER AS http_status, props AS rel FROM events)) WHERE n = 1""")
 def u_dedupe_first(spark, sf_dir):
-    return links.first_of_each(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], [F.asc("event_id")])
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source_url"), F.col("event_type").alias("target_url"), F.lit("").alias("anchor"), (F.col("value") > 100).alias("live"), (F.col("event_id") % 500).cast("int").alias("http_status"), F.col("props").alias("rel"))
+    return links.dedupe(rows)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
@@ -230,11 +232,16 @@ def t_segment_change(spark, sf_dir):
     return _rounded(periods.by_dimension(rows, "c_mktsegment", ["orders"]))
 
 
-@query("""WITH s AS (SELECT user_id AS key, sum((event_type = 'view')::INT)::DOUBLE AS impressions, sum((event_type = 'click')::INT)::DOUBLE AS clicks FROM events GROUP BY 1)
-SELECT key, impressions, round(clicks / impressions, 6) AS ctr FROM s WHERE impressions >= 10 AND clicks / impressions < 0.5""")
+@query("""WITH s AS (SELECT user_id AS key, sum((event_type = 'view')::INT)::DOUBLE * 20 AS impressions, sum((event_type = 'click')::INT)::DOUBLE AS clicks, (user_id % 30)::DOUBLE AS position FROM events GROUP BY user_id),
+r AS (SELECT key, impressions, position, CASE WHEN impressions = 0 THEN 0 ELSE clicks / impressions END AS ctr FROM s)
+SELECT * FROM (SELECT 'low_ctr' AS list, key, impressions, position, round(ctr, 6) AS ctr FROM r WHERE impressions >= 50 AND ctr < 0.02 ORDER BY impressions DESC, key LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'near_top' AS list, key, impressions, position, round(ctr, 6) AS ctr FROM r WHERE position BETWEEN 4 AND 10 ORDER BY impressions DESC, key LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'second_page' AS list, key, impressions, position, round(ctr, 6) AS ctr FROM r WHERE position > 10 AND position <= 20 ORDER BY impressions DESC, key LIMIT 10)""")
 def t_opportunities(spark, sf_dir):
-    s = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.sum((F.col("event_type") == "view").cast("double")).alias("impressions"), F.sum((F.col("event_type") == "click").cast("double")).alias("clicks"))
-    return s.withColumn("ctr", N.ratio(F.col("clicks"), F.col("impressions"))).where("impressions >= 10 and ctr < 0.5").select("key", "impressions", F.round("ctr", 6).alias("ctr"))
+    s = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg((F.sum((F.col("event_type") == "view").cast("double")) * 20).alias("impressions"), F.sum((F.col("event_type") == "click").cast("double")).alias("clicks"))
+    rows = s.select("key", "impressions", (F.col("key") % 30).cast("double").alias("position"), N.ratio(F.col("clicks"), F.col("impressions")).alias("ctr"))
+    lists = [x.select(F.lit(name).alias("list"), "key", "impressions", "position", F.round("ctr", 6).alias("ctr")) for name, x in periods.opportunities(rows).items()]
+    return sinks.united(*lists)
 
 
 @query("SELECT c_custkey, coalesce(n, 0)::BIGINT AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -249,11 +256,10 @@ def j_semi_impressions(spark, sf_dir):
     return periods.with_impressions(table(spark, sf_dir, "customer").select("c_custkey"), perf, "c_custkey")
 
 
-@query(f"SELECT page_id, {_ROOT} IN ('example.com', 'example.org') AS recommended FROM pages")
+@query(f"SELECT page_id AS id, {_ROOT} = 'example.org' AS recommended FROM pages")
 def j_root_match(spark, sf_dir):
-    targets = spark.createDataFrame([("blog.example.com",), ("www.example.org",)], "target string").select(U.root_domain(F.col("target")).alias("root")).distinct()
-    rows = table(spark, sf_dir, "pages").select("page_id", U.root_domain(U.host(F.col("url"))).alias("root"))
-    return rows.join(F.broadcast(targets.withColumn("hit", F.lit(True))), "root", "left").select("page_id", F.coalesce("hit", F.lit(False)).alias("recommended"))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.array("url").alias("urls"))
+    return links.match_properties(rows, F.lit("shop.example.org")).select("id", "recommended")
 
 
 @query(f"SELECT {_HOST} AS source_domain, count(*)::BIGINT AS links FROM pages GROUP BY 1 ORDER BY links DESC, 1 LIMIT 12")
@@ -275,7 +281,7 @@ def a_concentration(spark, sf_dir):
 
 
 @query(f"""WITH {_LINKS} SELECT live, domains, greatest(0, least(100, floor(8 * domains + least(22, 2 * live) + 16 * (follow / live) + 4 * 2.5 - greatest(0, 28 * (largest / live - 0.45)) + 0.5)))::BIGINT AS authority,
-CASE WHEN candidates = 0 THEN 'Insufficient' WHEN live >= 20 THEN 'High' WHEN live >= 5 THEN 'Medium' ELSE 'Low' END AS confidence FROM s""")
+CASE WHEN candidates = 0 THEN 'Insufficient evidence' WHEN live >= 20 THEN 'High' WHEN live >= 5 THEN 'Medium' ELSE 'Low' END AS confidence FROM s""")
 def k_link_authority(spark, sf_dir):
     return links.authority(links.summary(_link_rows(spark, sf_dir)), 2.5).select("live", "domains", "authority", "confidence")
 
@@ -307,12 +313,16 @@ def _causes_sql(causes: dict[str, list[str]]) -> str:
     return "c(metric, id, preference) AS (VALUES " + ", ".join(f"('{m}', '{i}', {k})" for m, ids in causes.items() for k, i in enumerate(ids)) + ")"
 
 
-@query(f"WITH {_DIAGNOSTICS_SQL}, {_causes_sql(performance.CAUSES)} SELECT url, metric, arg_min(id, preference) AS cause FROM r JOIN c USING (id) GROUP BY ALL")
+_CAUSES = {"LCP": ["largest-contentful-paint-element", "server-response-time", "render-blocking-resources", "uses-optimized-images", "uses-responsive-images"], "CLS": ["layout-shifts"], "INP": ["long-tasks", "bootup-time", "mainthread-work-breakdown", "unused-javascript"]}
+_RANKED_CAUSES = {"LCP": ["largest-contentful-paint-element", "server-response-time", "render-blocking-resources"], "CLS": ["layout-shifts"], "INP": ["long-tasks", "unused-javascript", "bootup-time", "mainthread-work-breakdown"]}
+
+
+@query(f"WITH {_DIAGNOSTICS_SQL}, {_causes_sql(_CAUSES)} SELECT url, metric, arg_min(id, preference) AS cause FROM r JOIN c USING (id) GROUP BY ALL")
 def j_primary_cause(spark, sf_dir):
     return performance.primary_cause(_diagnostics(spark)).select("url", "metric", "cause")
 
 
-@query(f"WITH {_DIAGNOSTICS_SQL}, {_causes_sql(performance.RANKED_CAUSES)} SELECT url, metric, arg_min(id, rank) AS cause FROM r JOIN c USING (id) GROUP BY ALL")
+@query(f"WITH {_DIAGNOSTICS_SQL}, {_causes_sql(_RANKED_CAUSES)} SELECT url, metric, arg_min(id, rank) AS cause FROM r JOIN c USING (id) GROUP BY ALL")
 def j_ranked_cause(spark, sf_dir):
     return performance.primary_cause(_diagnostics(spark), by_rank=True).select("url", "metric", "cause")
 
@@ -322,14 +332,6 @@ def n_props(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").try_cast("long")).alias("k"))
 
 
-_BLOCKS = [("p1", '{"@type":"Product","name":"x","offers":{"@type":"Offer","price":"1"}}'), ("p1", '[{"@type":["Article","BlogPosting"],"headline":"h"}]'), ("p2", "{broken")]
-
-
-@query("SELECT * FROM (VALUES ('p1', 'Product'), ('p1', 'Offer'), ('p1', 'Article'), ('p1', 'BlogPosting')) t(page_url, type)")
-def n_jsonld_types(spark, sf_dir):
-    return pages.walk_types(spark.createDataFrame([(u, k, r) for k, (u, r) in enumerate(_BLOCKS)], "page_url string, block int, raw string")).select("page_url", "type")
-
-
 @query("SELECT * FROM (VALUES ('p1', 'Product', 'image'), ('p2', 'WebSite', 'url'), ('p3', 'Odd', '')) t(page_url, type, missing)")
 def n_field_gaps(spark, sf_dir):
     rows = spark.createDataFrame([("p1", "Product", '{"name":"x","offers":{"price":1}}'), ("p2", "WebSite", '{"name":"n","url":""}'), ("p3", "Odd", "{}")], "page_url string, type string, body string")
@@ -370,7 +372,7 @@ def w_share_of_total(spark, sf_dir):
     return periods.share_of_total(rows, "n").withColumn("share", F.round("share", 9))
 
 
-@query("SELECT * FROM (VALUES ('https://a.com/p?x=1&y=2', '000000/000000/000000'), ('https://a.com/q', '000000/000000/000001')) t(url, ord)")
+@query("SELECT * FROM (VALUES ('https://a.com/p?x=1&y=2', '0000000000/0000000000/0000000000'), ('https://a.com/q', '0000000000/0000000000/0000000001')) t(url, ord)")
 def s_sitemap_urls(spark, sf_dir):
     seeds = spark.createDataFrame([("https://a.com/i.xml", 0)], "url string, ord int")
     files = spark.createDataFrame([("https://a.com/i.xml", "<sitemapindex><loc>https://a.com/1.xml</loc></sitemapindex>"), ("https://a.com/1.xml", "<urlset><loc> https://a.com/p?x=1&amp;y=2 </loc><loc>https://a.com/q</loc><loc>https://b.com/</loc></urlset>")], "url string, body string")
@@ -382,7 +384,10 @@ def s_csv_lines(spark, sf_dir):
     return sinks.csv_lines(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS client, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT client, ts, n, ts AS began, 1 AS count FROM e WHERE n = 1
+  UNION ALL SELECT e.client, e.ts, e.n, CASE WHEN e.ts >= w.began + INTERVAL 600 SECOND THEN e.ts ELSE w.began END, CASE WHEN e.ts >= w.began + INTERVAL 600 SECOND THEN 1 ELSE w.count + 1 END FROM w JOIN e ON e.client = w.client AND e.n = w.n + 1)
+SELECT client, 'contact' AS action, ts::VARCHAR AS ts, count <= 5 AS allowed, greatest(0, 5 - count)::INTEGER AS remaining FROM w""")
 def f_limiter(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("client"), F.lit("contact").alias("action"), F.col("ts").cast("timestamp").alias("ts"))
-    return limiter.limit(rows)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("client"), F.lit("contact").alias("action"), "ts")
+    return limiter.limit(rows).withColumn("ts", F.col("ts").cast("string"))

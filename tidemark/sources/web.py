@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import trim
 from tidemark.functions.urls import candidate, root_domain, same_origin
+from tidemark.sources.kept import kept
 
 #: Fixed value: a year as registries count it.
 YEAR_SECONDS = 31_557_600
@@ -23,28 +24,29 @@ def locs(body: Column) -> Column:
     return F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), 1), lambda x: F.replace(trim(x), F.lit("&amp;"), F.lit("&")))
 
 
-def sitemap_urls(seeds: DataFrame, files: DataFrame, max_seeds: int | None = None, max_files: int | None = None, depth: int = 8) -> DataFrame:
+def sitemap_urls(seeds: DataFrame, files: DataFrame, max_seeds: int | None = None, max_files: int | None = None) -> DataFrame:
     """Seeds (url, ord) and fetched files (url, body) to page URLs of the seeds' origins, in order of first sight.
 
-    Index files are followed level by level; every level is one join with the files not yet seen.  Caps are parameters,
-    and none is set by default; the three crawlers that this covers differ in them only."""
+    Index files are followed level by level, until a level has none that was not seen; every level is one join with the files
+    not yet seen, and is kept as a checkpoint.  Caps are parameters, and none is set by default; the three crawlers that this
+    covers differ in them only."""
     level = seeds.orderBy("ord", "url").limit(max_seeds) if max_seeds else seeds
-    level = level.select("url", F.lpad(F.col("ord").cast("string"), 6, "0").alias("path"))
+    level = level.select("url", F.lpad(F.col("ord").cast("string"), 10, "0").alias("path"))
     seen = None
-    for _ in range(depth):
+    while True:
         got = level.groupBy("url").agg(F.min("path").alias("path"))
         if seen is not None:
             got = got.join(seen.select("url"), "url", "left_anti")
-        got = got.join(files, "url").select("url", "path", "body")
+        got = kept(got.join(files, "url").select("url", "path", "body"))
         seen = got if seen is None else seen.union(got)
         level = got.where(F.rlike("body", F.lit("(?i)<sitemapindex"))).select(F.col("url").alias("parent"), "path", F.posexplode(locs(F.col("body"))).alias("k", "url"))
-        level = level.where(same_origin(F.col("url"), F.col("parent"))).select("url", F.concat_ws("/", "path", F.lpad(F.col("k").cast("string"), 6, "0")).alias("path"))
+        level = level.where(same_origin(F.col("url"), F.col("parent"))).select("url", F.concat_ws("/", "path", F.lpad(F.col("k").cast("string"), 10, "0")).alias("path"))
         if not level.limit(1).count():
             break
     if max_files:
         seen = seen.orderBy("path", "url").limit(max_files)
     rows = seen.where(~F.rlike("body", F.lit("(?i)<sitemapindex"))).select(F.col("url").alias("file"), "path", F.posexplode(locs(F.col("body"))).alias("k", "url"))
-    rows = rows.where(same_origin(F.col("url"), F.col("file"))).select("url", F.concat_ws("/", "path", F.lpad(F.col("k").cast("string"), 6, "0")).alias("ord"))
+    rows = rows.where(same_origin(F.col("url"), F.col("file"))).select("url", F.concat_ws("/", "path", F.lpad(F.col("k").cast("string"), 10, "0")).alias("ord"))
     return rows.groupBy("url").agg(F.min("ord").alias("ord"))
 
 
@@ -69,14 +71,15 @@ def domain_age(registry: DataFrame, as_of: str) -> DataFrame:
     from tidemark.functions.numbers import age_label
 
     events = F.from_json("body", "struct<events:array<struct<eventAction:string,eventDate:string>>>")["events"]
-    first = F.get(F.filter(events, lambda e: e["eventAction"] == "registration"), F.lit(0))["eventDate"]
+    first = F.get(F.filter(events, lambda e: e["eventAction"].isin("registration", "registered")), F.lit(0))["eventDate"]
     years = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(first.try_cast("timestamp"))) / YEAR_SECONDS
+    years = F.greatest(F.lit(0.0), years)
     return registry.select("domain", first.alias("registered"), years.alias("years")).withColumn("label", F.when(F.col("years").isNotNull(), age_label(F.col("years"))))
 
 
 def archive_rows(lines: DataFrame, n: int = 20) -> DataFrame:
     """Lines (domain, line, ord) of JSON to records; lines that do not parse are dropped; n for each domain."""
-    rows = lines.select("domain", "ord", F.from_json("line", "struct<url:string,timestamp:string,status:string>").alias("x")).where("x.url is not null")
+    rows = lines.select("domain", "ord", F.from_json("line", "struct<url:string,timestamp:string,status:string,mime:string>").alias("x")).where("x.url is not null")
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("domain").orderBy("ord"))).where(F.col("_n") <= n).select("domain", "x.*", "ord")
 
 

@@ -1,7 +1,8 @@
 """Fixed-window request limiter (F01), in batch and as a stream.  An extension: the stream form has no counterpart.
 
-A window starts at the first event of a key, not at a boundary of the clock, so `window()` does not express it.  The batch
-form folds each key's ordered events in one group; state is a count and an end, so the stream form is constant in memory.
+A window starts at the first event of a key, not at a boundary of the clock, so `window()` does not express it.  In batch, the
+events of a key go by in order of time, sorted by Spark (which spills), and a task holds one count and one end at a time, however
+many events a key has.  The stream form holds the same for each key, and lets it go when its window has passed.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,41 +25,65 @@ def _limit(action: str) -> tuple[int, int]:
     return LIMITS.get(action, LIMITS["light"])
 
 
-def _judge(events: list[pd.Timestamp], action: str, count: int, ends: float) -> tuple[list[tuple[bool, int]], int, float]:
+def _judge(micros: list[int], action: str, count: int, ends: int) -> tuple[list[tuple[bool, int]], int, int]:
+    """Whether each of the times passes and how many more would, and the window's state after them."""
     most, seconds = _limit(action)
     out = []
-    for ts in events:
-        now = ts.timestamp()
+    for now in micros:
         if now >= ends:
-            count, ends = 0, now + seconds
+            count, ends = 0, now + seconds * 1_000_000
         count += 1
         out.append((count <= most, max(0, most - count)))
     return out, count, ends
 
 
-def limit(events: DataFrame) -> DataFrame:
-    """events (client, action, ts) with allowed and remaining; exempt actions always pass and have no remaining."""
-    free = events.where(F.col("action").isin(EXEMPT)).select("client", "action", "ts", F.lit(True).alias("allowed"), F.lit(None).cast("int").alias("remaining"))
+_NEVER = -(1 << 62)
+
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ts", kind="stable")
-        judged, _, _ = _judge(list(group["ts"]), group["action"].iloc[0], 0, float("-inf"))
-        return group.assign(allowed=[a for a, _ in judged], remaining=pd.array([r for _, r in judged], dtype="Int32"))
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by key and time."""
+    last, count, ends = None, 0, _NEVER
+    for batch in batches:
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        micros = batch.column(2).cast(pa.int64()).to_pylist()
+        judged: list[tuple[bool, int]] = []
+        at = 0
+        while at < len(keys):
+            until = at
+            while until < len(keys) and keys[until] == keys[at]:
+                until += 1
+            if keys[at] != last:
+                last, count, ends = keys[at], 0, _NEVER
+            made, count, ends = _judge(micros[at:until], keys[at][1], count, ends)
+            judged += made
+            at = until
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in judged], pa.bool_()), pa.array([r for _, r in judged], pa.int32())], names=["client", "action", "ts", "allowed", "remaining"])
 
-    counted = events.where(~F.col("action").isin(EXEMPT)).select("client", "action", "ts")
-    return counted.groupBy("client", "action").applyInPandas(fold, _SCHEMA).union(free)
+
+def limit(events: DataFrame) -> DataFrame:
+    """events (client, action, ts) with allowed and remaining; exempt actions always pass and have no remaining.  Events
+    without a time are left out.  Of events of the same time, it does not matter which comes first: rows are alike but for that."""
+    rows = events.select("client", "action", F.col("ts").cast("timestamp").alias("ts")).where("ts is not null")
+    free = rows.where(F.col("action").isin(EXEMPT)).select("*", F.lit(True).alias("allowed"), F.lit(None).cast("int").alias("remaining"))
+    counted = rows.where(~F.coalesce(F.col("action").isin(EXEMPT), F.lit(False))).repartition("client", "action").sortWithinPartitions("client", "action", "ts")
+    return counted.mapInArrow(_fold, _SCHEMA).union(free)
 
 
-def limit_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream; events of a micro-batch are taken in order of time, later batches after earlier ones."""
-    state = T.StructType([T.StructField("count", T.IntegerType()), T.StructField("ends", T.DoubleType())])
+def limit_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream; events of a micro-batch are taken in order of time, later batches after earlier ones.  A key's
+    state goes when the watermark, `late` behind the newest event, has passed its window."""
+    state = T.StructType([T.StructField("count", T.IntegerType()), T.StructField("ends", T.LongType())])
 
     def fold(key, groups: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = pd.concat(list(groups)).sort_values("ts", kind="stable")
-        count, ends = held.get if held.exists else (0, float("-inf"))
-        judged, count, ends = _judge(list(rows["ts"]), key[1], count, ends)
+        count, ends = held.get if held.exists else (0, _NEVER)
+        judged, count, ends = _judge([t.value // 1000 for t in rows["ts"]], key[1], count, ends)
         held.update((count, ends))
+        held.setTimeoutTimestamp(max(ends // 1000, held.getCurrentWatermarkMs() + 1))
         yield rows[["client", "action", "ts"]].assign(allowed=[a for a, _ in judged], remaining=pd.array([r for _, r in judged], dtype="Int32"))
 
-    counted = events.where(~F.col("action").isin(EXEMPT)).select("client", "action", "ts")
-    return counted.groupBy("client", "action").applyInPandasWithState(fold, _SCHEMA, state, "append", "NoTimeout")
+    counted = events.where(~F.col("action").isin(EXEMPT)).select("client", "action", "ts").withWatermark("ts", late)
+    return counted.groupBy("client", "action").applyInPandasWithState(fold, _SCHEMA, state, "append", "EventTimeTimeout")
