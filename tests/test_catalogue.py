@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidemark.plans.catalogue import QUERIES, SQL
+from tidemark.plans.reports import QUERIES, SQL
 
 DATA = Path("/root/testdata/sf0.001")
 

@@ -90,28 +90,39 @@ def recommendations(pages: DataFrame, recs: DataFrame, order: str = "ord") -> Da
     return out.select(*pages.columns, F.coalesce("own", "general", F.lit("WebPage")).alias("recommended"))
 
 
-def template(kind: Column, name: Column, url: Column, description: Column, site_name: Column | None = None, image: Column | None = None) -> Column:
-    """A JSON-LD text for a type; what is not known is empty."""
+#: What templates say where nothing is known.
+UNNAMED, PUBLISHER, PAGE, IN_STOCK = "Organization", "Publisher", "Page", "https://schema.org/InStock"
+FIELDS = "map<string,string>"
+
+
+def template(kind: Column, name: Column, url: Column, description: Column, site_name: Column | None = None, image: Column | None = None, fields: Column | None = None, pretty: bool = True) -> Column:
+    """A JSON-LD text for a type; what is not known is empty.  fields: a map of texts that go before what the page says."""
+    given = F.create_map().cast(FIELDS) if fields is None else F.coalesce(fields, F.create_map().cast(FIELDS))
+    own = lambda n: F.try_element_at(given, F.lit(n))
     known = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit(""))
     nothing = F.lit("")
     site, picture = (nothing if c is None else c for c in (site_name, image))
-    typed = lambda t, *fields: F.struct(F.lit(t).alias("@type"), *fields)
+    typed = lambda t, *parts: F.struct((F.lit(t) if isinstance(t, str) else t).alias("@type"), *parts)
+    said = lambda *names: [known(own(n)).alias(n) for n in names]
     head = [F.lit("https://schema.org").alias("@context"), kind.alias("@type")]
-    rest = [known(url).alias("url"), known(description).alias("description")]
-    base = [*head, known(name, F.lit("Page")).alias("name"), *rest]
+    rest = [known(own("url"), url).alias("url"), known(own("description"), description).alias("description")]
+    base = [*head, known(own("name"), name, F.lit(PAGE)).alias("name"), *rest]
     home = F.regexp_extract(url, r"(?i)^(https?://[^/?#]*)", 1)
-    empty = lambda *names: [nothing.alias(n) for n in names]
+    brand = F.when(known(own("brand")) != "", typed("Brand", own("brand").alias("name"))).alias("brand")
+    search = F.when(known(own("searchTarget")) != "", typed("SearchAction", F.concat(own("searchTarget"), F.lit("{search_term_string}")).alias("target"), F.lit("required name=search_term_string").alias("query-input"))).alias("potentialAction")
     texts = {
-        "addressed": [*head, known(site, F.lit("Organization")).alias("name"), *rest, known(picture).alias("logo"), *empty("email", "telephone"), typed("PostalAddress", *empty("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry")).alias("address")],
-        "service": [*base, known(name).alias("serviceType"), *empty("areaServed"), typed("Organization", known(site, F.lit("Organization")).alias("name"), home.alias("url")).alias("provider")],
-        "article": [*base, known(name).alias("headline"), typed("Organization", known(site, F.lit("Publisher")).alias("name")).alias("author"), *empty("datePublished", "dateModified"), known(picture).alias("image")],
-        "product": [*base, known(picture).alias("image"), *empty("sku"), typed("Offer", *empty("priceCurrency", "price"), F.lit("https://schema.org/InStock").alias("availability"), known(url).alias("url")).alias("offers")],
+        "addressed": [*head, known(own("name"), site, F.lit(UNNAMED)).alias("name"), *rest, known(own("logo"), picture).alias("logo"), *said("email", "telephone"), typed("PostalAddress", *said("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry")).alias("address")],
+        "service": [*base, known(own("serviceType"), name).alias("serviceType"), *said("areaServed"), typed("Organization", known(own("providerName"), site, F.lit(UNNAMED)).alias("name"), known(own("providerUrl"), home).alias("url")).alias("provider")],
+        "article": [*base, known(own("headline"), name).alias("headline"), typed(known(own("authorType"), F.lit("Organization")), known(own("authorName"), site, F.lit(PUBLISHER)).alias("name")).alias("author"), *said("datePublished", "dateModified"), known(own("image"), picture).alias("image")],
+        "product": [*base, known(own("image"), picture).alias("image"), *said("sku"), brand, typed("Offer", *said("priceCurrency", "price"), known(own("availability"), F.lit(IN_STOCK)).alias("availability"), known(own("url"), url).alias("url")).alias("offers")],
         "crumbs": [*head, F.array(*[typed("ListItem", F.lit(k).alias("position"), n.alias("name"), u.alias("item")) for k, n, u in ((1, F.lit("Home"), home), (2, known(name), known(url)))]).alias("itemListElement")],
+        "site": [*base, search],
         "other": base,
     }
-    made = {k: F.to_json(F.struct(*v), {"pretty": "true"}) for k, v in texts.items()}
+    options = {"pretty": "true"} if pretty else {}
+    made = {k: F.to_json(F.struct(*v), options) for k, v in texts.items()}
     out = F.when(kind.isin(ADDRESSED), made["addressed"]).when(kind == "Service", made["service"]).when(kind.isin("Article", "BlogPosting", "NewsArticle"), made["article"])
-    return out.when(kind == "Product", made["product"]).when(kind == "BreadcrumbList", made["crumbs"]).otherwise(made["other"])
+    return out.when(kind == "Product", made["product"]).when(kind == "BreadcrumbList", made["crumbs"]).when(kind == "WebSite", made["site"]).otherwise(made["other"])
 
 
 def chosen_type(requested: Column, supported: list[str], preferred: str | None) -> Column:

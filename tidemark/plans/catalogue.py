@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import numbers as N
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
-from tidemark.operators import audit, links, normalise, pages, performance, periods, structured
+from tidemark.operators import audit, links, normalise, pages, performance, periods
 from tidemark.sources import delimited, sinks
 from tidemark.sources import web as W
 from tidemark.streaming import limiter
@@ -332,12 +332,6 @@ def n_props(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").try_cast("long")).alias("k"))
 
 
-@query("SELECT * FROM (VALUES ('p1', 'Product', 'image'), ('p2', 'WebSite', 'url'), ('p3', 'Odd', '')) t(page_url, type, missing)")
-def n_field_gaps(spark, sf_dir):
-    rows = spark.createDataFrame([("p1", "Product", '{"name":"x","offers":{"price":1}}'), ("p2", "WebSite", '{"name":"n","url":""}'), ("p3", "Odd", "{}")], "page_url string, type string, body string")
-    return structured.field_gaps(rows).select("page_url", "type", F.array_join("missing", ",").alias("missing"))
-
-
 @query("""SELECT * FROM (VALUES ('a.csv', 'source', 'https://blog.one.com/x'), ('a.csv', 'target', 'https://shop.com/'), ('a.csv', 'source', 'https://four.io/'), ('b.txt', 'source', 'https://www.two.org/'), ('b.txt', 'source', 'https://three.net/p,q'),
 ('b.txt', 'target', 'https://m.shop.com/z'), ('b.txt', 'ignored', ''), ('c.csv', 'domain', 'five.co.uk'), ('c.csv', 'target', 'https://other.shop.com/')) t(filename, kind, value)""")
 def d_import_classify(spark, sf_dir):

@@ -73,7 +73,7 @@ def domain_age(registry: DataFrame, as_of: str) -> DataFrame:
     events = F.from_json("body", "struct<events:array<struct<eventAction:string,eventDate:string>>>")["events"]
     first = F.get(F.filter(events, lambda e: e["eventAction"].isin("registration", "registered")), F.lit(0))["eventDate"]
     years = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(first.try_cast("timestamp"))) / YEAR_SECONDS
-    years = F.greatest(F.lit(0.0), years)
+    years = F.when(years.isNotNull(), F.greatest(F.lit(0.0), years))
     return registry.select("domain", first.alias("registered"), years.alias("years")).withColumn("label", F.when(F.col("years").isNotNull(), age_label(F.col("years"))))
 
 
