@@ -3,7 +3,7 @@
 A task gathers the distinct words of a stretch of documents, lays their bytes in one array of symbols, and keeps an
 inverted index from each mergeable token pair to the positions where it stands.  Merges are applied in rank order over
 all words at once; a merge touches only the index entries of its two neighbours.  Words that a worker has seen stay in
-a bounded table, so each is replayed about once per worker.  There is no shuffle.
+a bounded table, so each is replayed about once per task, and common ones once per worker.  There is no shuffle.
 
 Memory is bounded in bytes, whatever the texts: the table of seen words holds REMEMBERED bytes of words and ids, the
 table of pairs PAIRS entries, a stretch CHARS_AT_ONCE characters, and finished rows go out when they fill SENT_AT_ONCE
@@ -29,9 +29,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm.common import trim
+
 #: Bytes of words and ids that a worker remembers (as objects, these take about twelve times that), bytes of a longest remembered
 #: word, pairs remembered, words or characters that are in memory at once, and bytes of finished rows.
-REMEMBERED, LONGEST, PAIRS, AT_ONCE, CHARS_AT_ONCE, SENT_AT_ONCE = 3_000_000, 64, 200_000, 120_000, 1_200_000, 4_000_000
+REMEMBERED, LONGEST, PAIRS, AT_ONCE, CHARS_AT_ONCE, SENT_AT_ONCE = 5_000_000, 64, 200_000, 120_000, 1_200_000, 4_000_000
 
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -141,9 +143,16 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay, self.find = MergeReplay(ranks), regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.last: set[str] = set()
         self.held = 0
         self.shown = {rank: str(rank) for rank in ranks.values()}
 
+    def shrink(self) -> None:
+        """Remembers only words of the last stretch, the common ones among them."""
+        self.known = {x: self.known[x] for x in self.last if x in self.known}
+        self.held = sum(len(x.encode()) + len(ids) for x, ids in self.known.items())
+        self.last = set()
+
     def words(self, text: str) -> Iterator[list[str]]:
         if len(text) <= CHARS_AT_ONCE:
             yield self.find.findall(text)
@@ -155,9 +164,10 @@ class Encoder:
     def ids(self, lists: list[list[str]]) -> list[bytes]:
         """Ids of each list of words."""
         if self.held > REMEMBERED:
-            self.known, self.held = {}, 0
+            self.shrink()
         known = self.known
-        new = list(set().union(*lists).difference(known))
+        self.last = set().union(*lists)
+        new = list(self.last.difference(known))
         words = [x.encode() for x in new]
         long = []
         for x, word, made in zip(new, words, self.replay(words), strict=True):
@@ -229,6 +239,9 @@ def _with(docs: DataFrame, text: str, more: list[T.StructField], rows, drop: boo
                 n = len(made[0])
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).slice(at, n) for c in kept] + made, names=kept + names)
                 at += n
+        for encoder in _encoders.values():
+            encoder.shrink()
+        trim()
 
     return fed.mapInArrow(run, schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -48,6 +50,12 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can; Python's processes outlive their tasks."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Two columns that name a row: rows that agree in id and text are one document to every operator."""
     return [F.col(doc_id).alias("_d"), F.xxhash64(F.col(text)).alias("_t")]
