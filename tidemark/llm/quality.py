@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, bucket, smallest
+from tidemark.llm.common import Scratch, bucket, smallest, trim
 
 FOLDS, HELD_OUT = 3, 1
 PER_CLASS, LEAST, N = 4000, 5, 4
@@ -141,14 +141,16 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], list[np.
     return counts, [np.frombuffer(x, np.int32) for x, _ in rows], np.array([y for _, y in rows])
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: float, rounds: int = 12) -> np.ndarray:
-    """Weights, the last of them the bias, of the linear hinge loss; rows have indices and values."""
+def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, shape: np.ndarray, y: np.ndarray, cost: float, rounds: int = 12) -> np.ndarray:
+    """Weights, the last of them the bias, of the linear hinge loss over indicators scaled by `ratio` and to the length of a text."""
+    size = len(ratio)
     w, alpha = np.zeros(size + 1), np.zeros(len(rows))
-    square = np.array([v @ v + 1 for _, v in rows])
+    values = lambda r: ratio[r] * _lengths(shape[r])  # noqa: E731  (made anew each time, as all of them take much memory)
+    square = np.array([v @ v + 1 for v in map(values, rows)])
     order = np.random.default_rng(5)
     for _ in range(rounds):
         for k in order.permutation(len(rows)):
-            i, v = rows[k]
+            i, v = rows[k], values(rows[k])
             step = min(max(alpha[k] - (y[k] * (w[i] @ v + w[size]) - 1) / square[k], 0.0), cost) - alpha[k]
             if step:
                 alpha[k] += step
@@ -157,18 +159,26 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
     return w
 
 
+def _count(rows: list[np.ndarray], size: int) -> np.ndarray:
+    """How many rows have each of `size` features; a row has none twice."""
+    n = np.zeros(size, np.int32)
+    for r in rows:
+        n[r] += 1
+    return n
+
+
 def _train(x: list[np.ndarray], y: np.ndarray, cost: float, toward: float) -> tuple[np.ndarray, np.ndarray, float]:
-    n = np.bincount(np.concatenate(x), minlength=SPACE)
+    n = _count(x, SPACE)
     chosen = np.flatnonzero(n >= LEAST).astype(np.int32)
     at = np.full(SPACE, -1, np.int32)
     at[chosen] = np.arange(len(chosen))
     rows = [c[c >= 0] for c in (at[r] for r in x)]
-    good, bad = (1.0 + np.bincount(np.concatenate([r for r, k in zip(rows, y, strict=True) if k == c] or [np.empty(0, int)]), minlength=len(chosen)) for c in (1, 0))
+    good, bad = (1.0 + _count([r for r, k in zip(rows, y, strict=True) if k == c], len(chosen)) for c in (1, 0))
     shape = chosen < SHAPES
     ratio = np.empty(len(chosen))
     for own in (shape, ~shape):
         ratio[own] = np.log((good[own] / good[own].sum()) / (bad[own] / bad[own].sum()))
-    w = dual_coordinate_descent([(r, ratio[r] * _lengths(shape[r])) for r in rows], np.where(y == 1, 1, -1), len(chosen), cost)
+    w = dual_coordinate_descent(rows, ratio, shape, np.where(y == 1, 1, -1), cost)
     w, b = w[:-1], w[-1]
     w = toward * np.abs(w).mean() + (1 - toward) * w
     return chosen, w * ratio, b
@@ -221,19 +231,26 @@ def score(docs: DataFrame, model: tuple, keep: list[str] | None = None) -> DataF
                 z.append(sum(weight[p] @ seen[p] / np.sqrt(max(1, np.count_nonzero(seen[p]))) for p in parts) + b)
             s = 1 / (1 + np.exp(-np.clip(slope * np.array(z, float) + intercept, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "held_out", "score", "predicted"])
+        trim()
 
     held = F.coalesce(bucket("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     fed = docs.select(*keep, held.alias("held_out"), F.col("text").alias("__text"))
     return fed.mapInArrow(run, ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep) + ", held_out boolean, score double, predicted int")
 
 
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    model = fit(*sample(docs, labels))
+    trim()
+    return model
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, fit(*sample(docs, labels)))
+    return score(docs, learn(docs, labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects."""
-    model = fit(*sample(docs, labels))
+    model = learn(docs, labels)
     columns = docs.columns
     plain = [c for c in columns if c not in ("held_out", "score", "predicted")]
     if plain == columns:
