@@ -109,12 +109,15 @@ def suffix_array(ranks: list[DataFrame], segments: DataFrame, scratch: Scratch)
     before = scratch.spark.createDataFrame(before, "part long, bsid long, bo int")
     rows = rows.join(F.broadcast(before), F.shiftright("idx", 33) == F.col("part"), "left")
     rows = rows.select("idx", "sid", "o", "d", "t", "p", "rest", F.coalesce("psid", "bsid").alias("psid"), F.coalesce("po", "bo").alias("po"), F.lit(0).alias("lcp"))
-    for level in reversed(range(len(ranks))):
+    for k, level in enumerate(reversed(range(len(ranks)))):
         mine = ranks[level].select("sid", F.col("o").alias("at"), F.col("r").alias("ra"))
         theirs = ranks[level].select(F.col("sid").alias("psid"), F.col("o").alias("pat"), F.col("r").alias("rb"))
         rows = rows.withColumns({"at": F.col("o") + F.col("lcp"), "pat": F.col("po") + F.col("lcp")})
         rows = rows.join(mine, ["sid", "at"], "left").join(theirs, ["psid", "pat"], "left").drop("at", "pat")
         rows = rows.withColumn("lcp", F.col("lcp") + F.when(F.col("ra") == F.col("rb"), F.least(F.lit(1 << level), F.col("rest") - F.col("lcp"))).otherwise(0)).drop("ra", "rb")
+        if k % 3 == 2 and level:  # short plans: the driver holds and plans all joins of one at once
+            rows = scratch.keep(rows, f"lcp-{level}")
+            scratch.drop(*(x for x in list(scratch.paths) if x == "beside" or x.startswith("lcp-") and x != f"lcp-{level}"))
     return scratch.keep(rows.select("idx", "sid", "d", "t", "p", "lcp"), "suffixes")
 
 
