@@ -6,7 +6,7 @@ all words at once; a merge touches only the index entries of its two neighbours.
 a bounded table, so each is replayed about once per task, and common ones once per worker.  There is no shuffle.
 
 Memory is bounded in bytes, whatever the texts: the table of seen words holds REMEMBERED bytes of words and ids, the
-table of pairs PAIRS entries, a stretch CHARS_AT_ONCE characters, and finished rows go out when they fill SENT_AT_ONCE
+table of pairs what the vocabulary gives, a stretch CHARS_AT_ONCE characters, and finished rows go out when they fill SENT_AT_ONCE
 bytes; the texts themselves go out only if they are asked for.
 
 Nulls count as empty text.  An empty text has no ids; its digests are those of no bytes.  A text of any length works:
@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import trim
 
 #: Bytes of words and ids that a worker remembers (as objects, these take about twelve times that), bytes of a longest remembered
-#: word, pairs remembered, words or characters that are in memory at once, and bytes of finished rows.
-REMEMBERED, LONGEST, PAIRS, AT_ONCE, CHARS_AT_ONCE, SENT_AT_ONCE = 5_000_000, 64, 200_000, 120_000, 1_200_000, 4_000_000
+#: word, words or characters that are in memory at once, and bytes of finished rows.
+REMEMBERED, LONGEST, AT_ONCE, CHARS_AT_ONCE, SENT_AT_ONCE = 5_000_000, 64, 120_000, 1_200_000, 4_000_000
 
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -44,20 +44,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class _Pairs(dict):
-    """For two tokens a and b, at a << 32 | b the rank of the token that they make, or -1; at most PAIRS are remembered."""
-
-    def __init__(self, ranks: dict[bytes, int], tokens: dict[int, bytes]):
-        super().__init__()
-        self.ranks, self.tokens = ranks, tokens
-
-    def __missing__(self, key: int) -> int:
-        if len(self) > PAIRS:
-            self.clear()
-        found = self[key] = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
-        return found
-
-
 class MergeReplay:
     """Applies merges to many words at once."""
 
@@ -65,7 +51,16 @@ class MergeReplay:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs = _Pairs(ranks, self.tokens)
+        # of each token, the tokens that it merges with and what they make: one entry for each way to cut a token in two
+        none: dict[int, int] = {}
+        self.follow: list[dict[int, int]] = [none] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    if self.follow[a] is none:
+                        self.follow[a] = {}
+                    self.follow[a][b] = rank
 
     def __call__(self, words: Iterable[bytes]) -> list[list[int]]:
         out: list[list[int] | int] = []
@@ -97,10 +92,10 @@ class MergeReplay:
         return [x if isinstance(x, list) else done[x] for x in out]
 
     def _replay(self, symbols: list[int], before: list[int], after: list[int]) -> None:
-        pairs = self.pairs
+        follow = self.follow
         where: dict[int, list[int]] = {}
         for p, q in enumerate(after):
-            if q >= 0 and (rank := pairs[symbols[p] << 32 | symbols[q]]) >= 0:
+            if q >= 0 and (rank := follow[symbols[p]].get(symbols[q], -1)) >= 0:
                 where.setdefault(rank, []).append(p)
         queue = sorted(where)
         while queue:
@@ -111,7 +106,7 @@ class MergeReplay:
             places.sort()
             for k, p in enumerate(places):
                 q = after[p]
-                if symbols[p] < 0 or q < 0 or pairs[symbols[p] << 32 | symbols[q]] != rank:
+                if symbols[p] < 0 or q < 0 or follow[symbols[p]].get(symbols[q], -1) != rank:
                     continue
                 symbols[p], symbols[q] = rank, -1
                 left, right = before[p], after[q]
@@ -119,13 +114,13 @@ class MergeReplay:
                 lowest = rank
                 if right >= 0:
                     before[right] = p
-                    if (found := pairs[rank << 32 | symbols[right]]) >= 0:
+                    if (found := follow[rank].get(symbols[right], -1)) >= 0:
                         if found not in where:
                             where[found] = []
                             heappush(queue, found)
                         where[found].append(p)
                         lowest = min(lowest, found)
-                if left >= 0 and (found := pairs[symbols[left] << 32 | rank]) >= 0:
+                if left >= 0 and (found := follow[symbols[left]].get(rank, -1)) >= 0:
                     if found not in where:
                         where[found] = []
                         heappush(queue, found)
