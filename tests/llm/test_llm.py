@@ -58,6 +58,22 @@ def test_bpe_long_texts_go_in_parts(spark, monkeypatch):
     assert [encoder.digest(x) for x in encoder.documents(["a b", text])][1] == whole
 
 
+def test_bpe_of_words_that_never_merge():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abab": 257}
+    replay = bpe.MergeReplay(ranks)
+    got = [np.frombuffer(x, np.int32).tolist() for x in replay([b"xyz", b"", b"ab", b"q"])]
+    assert got == [[120, 121, 122], [], [256], [113]]
+    assert [np.frombuffer(x, np.int32).tolist() for x in replay([b"ababab", b"xabab"])] == [[257, 256], [120, 257]]
+
+
+def test_bpe_of_an_empty_table_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "one two"), (1, "one two"), (2, None)], DOCS)
+    rows = [tuple(r) for r in bpe.digest(docs, queries.ranks(), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256").collect()]
+    assert len(rows) == 3 and len(set(rows)) == 2
+    assert bpe.digest(docs.limit(0), queries.ranks(), public_tokenizers.PATTERN).count() == 0
+    assert bpe.encode(docs.limit(0), queries.ranks(), public_tokenizers.PATTERN, digests=True, drop=True).columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
 def test_bpe_round_trip_and_clashing_columns(spark):
     docs = spark.createDataFrame([(k, t, "mine") for k, t in enumerate(ODD)], DOCS + ", ids string")
     encoded = bpe.encode(docs, queries.ranks(), public_tokenizers.PATTERN)

@@ -50,7 +50,8 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.first = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int32)
         # of each token, the tokens that it merges with and what they make: one entry for each way to cut a token in two
         none: dict[int, int] = {}
         self.follow: list[dict[int, int]] = [none] * (max(ranks.values()) + 1)
@@ -62,41 +63,37 @@ class MergeReplay:
                         self.follow[a] = {}
                     self.follow[a][b] = rank
 
-    def __call__(self, words: Iterable[bytes]) -> list[list[int]]:
-        out: list[list[int] | int] = []
-        symbols: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts: list[int] = []
-        for word in words:
-            whole = self.ranks.get(word)
-            if whole is not None or not word:
-                out.append([whole] if word else [])
-                continue
-            out.append(len(starts))
-            at, n = len(symbols), len(word)
-            starts.append(at)
-            symbols.extend(map(self.single.__getitem__, word))
-            before.append(-1)
-            before.extend(range(at, at + n - 1))
-            after.extend(range(at + 1, at + n))
-            after.append(-1)
-        self._replay(symbols, before, after)
-        done = []
-        for at in starts:
-            ids = []
-            while at >= 0:
-                ids.append(symbols[at])
-                at = after[at]
-            done.append(ids)
-        return [x if isinstance(x, list) else done[x] for x in out]
-
-    def _replay(self, symbols: list[int], before: list[int], after: list[int]) -> None:
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, four bytes each."""
+        whole = [self.ranks.get(word) for word in words]
+        cut = [word for word, rank in zip(words, whole, strict=True) if rank is None and word]
+        made = iter(self._cut(cut) if cut else [])
+        return [next(made) if rank is None and word else b"" if rank is None else rank.to_bytes(4, sys.byteorder) for word, rank in zip(words, whole, strict=True)]
+
+    def _cut(self, words: list[bytes]) -> list[bytes]:
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([len(word) for word in words])
+        starts = np.r_[0, ends[:-1]]
+        after, before = np.arange(1, len(raw) + 1), np.arange(-1, len(raw) - 1)
+        after[ends - 1] = before[starts] = -1
+        ranks = np.full(len(raw), -1, np.int32)
+        ranks[:-1] = self.first[raw[:-1], raw[1:]]
+        ranks[ends - 1] = -1
+        # the index of the first pairs, all places of a pair in order
+        places = np.flatnonzero(ranks >= 0)
+        places = places[np.argsort(ranks[places], kind="stable")]
+        kinds, begin = np.unique(ranks[places], return_index=True)
+        where = {rank: x.tolist() for rank, x in zip(kinds.tolist(), np.split(places, begin[1:]), strict=True)} if len(places) else {}
+        symbols = self.single[raw].tolist()
+        self._replay(symbols, before.tolist(), after.tolist(), where)
+        left = np.array(symbols, np.int32)
+        alive = left >= 0
+        ids, upto = left[alive].tobytes(), np.cumsum(alive)[ends - 1] * 4
+        return [ids[i:j] for i, j in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
+
+    def _replay(self, symbols: list[int], before: list[int], after: list[int], where: dict[int, list[int]]) -> None:
+        """Merges in rank order.  What is left of a merge stands at the place of its first symbol; the other becomes -1."""
         follow = self.follow
-        where: dict[int, list[int]] = {}
-        for p, q in enumerate(after):
-            if q >= 0 and (rank := follow[symbols[p]].get(symbols[q], -1)) >= 0:
-                where.setdefault(rank, []).append(p)
         queue = sorted(where)
         while queue:
             rank = heappop(queue)
@@ -166,11 +163,11 @@ class Encoder:
         words = [x.encode() for x in new]
         long = []
         for x, word, made in zip(new, words, self.replay(words), strict=True):
-            known[x] = ids = np.array(made, np.int32).tobytes() if len(made) > 8 else b"".join(k.to_bytes(4, sys.byteorder) for k in made)
+            known[x] = made
             if len(word) > LONGEST:
                 long.append(x)
             else:
-                self.held += len(word) + len(ids)
+                self.held += len(word) + len(made)
         out = [b"".join(map(known.__getitem__, x)) for x in lists]
         for x in long:
             del known[x]
