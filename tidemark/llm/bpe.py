@@ -3,7 +3,7 @@
 A task gathers the distinct words of a stretch of documents, lays their bytes in one array of symbols, and keeps an
 inverted index from each mergeable token pair to the positions where it stands.  Merges are applied in rank order over
 all words at once; a merge touches only the index entries of its two neighbours.  Words that a worker has seen stay in
-a bounded table, so each is replayed about once per task, and common ones once per worker.  There is no shuffle.
+a bounded table, so each is replayed about once per worker (in `encode`, per task but for common ones).  There is no shuffle.
 
 Memory is bounded in bytes, whatever the texts: the table of seen words holds REMEMBERED bytes of words and ids, the
 table of pairs what the vocabulary gives, a stretch CHARS_AT_ONCE characters, and finished rows go out when they fill SENT_AT_ONCE
@@ -33,7 +33,7 @@ from tidemark.llm.common import trim
 
 #: Bytes of words and ids that a worker remembers (as objects, these take about twelve times that), bytes of a longest remembered
 #: word, words or characters that are in memory at once, and bytes of finished rows.
-REMEMBERED, LONGEST, AT_ONCE, CHARS_AT_ONCE, SENT_AT_ONCE = 5_000_000, 64, 120_000, 1_200_000, 4_000_000
+REMEMBERED, LONGEST, AT_ONCE, CHARS_AT_ONCE, SENT_AT_ONCE = 8_000_000, 64, 120_000, 1_200_000, 4_000_000
 
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -217,8 +217,9 @@ def _encoder(held, pattern: str) -> Encoder:
     return _encoders[key]
 
 
-def _with(docs: DataFrame, text: str, more: list[T.StructField], rows, drop: bool = False) -> DataFrame:
-    """docs with columns that `rows` makes of a batch's texts, in pieces; without the text itself if it is to be dropped."""
+def _with(docs: DataFrame, text: str, more: list[T.StructField], rows, drop: bool = False, keep: bool = True) -> DataFrame:
+    """docs with columns that `rows` makes of a batch's texts, in pieces; without the text itself if it is to be dropped.
+    keep: whether a worker keeps its table of words for its next task, rather than only the common ones."""
     names = [f.name for f in more]
     kept = [c for c in docs.columns if c not in names and not (drop and c == text)]
     fed = docs.select(*kept) if text in kept else docs.select(*kept, docs[text].alias("__text"))
@@ -231,15 +232,17 @@ def _with(docs: DataFrame, text: str, more: list[T.StructField], rows, drop: boo
                 n = len(made[0])
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).slice(at, n) for c in kept] + made, names=kept + names)
                 at += n
-        for encoder in _encoders.values():
-            encoder.shrink()
-        trim()
+        if not keep:
+            for encoder in _encoders.values():
+                encoder.shrink()
+            trim()
 
     return fed.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", digests: bool = False, drop: bool = False) -> DataFrame:
-    """docs with `ids`, and with the digests of `digest` if asked for; without the text if it is to be dropped."""
+    """docs with `ids`, and with the digests of `digest` if asked for; without the text if it is to be dropped.  As other
+    operators often run in the same workers, these keep only common words between tasks."""
     held = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def rows(column):
@@ -262,7 +265,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 lengths, values, size, said = [0], [], 0, []
         yield made()
 
-    return _with(docs, text, IDS.fields + (DIGEST.fields if digests else []), rows, drop)
+    return _with(docs, text, IDS.fields + (DIGEST.fields if digests else []), rows, drop, keep=False)
 
 
 def _columns(rows: list[tuple[int, str, str]]) -> list[pa.Array]:
