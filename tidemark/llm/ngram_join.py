@@ -227,7 +227,8 @@ def _leaves(classes: DataFrame, scratch: Scratch) -> DataFrame:
     level = classes.select("rid", F.explode(F.array(*[F.xxhash64(F.lit(r), F.col("sk")[r]) for r in range(RUNS)])).alias("node"), F.lit(1 << 62).alias("above"))
     leaves = []
     for depth in range(DEPTH + 1):
-        sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        # written, so that neither side of the join is an aggregate and a node of very many sets can be split
+        sizes = scratch.keep(level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{depth}")
         level = scratch.keep(level.join(sizes, "node"), f"level-{depth}")
         # a node that holds half of the one above is of sets so alike that splitting it only multiplies it
         done = (F.col("n") <= LIMIT) | (2 * F.col("n") > F.col("above"))
