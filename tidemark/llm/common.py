@@ -61,6 +61,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.col(doc_id).alias("_d"), F.xxhash64(F.col(text)).alias("_t")]
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs as one column, _row, and their keys, so that no column of theirs clashes with another."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *row_key())
+
+
 def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["_d"].eqNullSafe(b["_d"]) & (a["_t"] == b["_t"])
 

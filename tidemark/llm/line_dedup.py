@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, one_of_each, row_key
+from tidemark.llm.common import Scratch, one_of_each, row_key, whole_rows
 
 MIN_WORDS = 10
 #: Places in a stretch of the suffix array, from the second merge on.
@@ -264,11 +264,11 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the lines of later copies gone from `text`, and with n_lines (before) and n_removed."""
     masks = later_copies(docs, min_words)
-    keyed = docs.drop("n_lines", "n_removed").select("*", *row_key())
+    keyed, text = whole_rows(docs.drop("n_lines", "n_removed")), F.col("_row.text")
     joined = keyed.join(masks, keyed["_d"].cast(_id_kind(docs)).eqNullSafe(masks["d"]) & (keyed["_t"] == masks["t"]), "left")
-    lines = F.split("text", "\n", -1)
+    lines = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, k: ~F.coalesce(F.get("mask", k), F.lit(False))), "\n")
     removed = F.coalesce(F.size(F.filter("mask", lambda x: x)), F.lit(0)).cast("long")
-    n_lines = F.when(F.length("text") > 0, F.size(lines)).otherwise(0).cast("long")
-    columns = [F.when(F.col("mask").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    n_lines = F.when(F.length(text) > 0, F.size(lines)).otherwise(0).cast("long")
+    columns = [F.when(F.col("mask").isNull(), text).otherwise(kept).alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(*columns, n_lines.alias("n_lines"), removed.alias("n_removed"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, row_key
+from tidemark.llm.common import Scratch, row_key, whole_rows
 from tidemark.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each group; documents without words stay."""
     found = near_duplicates(docs, threshold).where("keep").groupBy(F.col("_d").alias("_kd"), F.col("_t").alias("_kt")).agg(F.count("*").alias("_n"), F.first(F.col("class_id").isNotNull()).alias("_any"))
-    keyed = docs.select("*", *row_key())
+    keyed = whole_rows(docs)
     kept = keyed.join(found, keyed["_d"].eqNullSafe(found["_kd"]) & (keyed["_t"] == found["_kt"]))
     once, repeated = kept.where("_n = 1"), kept.where("_n > 1")
-    return once.union(repeated.dropDuplicates(["_d", "_t"])).select(*docs.columns)
+    return once.union(repeated.dropDuplicates(["_d", "_t"])).select("_row.*")
