@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
-from tidemark.llm.common import Scratch, row_key, table
+from tidemark.llm.common import Scratch, table, whole_rows
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.ngram_join import one_of_each_group
@@ -24,12 +24,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of later copies; those of which nothing is left go, those that came empty stay."""
+    """Documents without lines of later copies; those of which nothing is left go, those that came empty stay.
+
+    Columns named like an output of line_dedup pass through like any other."""
+    own = {c: f"__{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    docs = docs.withColumnsRenamed(own)
     deduped = line_dedup(docs)
     n_chars = {"n_chars": F.length("text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {}
     kept = deduped.where((F.col("n_removed") == 0) | (F.length("text") > 0))
     changed = {c: F.when(F.col("n_removed") > 0, x).otherwise(F.col(c)) for c, x in n_chars.items()}
-    return kept.withColumns(changed).select(*docs.columns)
+    return kept.withColumns(changed).select(*docs.columns).withColumnsRenamed({new: c for c, new in own.items()})
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +44,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     dirty = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), near=None).where("contaminated").select(F.col("doc_id").alias("_xd"), F.col("_t").alias("_xt")).distinct()
-    keyed = docs.select("*", *row_key())
-    return keyed.join(dirty, keyed["_d"].eqNullSafe(dirty["_xd"]) & (keyed["_t"] == dirty["_xt"]), "left_anti").select(*docs.columns)
+    keyed = whole_rows(docs)
+    return keyed.join(dirty, keyed["_d"].eqNullSafe(dirty["_xd"]) & (keyed["_t"] == dirty["_xt"]), "left_anti").select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, their number, and digests of the ids and of the bytes they decode to."""
+    """The ids of each document, their number, and digests of the ids and of the bytes they decode to; other columns go."""
     return bpe.encode(docs.select("doc_id", "text"), ranks(), public_tokenizers.PATTERN, digests=True, drop=True)
 
 
