@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, decontaminate, language_id, licenses, line_dedup, ngram_join, quality, toxicity, url_filter
+from tidemark.llm import ann, bpe, decontaminate, fim, language_id, lexical, licenses, line_dedup, ngram_join, packing, quality, toxicity, url_filter
 from tidemark.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
@@ -67,7 +68,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_decontaminate, op4_toxicity, op5_nearest_neighbours, op6_quality, op7_ngram_join, op8_language_id, op9_license_scan, op10_url_filter, op3_near_matches)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(WORDS), end=1, capacity=4096, apart=True)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed="7", unit="line", rate=100, spm=50, keep_text=False)
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored()).alias("restored_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_decontaminate, op4_toxicity, op5_nearest_neighbours, op6_quality, op7_ngram_join, op8_language_id, op9_license_scan, op10_url_filter, op11_lexical_search, op12_packing, op13_fill_in_middle, op3_near_matches)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -131,4 +147,29 @@ held AS (SELECT doc_id, license, k, len(list_intersect(v.s, t.s)) / len(t.s) AS
 SELECT doc_id, license, max(share) AS containment, min(k)::BIGINT AS first_word, count(*)::BIGINT AS n_windows FROM held WHERE share >= 0.8 GROUP BY doc_id, license"""
 
 
-SQL: dict[str, str] = {"op2_line_dedup": _LINE_DEDUP, "op3_decontaminate": _DECONTAMINATE, "op7_ngram_join": _NGRAM_JOIN, "op9_license_scan": _license_sql()}
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_LEXICAL_SEARCH = f"""
+WITH docs AS (SELECT doc_id, w, len(w)::BIGINT AS n FROM (SELECT doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0),
+size AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM docs),
+tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM docs) GROUP BY ALL),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+items AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+scored AS (SELECT item_id, doc_id, sum(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // total)))))::BIGINT AS score
+  FROM items JOIN df USING (term) JOIN tf USING (term), size GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+_FILL_IN_MIDDLE = r"""
+WITH units AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (SELECT *, len(u)::BIGINT AS n, list_transform(generate_series(0, 3), lambda k: ('0x' || substr(h, 8 * k + 1, 8))::BIGINT) AS x FROM units),
+cuts AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b FROM drawn),
+parts AS (SELECT *, array_to_string(list_filter(u, lambda y, k: k <= a), '') AS prefix, array_to_string(list_filter(u, lambda y, k: k > a AND k <= b), '') AS middle, array_to_string(list_filter(u, lambda y, k: k > b), '') AS suffix FROM cuts),
+formed AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR x[3] % 100 >= 100 THEN 'plain' WHEN x[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM parts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM formed"""
+
+SQL: dict[str, str] = {"op2_line_dedup": _LINE_DEDUP, "op3_decontaminate": _DECONTAMINATE, "op7_ngram_join": _NGRAM_JOIN, "op9_license_scan": _license_sql(), "op11_lexical_search": _LEXICAL_SEARCH, "op13_fill_in_middle": _FILL_IN_MIDDLE}
