@@ -353,3 +353,51 @@ def test_pipeline(spark):
     rows = out.collect()
     assert 0 < len(rows) < docs.count() and len({r["doc_id"] for r in rows}) == len(rows)
     assert all(r["n_tokens"] == len(r["ids"]) for r in rows)
+
+
+def exact_nearest(rows, queries_, k):
+    ids = [i for i, _ in rows]
+    v = np.array([x for _, x in rows], float)
+    out = {}
+    for me, q in queries_:
+        q = np.array(q, float)
+        s = (v * q).sum(1) / (np.linalg.norm(v, axis=1) * np.linalg.norm(q))
+        out[me] = [(y, -a) for a, y in sorted((-a, y) for a, y in zip(s.tolist(), ids, strict=True) if y != me)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("scale", [lambda k: 2.0 ** (k % 11), lambda k: 1.0 + k])
+def test_nearest_of_one_direction_and_many_lengths(spark, scale):
+    base = np.random.default_rng(4).integers(-9, 9, (3, 8)).astype(float)
+    rows = [(k, (base[k % 3] * scale(k)).tolist()) for k in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.nearest(df, df.where("vec_id % 50 = 0"), shard_rows=300).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    wanted = exact_nearest(rows, [x for x in rows if x[0] % 50 == 0], 5)
+    assert {q: [y for y, _ in x] for q, x in got.items()} == {q: [y for y, _ in x] for q, x in wanted.items()}
+    assert got[0][0][0] == 3 if scale(3) == 8 else True
+
+
+def test_language_needs_a_letter_and_whole_texts(spark):
+    rows = [(k, x * 40, lang) for k in range(60) for x, lang in (("the house and the tree ", "en"), ("das haus und der baum ", "de"))]
+    learnt = language_id.learn(spark.createDataFrame([(2 * k + j, x, lang) for j, (k, x, lang) in enumerate(rows)], DOCS + ", lang string"))
+    judge = language_id.Judge(learnt)
+    for text in ("½ ²³", "①②", "Ⅷ", "12 !", "", None, "٣٤ __"):
+        assert judge(text) == ("und", 0.0, True)
+    assert judge("the tree and the house")[0] == "en" and judge("der baum und das haus")[0] == "de"
+    assert language_id.filled([b"abc", "dé".encode(), b"zz"], 6) == b"abc\nd" and language_id.filled([b"abc", b"de"], 9) == b"abc\nde"
+
+
+def test_language_sizes_are_those_of_the_library():
+    import zstandard as zstd
+
+    contents = {"a": b"the house and the tree " * 50, "b": b"das haus und der baum " * 50}
+    text = "der baum and the house " * 500
+    params = zstd.ZstdCompressionParameters.from_level(5, min_match=4, write_content_size=0, write_checksum=0)
+    sizes = {}
+    for lang, content in contents.items():
+        c = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params)
+        data = text.encode()
+        sizes[lang] = sum(len(c.compress(data[k : k + 4096])) for k in range(0, len(data), 4096))
+    assert language_id.Judge(contents)(text)[0] == min(sizes, key=lambda k: (sizes[k], k))

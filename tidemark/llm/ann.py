@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by a hierarchical navigable small-world graph per shard.
 
-Equal vectors are indexed once, with the smallest ids that a result can need.  Vectors are dealt by hash to shards, as many
-as there are cores but of SHARD rows at most, about; each shard's graph is built in one task and kept as flat neighbour arrays
-in one row of a written table.  All queries are sent to each shard, whose task reads the graph and then lets the queries pass by;
+Equal vectors are kept once, with the smallest ids that a result can need.  Vectors are dealt by hash to shards, as many
+as there are cores but of SHARD rows and SHARD_BYTES at most, about; each shard's graph is built in one task and kept as flat
+neighbour arrays in one row of a written table.  A node of a graph is a direction: vectors that differ in length alone share it,
+and a search that meets it scores them all, so that ties are whole however many there are.  All queries are sent to each shard, whose task reads the graph and then lets the queries pass by;
 nothing of either is collected.  A search in a graph grows with the logarithm of its rows.  Each shard returns its
 nearest, with cosines in double precision of the original vectors, and these are merged by score, then smaller id.
 
@@ -25,6 +26,8 @@ from tidemark.llm.ngram_join import _grouped
 
 #: Rows of a shard at most, about, and rows below which no more shards are made for more cores.
 SHARD, LEAST_ROWS = 100_000, 4096
+#: Bytes of a shard's vectors at most, about.
+SHARD_BYTES = 64_000_000
 LINKS, BUILD, SEARCH = 16, 64, 96
 
 
@@ -132,22 +135,34 @@ def usable(embedding: Column) -> Column:
     return F.when(finite & (square > 0) & (square < float("inf")), v)
 
 
-_INDEX = "shard int, dim int, kind int, vec_id long, v binary, ids binary, counts binary, vectors binary, layers array<binary>, degrees array<binary>"
+_INDEX = "shard int, dim int, kind int, vec_id long, v binary, ids binary, counts binary, vectors binary, nodes binary, layers array<binary>, degrees array<binary>"
 _NAMES = [x.split()[0] for x in _INDEX.split(", ")]
-_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+
+
+def directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each vector its direction's number, and the directions: unit vectors in single precision, each once."""
+    unit = np.ascontiguousarray((vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32) + np.float32(0))  # no negative zeros
+    _, first, nodes = np.unique(unit.view(np.dtype((np.void, unit.itemsize * unit.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return nodes, unit[first]
 
 
 def _build(batches):
     for (shard, dim), parts in _grouped(batches, 2):
         t = pa.Table.from_batches(parts)
         lists = [sorted(x) for x in t.column("ids").to_pylist()]
-        order = sorted(range(len(lists)), key=lambda k: lists[k])
-        vectors = np.array(t.column("v").to_pylist(), float).reshape(len(lists), -1)[order]
-        lists = [lists[k] for k in order]
-        g = Graph.build((vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32))
+        vectors = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in t.column("v").chunks]).reshape(len(lists), -1)
+        nodes, unit = directions(vectors)
+        first = np.full(len(unit), np.iinfo(np.int64).max)  # of each node, the smallest id: graphs don't depend on the order of rows
+        np.minimum.at(first, nodes, [x[0] for x in lists])
+        rank = np.empty(len(unit), np.int64)
+        rank[np.argsort(first, kind="stable")] = np.arange(len(unit))
+        order = sorted(range(len(lists)), key=lambda k: (rank[nodes[k]], lists[k]))
+        vectors, lists, nodes = vectors[order], [lists[k] for k in order], rank[nodes][order]
+        g = Graph.build(unit[np.argsort(rank)])
         ids = np.concatenate([np.array(x, np.int64) for x in lists])
         counts = np.array([len(x) for x in lists], np.int32)
-        row = [int(shard), int(dim), 0, None, None, ids.tobytes(), counts.tobytes(), vectors.tobytes(), [x.tobytes() for x in g.layers], [x.tobytes() for x in g.degrees]]
+        row = [int(shard), int(dim), 0, None, None, ids.tobytes(), counts.tobytes(), vectors.tobytes(), nodes.astype(np.int32).tobytes(), [x.tobytes() for x in g.layers], [x.tobytes() for x in g.degrees]]
         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _KINDS, strict=True)], names=_NAMES)
 
 
@@ -160,21 +175,23 @@ class Shard:
         self.ends, n = np.cumsum(self.counts), len(self.counts)
         self.vectors = np.frombuffer(row["vectors"]).reshape(n, -1)
         self.norms = np.linalg.norm(self.vectors, axis=1)
-        layers = [np.frombuffer(x, np.int32).reshape(n, -1) for x in row["layers"]]
-        self.graph = Graph((self.vectors / self.norms[:, None]).astype(np.float32), layers, [np.frombuffer(x, np.int32) for x in row["degrees"]])
+        nodes = np.frombuffer(row["nodes"], np.int32)  # in order
+        self.begin = np.searchsorted(nodes, np.arange(nodes[-1] + 2))
+        layers = [np.frombuffer(x, np.int32).reshape(len(self.begin) - 1, -1) for x in row["layers"]]
+        one = self.begin[:-1]
+        self.graph = Graph((self.vectors[one] / self.norms[one, None]).astype(np.float32), layers, [np.frombuffer(x, np.int32) for x in row["degrees"]])
 
     def nearest(self, me: int, q: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-        ids, ends, counts = self.ids, self.ends, self.counts
         size = np.linalg.norm(q)
-        near = np.array(self.graph.nearest((q / size).astype(np.float32), max(SEARCH, 2 * k)))
+        met = np.array(self.graph.nearest((q / size).astype(np.float32), max(SEARCH, 2 * k)))
+        near = np.concatenate([np.arange(self.begin[x], self.begin[x + 1]) for x in met.tolist()])
         s = (self.vectors[near] * q).sum(1) / (self.norms[near] * size)
-        best = sorted(((-float(a), int(x)) for x, a in zip(near, s, strict=True)), key=lambda y: (y[0], ids[ends[y[1]] - counts[y[1]]]))
-        out: list[tuple[int, int, float]] = []
-        for a, x in best:
-            out += [(me, y, -a) for y in ids[ends[x] - counts[x] : ends[x]].tolist() if y != me]
-            if len(out) >= k:
-                break
-        return out[:k]
+        order = np.argsort(-s, kind="stable")
+        near, s = near[order], s[order]
+        # all that are no farther than the one with which k others are there for sure
+        least = s[min(int(np.searchsorted(np.cumsum(self.counts[near]), k + 1)), len(s) - 1)]
+        best = [(-a, y) for x, a in zip(near.tolist(), s.tolist(), strict=True) if a >= least for y in self.ids[self.ends[x] - self.counts[x] : self.ends[x]].tolist() if y != me]
+        return [(me, y, -a) for a, y in sorted(best)[:k]]
 
 
 def _searcher(k: int):
@@ -210,7 +227,9 @@ def build_index(rows: DataFrame, k: int, scratch: Scratch, shard_rows: int = SHA
     keyed = rows.select("vec_id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(3), "v").alias("h2")).dropDuplicates(["h1", "h2", "vec_id"])
     first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     distinct = scratch.keep(first.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.first("dim").alias("dim"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "distinct")
-    n = distinct.count()
+    size = distinct.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
+    n = size["n"]
+    shard_rows = max(1, min(shard_rows, SHARD_BYTES // (8 * (size["dim"] or 1))))
     # as many shards as cores while shards stay small, then as few as a task's memory allows, as each query visits them all
     shards = max(1, -(-n // shard_rows), min(-(-n // LEAST_ROWS), rows.sparkSession.sparkContext.defaultParallelism))
     dealt = distinct.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "dim", "ids", "v").repartition(shards, "shard").sortWithinPartitions("shard", "dim")

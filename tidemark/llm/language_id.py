@@ -1,25 +1,24 @@
 """Language identification by compression.
 
-For each language a raw-content zstandard dictionary is filled with pieces of texts of that language.  A text is
+For each language a raw-content zstandard dictionary is filled with texts of that language.  A text is
 lower-cased, encoded in pieces of CHUNK bytes with every dictionary, and gets the language whose encodings are smallest in
 total.  The margin is the share that the best saves over the second best; below REJECT it is narrow and `rejected` is
 true, and lang_pred still names the best.  The score rises with the margin from 0 to 1.
 
-Dictionaries take at most TEXTS pieces of PIECE characters a language, each from a hashed place of a text, the texts being
-those of smallest hash among all that may be learned from.  Of n pieces each may take an nth of DICTIONARY bytes; with so many
-languages that all dictionaries would pass TOTAL bytes, all are smaller (below LEAST bytes it is an error).  Predictions
-read every whole text.
+Dictionaries take at most TEXTS texts a language, those of smallest hash among all that may be learned from: whole ones in this
+order until DICTIONARY bytes are full.  Texts of over LONG bytes come after all others and fill what room is left, the last up to
+where it is full.  With so many languages that all dictionaries would pass TOTAL bytes, all are smaller (below LEAST bytes it is
+an error).  Predictions read every whole text.
 
-A text that is null or has no letter is `und` with score 0, and so is any if nothing was learned.  With one language, all
+A text that is null or has no letter (category L of Unicode) is `und` with score 0, and so is any if nothing was learned.  With one language, all
 others are that one with score 1.  Ties go to the language first in order.  Rows without lang or text teach nothing.
 Repeated rows get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
+import regex
 import zstandard as zstd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,34 +26,47 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bucket
 
 FOLDS, HELD_OUT = 3, 1
-TEXTS, PIECE, DICTIONARY, CHUNK, REJECT = 100, 2000, 120_000, 4096, 0.01
+TEXTS, LONG, DICTIONARY, CHUNK, REJECT = 100, 12_000, 120_000, 4096, 0.01
 #: Bytes of all dictionaries, which are collected and sent out, and the fewest of one.
 TOTAL, LEAST = 64_000_000, 2000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _LEVEL, _PARAMS = 5, dict(min_match=4, write_content_size=0, write_checksum=0)
 
 
 def learn(docs: DataFrame, texts: int = TEXTS) -> dict[str, bytes]:
     """The content of each language's dictionary."""
     own = F.coalesce(bucket("doc_id", FOLDS) != HELD_OUT, F.lit(False))
-    known = docs.where(own & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "doc_id", F.xxhash64("text").alias("h"))
+    long = (F.octet_length("text") > LONG).alias("long")
+    known = docs.where(own & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "doc_id", long, F.xxhash64("text").alias("h"))
     # the smallest hash of each of 4 * texts parts first: combined before the shuffle, so a language of most rows is no hot group
-    parts = known.groupBy("lang", F.pmod("h", F.lit(4 * texts)).alias("part")).agg(F.min(F.struct("h", "doc_id")).alias("x"))
-    first = parts.select("lang", "x.h", "x.doc_id").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= texts)
-    first = first.select("lang", "doc_id", "h").collect()  # at most `texts` a language
+    parts = known.groupBy("lang", "long", F.pmod("h", F.lit(4 * texts)).alias("part")).agg(F.min(F.struct("h", "doc_id")).alias("x"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("long", "x.h"))
+    first = parts.select("lang", "long", "x.h", "x.doc_id", place.alias("n")).where(F.col("n") <= texts).drop("n")
+    first = first.collect()  # at most `texts` a language
     n_langs = max(1, len({r["lang"] for r in first}))
     most = min(DICTIONARY, TOTAL // n_langs)
     if most < LEAST:
         raise ValueError(f"more than {TOTAL // LEAST} languages")
     chosen = docs.sparkSession.createDataFrame([(r["lang"], r["doc_id"], r["h"]) for r in first], f"lang string, doc_id {dict(docs.dtypes)['doc_id']}, h long")
-    size = F.length("text")
-    start = F.pmod(F.xxhash64(F.lit(7), "text"), F.greatest(size - PIECE + 1, F.lit(1))).cast("int") + 1
-    rows = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), ["lang", "doc_id", "h"])
-    pieces = rows.groupBy("lang", "h").agg(F.min(F.substr("text", start, F.lit(PIECE))).alias("piece")).collect()  # as many
-    held: dict[str, list[bytes]] = {}
-    for row in sorted(pieces, key=lambda r: (r["lang"], r["h"])):
-        held.setdefault(row["lang"], []).append(row["piece"].lower().encode())
-    return {lang: b"\n".join(x[: most // len(got)] for x in got) for lang, got in held.items()}
+    rows = docs.select("doc_id", "lang", "text", long, F.xxhash64("text").alias("h")).join(F.broadcast(chosen), ["lang", "doc_id", "h"])
+    # no more of a text than a dictionary can take
+    held = rows.groupBy("lang", "long", "h").agg(F.min(F.substr("text", F.lit(1), F.lit(most))).alias("text")).toLocalIterator()
+    out: dict[str, list[tuple[bool, int, bytes]]] = {}
+    for row in held:
+        out.setdefault(row["lang"], []).append((row["long"], row["h"], row["text"].lower().encode()))
+    return {lang: filled([x for _, _, x in sorted(got)], most) for lang, got in sorted(out.items())}
+
+
+def filled(texts: list[bytes], most: int) -> bytes:
+    """Whole texts in order while they fit, then the next up to where it is full, at the end of a character."""
+    out = b""
+    for x in texts:
+        room = most - len(out) - bool(out)
+        if room <= 0:
+            break
+        part = x if len(x) <= room else x[:room].decode(errors="ignore").encode()
+        out += b"\n" * bool(out) + part
+    return out
 
 
 class Judge:

@@ -19,7 +19,6 @@ empty result.
 
 from __future__ import annotations
 
-import json
 import math
 import os
 import re
@@ -29,7 +28,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,8 +42,10 @@ GROUPS, SHORT = 96, 1 / 64
 #: Step of prices, rounds at most, and the gap to the lower bound at which rounds end.
 STEP, ROUNDS, GAP = 0.1, 3_000, 0.002
 #: Bytes of words and ids that a worker remembers, bytes of text at once, bytes of ids in a batch, rows of one length that are numbered together.
-REMEMBERED, AT_ONCE, SENT_AT_ONCE, TOGETHER = 16_000_000, 4_000_000, 8_000_000, 1_000
+REMEMBERED, AT_ONCE, SENT_AT_ONCE, TOGETHER = 32_000_000, 4_000_000, 8_000_000, 1_000
 
+#: A character that stands between stretches told to the library, which makes one id of it that nothing else has; stretches told at once.
+MARK, TOLD_AT_ONCE = "\x01", 2_000
 #: Blanks of Unicode; what Python's split takes for blanks besides, U+001C to U+001F, are none.
 _APART = re.compile("[^\t\n\v\f\r \x85\xa0  -     　]+")
 
@@ -63,27 +63,26 @@ class Encoder:
 
         self.library = Tokenizer.from_str(made)
         self.library.encode_special_tokens = special_as_text
-        self.made, self.apart, self.known, self.held = json.loads(made), apart, {}, 0
-        self.words = self._words() if special_as_text else None
-
-    def _words(self) -> re.Pattern | None:
-        """How the tokenizer splits lower-case ASCII into words, each encoded apart; None if it does not work like that.
-
-        Then NAME, Name and name, are looked up as name, and the comma."""
-        normal = [x["type"] for x in (self.made.get("normalizer") or {}).get("normalizers", [])]
-        split = ((self.made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        if normal != ["NFC", "Replace", "Lowercase"] or split.get("type") != "Split" or (split["behavior"], split["invert"]) != ("Removed", True):
-            return None
-        return regex.compile(split["pattern"]["Regex"])
-
-    def _remember(self, rows) -> None:
-        for x, ids in rows:
-            self.known[x] = ids
-            self.held += len(x) + len(ids)
+        self.apart, self.known, self.held = apart, {}, 0
+        mark = self.library.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _apart(self, some: list[str]) -> list[bytes]:
+        """The ids of stretches without blanks: many are given to the library at once, with MARK between them."""
+        if self.mark is None or any(MARK in x for x in some):
+            return self._encoded(some)
+        out = []
+        for first in range(0, len(some), TOLD_AT_ONCE):
+            mine = some[first : first + TOLD_AT_ONCE]
+            ids = np.array(self.library.encode_batch_fast([f" {MARK} ".join(mine)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark) * 4
+            whole = ids.tobytes()
+            out += [whole[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(whole)], strict=True)]
+        return out
+
     def __call__(self, texts: list[str], odd: bool) -> list[bytes]:
         """odd: whether there are characters that Python's split wrongly takes for blanks."""
         if not self.apart:
@@ -93,13 +92,10 @@ class Encoder:
         if self.held > REMEMBERED:
             self.known = {x: self.known[x] for x in here if x in self.known}
             self.held = sum(len(x) + len(y) for x, y in self.known.items())
-        new = here.difference(self.known)
-        plain = {x: self.words.findall(x.lower()) for x in new if x.isascii()} if self.words else {}
-        unknown = list(new.difference(plain).union(*plain.values()).difference(self.known))
-        for first in range(0, len(unknown), 20_000):
-            some = unknown[first : first + 20_000]
-            self._remember(zip(some, self._encoded(some), strict=True))
-        self._remember((x, b"".join(map(self.known.__getitem__, parts))) for x, parts in plain.items() if parts != [x])
+        new = list(here.difference(self.known))
+        for x, ids in zip(new, self._apart(new), strict=True):
+            self.known[x] = ids
+            self.held += len(x) + len(ids)
         return [b"".join(map(self.known.__getitem__, x)) for x in lists]
 
 
