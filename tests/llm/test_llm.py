@@ -338,11 +338,58 @@ def test_url_rules_and_trees(spark):
     assert joined == {k: r["rule"] for k, r in got.items()}
 
 
-def test_trees_learn():
-    urls = [f"http://h{k % 7}.{'bad' if k % 3 == 0 else 'good'}.org/{k}" for k in range(300)]
-    model = url_filter.train(urls, [int(k % 3 == 0) for k in range(300)])
-    p = model(urls)
-    assert ((p >= 0.5) == (np.arange(300) % 3 == 0)).mean() > 0.99
+def suffix_counts(urls, blocked):
+    """Of each URL, what all of them say of its last label and its last two."""
+    ends = [[".".join(u.split("://")[1].split("/")[0].lower().split(".")[-n:]) if "://" in u else "" for n in (1, 2)] for u in urls]
+    count = lambda n, e: (float(sum(b for x, b in zip(ends, blocked, strict=True) if x[n] == e)), float(sum(x[n] == e for x in ends)))
+    return [(*count(0, e[0]), *count(1, e[1])) for e in ends]
+
+
+def test_trees_learn(spark):
+    urls = [f"http://h{k % 7}.{'bad' if k % 3 == 0 else 'good'}.org/{k}" for k in range(300)] + ["odd", "http://Single/x"]
+    blocked = [int(k % 3 == 0) for k in range(300)] + [0, 0]
+    counts = suffix_counts(urls, blocked)
+    p = url_filter.train(urls, blocked, counts)(urls, counts)
+    assert ((p >= 0.5) == np.array(blocked)).mean() > 0.99
+    known = spark.createDataFrame(list(zip(urls, blocked, strict=True)), "url string, blocked int")
+    got = {r["url"]: tuple(r["counts"]) for r in url_filter.with_counts(known, url_filter.counted(known)).collect()}
+    assert got == dict(zip(urls, counts, strict=True))
+    judged = url_filter.filter_urls(known, [], known.unionAll(spark.createDataFrame([(None, 1), ("x", None)], known.schema)))
+    assert {r["url"]: r["verdict"] for r in judged.collect()} == {u: "block" if x >= 0.5 else "allow" for u, x in zip(urls, p, strict=True)}
+
+
+def test_first_tree_takes_the_best_cut_of_all():
+    """The first split against all cuts of all features, the leaves against sums of gradients."""
+    rng = np.random.default_rng(5)
+    urls = [f"http://{'x' * int(n)}.org/{'y' * int(m)}?{'a=1&' * int(k)}" for n, m, k in rng.integers(0, 9, (200, 3))]
+    blocked = [int(u.count("x") > 4) ^ int(rng.random() < 0.1) for u in urls]
+    counts = suffix_counts(urls, blocked)
+    model = url_filter.train(urls, blocked, counts)
+    x = np.array([url_filter.features(u, c, model.prior, b) for u, c, b in zip(urls, counts, blocked, strict=True)])
+    binned, y = model.bins(x), np.array(blocked, float)
+    g, h = model.prior - y, np.full(len(y), model.prior * (1 - model.prior))
+
+    def gain(k, cut):
+        left = binned[:, k] <= cut
+        return sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1)
+
+    best = max(gain(k, c) for k in range(x.shape[1]) for c in range(url_filter.BINS))
+    feature, cut, leaf = model.trees[0]
+    assert abs(gain(feature[0], cut[0]) - best) < 1e-9
+    at = np.zeros(len(x), int)
+    for _ in range(url_filter.DEPTH):
+        at = 2 * at + 1 + (binned[np.arange(len(x)), feature[at]] > cut[at])
+    for n in set(at.tolist()):
+        assert abs(leaf[n - 7] + url_filter.RATE * g[at == n].sum() / (h[at == n].sum() + 1)) < 1e-9
+
+
+@pytest.mark.parametrize("n", [0, 300])
+def test_url_columns_of_any_name_pass_through(spark, n):
+    rows = spark.createDataFrame([(1, "http://a.com/", "r", "s", 5, "c", "u")], "page_id long, url string, _r string, ruled string, n1 int, counts string, `row` string")
+    rules = queries.RULES + [("block", f"z{k}.test", "/") for k in range(n)]
+    (got,) = url_filter.filter_urls(rows.union(rows).distinct(), rules).collect()
+    assert got.asDict() == {"page_id": 1, "url": "http://a.com/", "_r": "r", "ruled": "s", "n1": 5, "counts": "c", "row": "u", "host": "a.com", "path": "/", "rule": "com/", "verdict": "allow", "block_score": got["block_score"]}
+    assert url_filter.filter_urls(rows.limit(0), rules).count() == 0
 
 
 def test_pipeline(spark):
