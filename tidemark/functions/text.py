@@ -117,8 +117,8 @@ def word_count(text: Column) -> Column:
 
 
 def strip_markdown_links(c: Column) -> Column:
-    """E19."""
-    return F.regexp_replace(c, r"\[([^\]]+)\]\([^)]+\)", "$1")
+    """Links as their text, blanks collapsed and trimmed."""
+    return collapse(F.regexp_replace(c, r"\[([^\]]+)\]\([^)]+\)", "$1"))
 
 
 def microdata_types(html: Column) -> Column:

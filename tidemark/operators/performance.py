@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import category_score, diagnostic_status, metric_bucket, score_bucket
 from tidemark.functions.text import strip_markdown_links
 
-AUDIT = "struct<title:string,description:string,score:double,scoreDisplayMode:string,numericValue:double,displayValue:string,details:struct<overallSavingsMs:double,overallSavingsBytes:double,items:array<struct<url:string,totalBytes:double,wastedBytes:double,wastedMs:double>>>>"
+AUDIT = "struct<title:string,description:string,score:double,scoreDisplayMode:string,numericValue:double,displayValue:string,details:struct<overallSavingsMs:double,overallSavingsBytes:double,items:array<struct<url:string,source:string,node:struct<snippet:string,selector:string>,totalBytes:double,wastedBytes:double,wastedMs:double>>>>"
 LAB = f"struct<lighthouseResult:struct<categories:map<string,struct<score:double>>,audits:map<string,{AUDIT}>>>"
 FIELD = "struct<record:struct<metrics:map<string,struct<percentiles:struct<p75:string>>>>>"
 #: Lab audits and field measurements of the metrics.
@@ -46,7 +46,10 @@ FIXES = {
     "uses-optimized-images": "Compress images, use AVIF/WebP, resize to rendered dimensions and avoid oversized originals.",
     "uses-responsive-images": "Use srcset and sizes so each device downloads an appropriately sized image.",
 }
+#: Fixed value: the general advice.
 ADVICE = "Review the affected resources and reduce the work required before the page becomes stable and interactive."
+#: Fixed value: items that are read of a diagnostic.
+ITEMS = 30
 
 
 def lab(documents: DataFrame) -> DataFrame:
@@ -104,7 +107,7 @@ def diagnostics(parsed: DataFrame, audits: list[str] | None = None) -> DataFrame
     rows = parsed.select("url", "strategy", F.inline(listed))
     rows = rows.where("a is not null and (a.score is null or a.score <> 1) and coalesce(a.scoreDisplayMode, '') <> 'notApplicable'")
     out = rows.select(
-        "url", "strategy", "ord", "id", diagnostic_status(F.col("a.score")).alias("status"), "a.title", strip_markdown_links(F.col("a.description")).alias("description"), F.col("a.displayValue").alias("display_value"),
+        "url", "strategy", "ord", "id", diagnostic_status(F.col("a.score")).alias("status"), F.coalesce(F.nullif("a.title", F.lit("")), "id").alias("title"), strip_markdown_links(F.col("a.description")).alias("description"), F.col("a.displayValue").alias("display_value"),
         F.coalesce("a.details.overallSavingsMs", F.lit(0.0)).alias("savings_ms"), F.coalesce("a.details.overallSavingsBytes", F.lit(0.0)).alias("savings_bytes"), fix_for(F.col("id")).alias("fix"), F.col("a.details.items").alias("items"),
     )
     return ranked(out)
@@ -126,8 +129,14 @@ def primary_cause(found: DataFrame, causes: dict[str, list[str]] | None = None,
     return hit.groupBy("url", "strategy", "metric").agg(F.min_by("id", "rank" if by_rank else "preference").alias("cause"))
 
 
-def resources(found: DataFrame, n: int = 100) -> DataFrame:
-    """Items with a URL, of all diagnostics; at most n for each document, in order."""
-    rows = found.select("url", "strategy", "rank", "id", F.posexplode("items").alias("pos", "i")).where("i.url is not null")
+def item_url(item: Column) -> Column:
+    """What an item is about: its URL, else its source's URL, else the snippet of its node; '' if it names none."""
+    chain = (item["url"], F.get_json_object(item["source"], "$.url"), item["node"]["snippet"])
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in chain], F.lit(""))
+
+
+def resources(found: DataFrame, n: int = 100, each: int = ITEMS) -> DataFrame:
+    """The first items of all diagnostics, those that name something; at most n for each document, in order."""
+    rows = found.select("url", "strategy", "rank", "id", F.posexplode(F.slice("items", 1, each)).alias("pos", "i")).withColumn("resource", item_url(F.col("i"))).where("resource <> ''")
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("url", "strategy").orderBy("rank", "pos"))).where(F.col("_n") <= n)
-    return first.select("url", "strategy", "id", F.col("i.url").alias("resource"), F.coalesce("i.totalBytes", "i.wastedBytes").alias("bytes"))
+    return first.select("url", "strategy", "id", "resource", F.coalesce("i.totalBytes", F.lit(0.0)).alias("bytes"))

@@ -188,10 +188,15 @@ def with_impressions(urls: DataFrame, performance: DataFrame, key: str = "url")
 
 
 def inspected(urls: DataFrame, inspections: DataFrame, order: list[Column], n: int = 25, key: str = "url") -> DataFrame:
-    """The first n URLs with their inspection; where there is none, or it failed, a message tells so."""
-    first = urls.orderBy(*order).limit(n)
-    out = first.join(F.broadcast(inspections.join(first, key, "left_semi")), key, "left")
-    return out.withColumn("available", F.col("verdict").isNotNull()).withColumn("message", F.when(F.col("verdict").isNull(), F.coalesce("message", F.lit("not inspected"))))
+    """All URLs of a page, the first n with their inspection; where there is none, or it failed, a message tells so.
+    The others are not asked for: their `available` and message are null."""
+    first = urls.orderBy(*order).limit(n).select(F.col(key).alias("_asked"))
+    asked = urls.join(F.broadcast(first), F.col(key) == F.col("_asked"), "left")
+    seen = inspections.join(F.broadcast(first), F.col(key) == F.col("_asked"), "left_semi")
+    out = asked.join(F.broadcast(seen), key, "left")
+    there = F.col("_asked").isNotNull()
+    message = F.when(there & F.col("verdict").isNull(), F.coalesce("message", F.lit("not inspected"))).when(there, F.col("message"))
+    return out.withColumn("available", F.when(there, F.col("verdict").isNotNull())).withColumn("message", message).drop("_asked")
 
 
 def top_distribution(rows: DataFrame, value: str, order: list[Column], n: int = 6) -> DataFrame:

@@ -251,7 +251,7 @@ _TEXTS = Rows("texts", "id int, said string", [(0, None), (1, ""), (2, "a [link]
 _PLAIN = r"trim(regexp_replace(regexp_replace(coalesce(said, ''), '<[^>]*>', ' ', 'g'), '[\s\x{A0}]+', ' ', 'g'))"
 
 
-@query(f"""WITH {_TEXTS.sql} SELECT id, {_PLAIN} AS plain, regexp_replace(said, '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g') AS unlinked,
+@query(f"""WITH {_TEXTS.sql} SELECT id, {_PLAIN} AS plain, trim(regexp_replace(regexp_replace(said, '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[\\s\\x{{A0}}]+', ' ', 'g')) AS unlinked,
 replace(replace(replace(replace(replace(said, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped, CASE WHEN length(said) > 20 THEN left(said, 19) || '…' ELSE said END AS short, CASE id WHEN 2 THEN 'a [link](http://x.y/z) A/ < <b>bold</b> ''q'' "d" & more' WHEN 3 THEN '  many   blanks   and 😀 signs ' ELSE said END AS decoded FROM texts""")
 def e_text_helpers(spark, sf_dir):
     c = F.col("said")

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import numbers as N
 from tidemark.operators import audit, normalise, performance, periods, structured
 from tidemark.plans.authored import _JSON, _TYPED, QUERIES, SQL, Rows
+from tidemark.plans import derived
 from tidemark.plans.catalogue import query, table
 
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["QUERIES", "SQL", "derived"]
 
 # Periods
 
@@ -65,7 +66,8 @@ def a_mean_performance(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", audit.mean_performance(F.when(F.col("event_type") != "click", F.col("value")), F.col("event_id") % 100).alias("mean"))
 
 
-@query("SELECT u.c_custkey AS url, CASE WHEN c_custkey % 2 = 0 THEN 'PASS' END AS verdict, c_custkey % 2 = 0 AS available, CASE WHEN c_custkey % 2 <> 0 THEN 'not inspected' END AS message FROM (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25) u")
+@query("""SELECT c_custkey AS url, CASE WHEN asked AND c_custkey % 2 = 0 THEN 'PASS' END AS verdict, CASE WHEN asked THEN c_custkey % 2 = 0 END AS available, CASE WHEN asked AND c_custkey % 2 <> 0 THEN 'not inspected' END AS message
+FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) <= 25 AS asked FROM customer)""")
 def j_inspected(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("url"), "c_acctbal")
     seen = c.where("url % 2 = 0").select("url", F.lit("PASS").alias("verdict"), F.lit(None).cast("string").alias("message"))
@@ -169,7 +171,7 @@ y AS (SELECT url, ord, id, a, TRY_CAST(a->>'$.score' AS DOUBLE) AS score, coales
 d AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ms + bytes / 1000 DESC, ord)::INTEGER AS rank FROM y WHERE (score IS NULL OR score <> 1) AND a->>'$.scoreDisplayMode' <> 'notApplicable')"""
 
 
-@query(f"WITH {_LAB.sql}, {_DIAGNOSED} SELECT url, id, rank, CASE WHEN score < 0.5 THEN 'poor' ELSE 'needs-improvement' END AS status, regexp_replace(a->>'$.description', '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g') AS description, greatest(ms, bytes / 1000, 1) AS impact, greatest(8, least(100, greatest(ms, bytes / 1000, 1) / max(greatest(ms, bytes / 1000, 1)) OVER (PARTITION BY url) * 100)) AS width FROM d")
+@query(f"WITH {_LAB.sql}, {_DIAGNOSED} SELECT url, id, rank, CASE WHEN score < 0.5 THEN 'poor' ELSE 'needs-improvement' END AS status, trim(regexp_replace(regexp_replace(a->>'$.description', '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '\\s+', ' ', 'g')) AS description, greatest(ms, bytes / 1000, 1) AS impact, greatest(8, least(100, greatest(ms, bytes / 1000, 1) / max(greatest(ms, bytes / 1000, 1)) OVER (PARTITION BY url) * 100)) AS width FROM d")
 def p_diagnostics(spark, sf_dir):
     rows = performance.diagnostics(performance.lab(_LAB(spark))).withColumn("impact", performance.impact(F.col("savings_ms"), F.col("savings_bytes")))
     return performance.impact_width(rows, "impact").select("url", "id", "rank", "status", "description", "impact", "width")
@@ -180,7 +182,7 @@ def k_fixes(spark, sf_dir):
     return performance.diagnostics(performance.lab(_LAB(spark))).select("id", F.substring("fix", 1, 21).alias("fix"))
 
 
-@query(f"WITH {_LAB.sql}, {_DIAGNOSED}, i AS (SELECT url, id, unnest(json_extract(a, '$.details.items[*]')) AS i FROM d) SELECT url, id, i->>'$.url' AS resource, coalesce(TRY_CAST(i->>'$.totalBytes' AS DOUBLE), TRY_CAST(i->>'$.wastedBytes' AS DOUBLE)) AS bytes FROM i WHERE i->>'$.url' IS NOT NULL")
+@query(f"WITH {_LAB.sql}, {_DIAGNOSED}, i AS (SELECT url, id, unnest(json_extract(a, '$.details.items[*]')) AS i FROM d) SELECT url, id, coalesce(nullif(i->>'$.url', ''), nullif(i->>'$.source.url', ''), nullif(i->>'$.node.snippet', ''), '') AS resource, coalesce(TRY_CAST(i->>'$.totalBytes' AS DOUBLE), 0) AS bytes FROM i WHERE resource <> ''")
 def n_resources(spark, sf_dir):
     return performance.resources(performance.diagnostics(performance.lab(_LAB(spark)))).drop("strategy")
 
