@@ -20,7 +20,7 @@ from tidemark.llm.common import table
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
 TERM = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-ODD = ["", None, "a", "no newline at the end", "\n", "\n\n\n", "a\nb\r\n\n c", "x <P> y", "<M>", "<S", "P>\n<", "é—😀\nÀÉ\n日本語\n", "a\x1cb\x1d c  　d", "<|endoftext|> is text", "x" * 30_000, ("line " * 30 + "\n") * 400]
+ODD = ["", None, "a", "\x01 a\x01b \x01", "no newline at the end", "\n", "\n\n\n", "a\nb\r\n\n c", "x <P> y", "<M>", "<S", "P>\n<", "é—😀\nÀÉ\n日本語\n", "a\x1cb\x1d c  　d", "<|endoftext|> is text", "x" * 30_000, ("line " * 30 + "\n") * 400]
 
 
 # --- search ------------------------------------------------------------------------------------------------------------------
