@@ -81,7 +81,7 @@ def phrases(postings: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFra
     rarest = wanted.select("wid", "x", F.col("x")[0]["off"].alias("off"), F.col("x")[0]["tid"].alias("tid"))
     begin = postings.join(rarest, "tid").select("_d", "_t", (F.col("pos") - F.col("off")).alias("s"), "wid", "x").where("s > 0")
     whole = begin.where(F.size("x") == 1).select("_d", "_t", "s", "wid")
-    second = begin.where(F.size("x") > 1).select("_d", "_t", "s", "wid", (F.col("s") + F.col("x")[1]["off"]).alias("pos"), F.col("x")[1]["tid"].alias("tid"), F.slice("x", 3, WINDOW * 100).alias("rest"))
+    second = begin.where(F.size("x") > 1).select("_d", "_t", "s", "wid", (F.col("s") + F.col("x")[1]["off"]).alias("pos"), F.col("x")[1]["tid"].alias("tid"), F.slice("x", F.lit(3), F.size("x")).alias("rest"))
     second_terms = wanted.where(F.size("x") > 1).select(F.col("x")[1]["tid"].alias("tid")).distinct()
     lists = postings.join(second_terms, "tid", "left_semi").select("_d", "_t", "pos", "tid")
     left = scratch.keep(second.join(lists, _same_place(second, lists)).select(second["_d"], second["_t"], "s", "wid", "rest"), "begun")
