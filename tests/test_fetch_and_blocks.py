@@ -63,11 +63,47 @@ def test_page_source(spark, site):
     assert sorted((r["title"], r["status"], r["ok"]) for r in facts) == [("", 404, False), ("Found", 200, True), ("Found", 200, True)]
 
 
-def test_types_in_order_of_the_text():
-    _, value = blocks.parse('{"b":{"@type":"B"},"@type":["A",1.0,true,null,{"x":1}],"2":{"@type":"Two"},"a":[{"@type":""},{"@type":"C"}]}')
-    assert [t for _, x in blocks.objects(value) for t in blocks.types_of(x)] == ["A", "1", "true", "null", "[object Object]", "Two", "B", "C"]
-    assert blocks.parse("NaN") == (False, None) and blocks.parse("[" * 100_000)[0] is False
-    assert list(blocks.objects(json.loads("[" * 500 + "]" * 500))) == []
+def objects(value, at=()):
+    """Typed objects by plain recursion, whole-number keys first."""
+    if isinstance(value, dict) and "@type" in value and (value["@type"] or value["@type"] == []):
+        kind = value["@type"]
+        for t in kind if isinstance(kind, list) else [kind]:
+            yield list(at), t if isinstance(t, str) else "[object Object]" if isinstance(t, dict) else json.dumps(int(t) if isinstance(t, float) else t)
+    within = list(value.items()) if isinstance(value, dict) else list(enumerate(value)) if isinstance(value, list) else []
+    within.sort(key=lambda x: (0, int(x[0])) if str(x[0]).isdecimal() else (1, 0))
+    for k, (_, x) in enumerate(within):
+        yield from objects(x, (*at, k))
+
+
+BLOCKS = [
+    '{"b":{"@type":"B"},"@type":["A",1.0,true,null,{"x":1}],"2":{"@type":"Two"},"a":[{"@type":""},{"@type":"C"}]}',
+    '[{"@type":"X","t":"{\\"@type\\":\\"text\\"}","u":"[]"},[[{"10":{"@type":"Ten"},"9":{"@type":"Nine"}}]]]',
+    ' {"@type" : 5, "x" : {"@type":0}, "y":{"@type":false}, "z":{"@type":[]}, "ä":{"@type":"Ü\\u00e9"}} ',
+    '{"a":{"@type":"first"},"b":{"@type":"B"},"a":{"@type":"last"}}',
+    '"{\\"@type\\":\\"text\\"}"', "5", "null", "[]", "{}", "[" * 400 + '{"@type":"Deep"}' + "]" * 400,
+    json.dumps([{"@type": f"T{k}", "in": {"@type": ["U", f"V{k}"]}} for k in range(300)]),
+]
+BROKEN = ['{"@type":"A"} junk', '{"@type":"A"},{"@type":"B"}', "{'@type':'A'}", '{"@type":NaN}', '{"@type":"A"', "", "[" * 100_000, '1,"b":2', '{"@type":"A",}', None]
+
+
+def test_types_in_order_of_the_text(spark):
+    rows = spark.createDataFrame([("p", k, raw) for k, raw in enumerate(BLOCKS + BROKEN)], "page_url string, block int, raw string")
+    got = {}
+    for r in blocks.walk_types(rows).orderBy("block", "path").collect():
+        got.setdefault(r["block"], []).append((r["path"], r["type"]))
+    assert got == {k: want for k, raw in enumerate(BLOCKS) if (want := list(objects(json.loads(raw))))}
+    one = spark.createDataFrame([(BLOCKS + BROKEN,), ([],), (None,)], "raws array<string>").select(blocks.read("raws").alias("x")).select("x.*").collect()
+    assert one[0]["valid"] == [True] * len(BLOCKS) + [False] * len(BROKEN)
+    assert one[0]["types"] == list(dict.fromkeys(t for raw in BLOCKS for _, t in objects(json.loads(raw))))
+    assert [tuple(x) for x in one[1:]] == [([], [], "")] * 2
+
+
+def test_name_of_the_site_and_no_python(spark):
+    raws = ['{"@type":"Person","name":"P"}', '{"@graph":[{"@type":["LocalBusiness","X"],"name":"L"},{"@type":"WebSite","name":"W"}]}']
+    html = "".join(f'<script type="application/ld+json">{raw}</script>' for raw in raws)
+    facts = pages.page_facts(spark.createDataFrame([("http://a.com/", html)], "url string, html string"))
+    assert facts.first()["site_name"] == "L"
+    assert "Python" not in facts._jdf.queryExecution().toString() and "ArrowEval" not in facts._jdf.queryExecution().toString()
 
 
 def test_page_without_html_has_no_types(spark):

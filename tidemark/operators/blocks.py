@@ -1,95 +1,120 @@
-"""JSON-LD blocks (N01-N03, E14), read by a recursive walk that no column expression can do: objects of any depth, keys in the
-order of the text.  Arrow batches carry nothing but the blocks, and only where their columns are asked for."""
+"""JSON-LD blocks (N01-N03, E14) as column expressions: a walk by levels, of any depth that the JSON reader takes (1,000 levels).
+
+A level holds the texts of objects and lists.  Each is read twice, as texts by key (in the order of the text, which a variant
+loses) and as variants, which tell a text that looks like an object from an object.  The next level is what is within.  There
+are as many levels as brackets are open at once outside of texts; nothing is shuffled, and a page's blocks are never apart
+from its row."""
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Types whose name is the site's.
 NAMED = ["Organization", "LocalBusiness", "WebSite"]
-_READ = T.StructType([T.StructField("valid", T.ArrayType(T.BooleanType())), T.StructField("types", T.ArrayType(T.StringType())), T.StructField("name", T.StringType())])
-_WALKED = T.ArrayType(T.StructType([T.StructField("path", T.ArrayType(T.IntegerType())), T.StructField("type", T.StringType()), T.StructField("body", T.StringType())]))
-_INTEGER = re.compile(r"0|[1-9]\d{0,9}")
+#: Levels that the JSON reader takes; what is deeper does not parse.
+DEEPEST = 1000
+_STRICT = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
+_NODE = "array<struct<path: array<int>, text: string>>"
+_FOUND = "array<struct<path: array<int>, text: string, types: array<string>, name: string>>"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """body with value computed once: a lambda's variable is not computed again where it is read."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _json(text: str, kind: str) -> str:
+    return f"from_json({text}, '{kind}', {_STRICT})"
+
+
+def _kind(x: str) -> str:
+    """The first sign of a value (text, v) as JSON, which tells what it is; where keys repeat there is no variant, and the
+    text itself tells."""
+    return f"""if({x}.v IS NULL, CASE WHEN {x}.text IS NULL THEN 'n' WHEN left({x}.text, 1) IN ('{{', '[') THEN left({x}.text, 1) ELSE '"' END, left(to_json({x}.v), 1))"""
 
 
-def _refuse(said: str):
-    raise ValueError(said)
+def _said(x: str) -> str:
+    """A value (text, v) as a web script shows it as text."""
+    number = f"CASE WHEN abs(try_cast({x}.text AS DOUBLE)) < 1e21 AND try_cast({x}.text AS DOUBLE) = floor(try_cast({x}.text AS DOUBLE)) THEN cast(cast({x}.text AS DECIMAL(38, 0)) AS STRING) ELSE {x}.text END"
+    listed = f"array_join({_json(f'{x}.text', 'array<string>')}, ',', '')"
+    return _let("s", _kind(x), f"""CASE s WHEN 'n' THEN 'null' WHEN '{{' THEN '[object Object]' WHEN '[' THEN {listed} WHEN '"' THEN {x}.text WHEN 't' THEN 'true' WHEN 'f' THEN 'false' ELSE {number} END""")
 
 
-def parse(raw: str) -> tuple[bool, object]:
-    """Whether a text is JSON, and what it says."""
-    try:
-        return True, json.loads(raw, parse_constant=_refuse)
-    except (ValueError, RecursionError):
-        return False, None
+def _counts(x: str) -> str:
+    """Whether a script takes the value as true."""
+    return _let("s", _kind(x), f"""{x} IS NOT NULL AND coalesce(CASE s WHEN 'n' THEN false WHEN 'f' THEN false WHEN '"' THEN {x}.text <> '' WHEN 't' THEN true WHEN '{{' THEN true WHEN '[' THEN true ELSE try_cast({x}.text AS DOUBLE) <> 0 END, false)""")
 
 
-def said(value: object) -> str:
-    """A value as a web script shows it as text."""
-    if isinstance(value, bool) or value is None:
-        return {True: "true", False: "false", None: "null"}[value]
-    if isinstance(value, float):
-        return str(int(value)) if value.is_integer() and abs(value) < 1e21 else repr(value)
-    if isinstance(value, list):
-        return ",".join("" if x is None else said(x) for x in value)
-    return "[object Object]" if isinstance(value, dict) else str(value)
+def _opens(x: str) -> str:
+    """Whether the value is an object or a list: only a text that looks like one asks for its kind."""
+    return f"(left({x}.text, 1) IN ('{{', '[') AND {_kind(x)} <> '\"')"
 
 
-def _values(value: dict | list) -> list[tuple[str, object]]:
-    """What is within, in order; keys that are whole numbers come first in an object."""
-    if isinstance(value, list):
-        return [(str(k), x) for k, x in enumerate(value)]
-    numbers = sorted((k for k in value if _INTEGER.fullmatch(k)), key=int)
-    return [(k, value[k]) for k in [*numbers, *(k for k in value if not _INTEGER.fullmatch(k))]]
+def _entry(key: str, text: str, variant: str) -> str:
+    """What is within an object or a list."""
+    return f"named_struct('key', {key}, 'text', {text}, 'v', {variant})"
 
 
-def objects(value: object) -> Iterator[tuple[tuple[int, ...], dict]]:
-    """Objects with a type, a parent before what is in it, each with its place.  A stack stands for the recursion."""
-    ahead: list[tuple[tuple[int, ...], object]] = [((), value)]
-    while ahead:
-        at, x = ahead.pop()
-        if isinstance(x, dict) and x.get("@type"):
-            yield at, x
-        if isinstance(x, dict | list):
-            ahead.extend(reversed([((*at, k), v) for k, (_, v) in enumerate(_values(x))]))
+def _elements(text: str) -> str:
+    """The values of a list."""
+    read = f"named_struct('a', {_json(text, 'array<string>')}, 'b', {_json(text, 'array<variant>')})"
+    return _let("l", read, f"coalesce(transform(l.a, (t, i) -> {_entry('cast(null AS STRING)', 't', 'get(l.b, i)')}), array())")
 
 
-def types_of(thing: dict) -> list[str]:
-    kind = thing["@type"]
-    return [said(x) for x in kind] if isinstance(kind, list) else [said(kind)]
+def _members(text: str) -> str:
+    """The values of an object: of a key that repeats the last one, at the place of the first; whole numbers come before all
+    other keys."""
+    read = f"named_struct('m', {_json(text, 'map<string,string>')}, 'v', {_json(text, 'map<string,variant>')})"
+    plain = _let("o", read, f"coalesce(transform(map_keys(o.m), (k, i) -> {_entry('k', 'get(map_values(o.m), i)', 'get(map_values(o.v), i)')}), array())")
+    keys = "transform(e, x -> x.key)"
+    once = _let("e", plain, f"if(size(array_distinct({keys})) = size(e), e, transform(array_distinct({keys}), k -> element_at(filter(e, x -> x.key = k), -1)))")
+    number = "x.key RLIKE '^(0|[1-9][0-9]{0,9})$'"
+    places = f"filter(transform(d, (x, i) -> if({number}, named_struct('n', cast(x.key AS BIGINT), 'i', i), null)), y -> y IS NOT NULL)"
+    first = f"transform(array_sort({places}), y -> get(d, y.i))"
+    return _let("d", once, f"if(exists(d, x -> {number}), concat({first}, filter(d, x -> NOT ({number}))), d)")
 
 
-@F.pandas_udf(_READ)
-def read(blocks: pd.Series) -> pd.DataFrame:
-    """For the blocks of a page: which are valid, the distinct types in order of first sight, and the site's name."""
-    out = []
-    for raws in blocks:
-        valid, kinds, name = [], {}, None
-        for ok, value in map(parse, [] if raws is None else raws):
-            valid.append(ok)
-            for _, thing in objects(value) if ok else ():
-                kinds.update(dict.fromkeys(types_of(thing)))
-                kind = thing["@type"]
-                if name is None and (kind[0] if isinstance(kind, list) else kind) in NAMED:
-                    name = said(thing["name"]) if thing.get("name") else ""
-        out.append((valid, list(kinds), name or ""))
-    return pd.DataFrame(out, columns=["valid", "types", "name"])
+@lru_cache(maxsize=2)
+def _walk() -> tuple[str, str]:
+    """SQL over a text `raw`: whether it is JSON, and its typed objects.
 
+    Spark reads a value and leaves what follows it, so the block is put between two keys, the second of which no block can
+    hold; both, and only they, must be there."""
+    whole = """concat('{"v":', raw, ',"', md5(raw), '":0}')"""
+    outer = f"named_struct('m', {_json(whole, 'map<string,string>')}, 'v', {_json(whole, 'map<string,variant>')})"
+    valid = f"coalesce(map_keys({_json(whole, 'map<string,string>')}) = array('v', md5(raw)), false)"
+    # the first level: the block itself, if it is an object or a list
+    root = _let("r", outer, f"if(map_keys(r.m) = array('v', md5(raw)), {_entry(chr(39) + 'v' + chr(39), 'map_values(r.m)[0]', 'get(map_values(r.v), 0)')}, null)")
+    level = f"cast(transform(filter(array({root}), x -> x IS NOT NULL AND {_opens('x')}), x -> named_struct('path', array(), 'text', x.text)) AS {_NODE})"
+    # a level: what is within each node
+    opened = f"transform(acc.level, n -> named_struct('path', n.path, 'text', n.text, 'e', if(left(n.text, 1) = '{{', {_members('n.text')}, {_elements('n.text')})))"
+    kinds = f"CASE WHEN NOT {_counts('t')} THEN array() WHEN {_kind('t')} = '[' THEN transform({_elements('t.text')}, y -> {_said('y')}) ELSE array({_said('t')}) END"
+    kind = _let("t", "get(filter(z.e, x -> x.key = '@type'), 0)", f"cast({kinds} AS array<string>)")
+    name = _let("t", "get(filter(z.e, x -> x.key = 'name'), 0)", f"if({_counts('t')}, {_said('t')}, '')")
+    typed = f"transform(filter(p, z -> exists(z.e, x -> x.key = '@type')), z -> named_struct('path', z.path, 'text', z.text, 'types', {kind}, 'name', {name}))"
+    inner = f"flatten(transform(p, z -> transform(filter(transform(z.e, (x, i) -> named_struct('i', i, 'text', x.text, 'v', x.v)), x -> {_opens('x')}), x -> named_struct('path', concat(z.path, array(x.i)), 'text', x.text))))"
+    step = _let("p", opened, f"named_struct('level', cast({inner} AS {_NODE}), 'found', concat(acc.found, cast(filter({typed}, x -> size(x.types) > 0) AS {_FOUND})))")
+    # the levels there are: the deepest place among the brackets outside of texts
+    brackets = r"""regexp_replace(regexp_replace(raw, r'(?s)"(?:[^"\\]++|\\.)*+"', ''), r'[^{}\[\]]', '')"""
+    deeper = "if(c IN ('{', '['), named_struct('d', a.d + 1, 'm', greatest(a.m, a.d + 1)), named_struct('d', a.d - 1, 'm', a.m))"
+    depth = f"coalesce(aggregate(filter(split({brackets}, ''), c -> c <> ''), named_struct('d', 0, 'm', 0), (a, c) -> {deeper}, a -> a.m), 0)"
+    rounds = _let("most", depth, f"if(most = 0, cast(array() AS array<int>), sequence(1, least({DEEPEST}, most)))")
+    start = f"named_struct('level', {level}, 'found', cast(array() AS {_FOUND}))"
+    return valid, f"aggregate({rounds}, {start}, (acc, round) -> if(size(acc.level) = 0, acc, {step}), acc -> array_sort(acc.found))"
 
-@F.pandas_udf(_WALKED)
-def _walked(raw: pd.Series) -> pd.Series:
-    def one(text: str | None) -> list[dict]:
-        ok, value = parse(text or "")
-        return [{"path": list(at), "type": t, "body": json.dumps(x, ensure_ascii=False)} for at, x in objects(value) for t in types_of(x)] if ok else []
 
-    return raw.map(one)
+def read(blocks: str) -> Column:
+    """For the blocks of a page (a column of texts): which are valid, the distinct types in order of first sight, and the
+    site's name."""
+    valid, found = _walk()
+    each = f"transform(coalesce({blocks}, array()), raw -> named_struct('valid', {valid}, 'found', {found}))"
+    names = ", ".join(f"'{x}'" for x in NAMED)
+    all_found = "flatten(transform(b, x -> x.found))"
+    named = f"coalesce(get(filter({all_found}, x -> x.types[0] IN ({names})), 0).name, '')"
+    return F.expr(_let("b", each, f"named_struct('valid', transform(b, x -> x.valid), 'types', array_distinct(flatten(transform({all_found}, x -> x.types))), 'name', {named})"))
 
 
 def walk_types(blocks: DataFrame) -> DataFrame:
@@ -97,5 +122,5 @@ def walk_types(blocks: DataFrame) -> DataFrame:
     @type and each of its types.  path is the place in the document: a parent comes before what is in it.  Blocks that do not
     parse give nothing."""
     block: Column = F.coalesce("block", F.lit(0)) if "block" in blocks.columns else F.lit(0)
-    rows = blocks.select("page_url", block.alias("block"), F.explode(_walked("raw")).alias("x"))
-    return rows.select("page_url", "block", "x.path", "x.type", "x.body")
+    rows = blocks.select("page_url", block.alias("block"), F.explode(F.expr(_walk()[1])).alias("x"))
+    return rows.select("page_url", "block", "x.path", F.explode("x.types").alias("type"), F.col("x.text").alias("body"))

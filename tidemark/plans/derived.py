@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import performance
-from tidemark.plans.catalogue import _NORM, _ROOT, query, table
+from tidemark.operators import blocks, pages, performance
+from tidemark.plans.catalogue import _NORM, _ROOT, query, table, web_pages
 from tidemark.sources import delimited, sinks
 from tidemark.sources.kept import shared_folder
 from tidemark.streaming import limiter
@@ -85,3 +85,42 @@ def f_limiter_one_client(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one client makes all requests."""
     rows = table(spark, sf_dir, "events").select(F.lit("one").alias("client"), F.expr(_ACTIONS).alias("action"), "ts")
     return limiter.limit(rows).select("action", F.col("ts").cast("string").alias("ts"), "allowed", "remaining")
+
+
+_LD = '<script type="application/ld+json">'
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS s FROM orders),
+i AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS n FROM lineitem),
+found AS (SELECT k, '' AS path, ['Order'] AS types FROM o UNION ALL SELECT k, (1 + s)::VARCHAR, ['Person'] FROM o UNION ALL SELECT k, '0', ['Note', '5'] FROM o WHERE s = 1
+  UNION ALL SELECT k, (2 + s) || '.' || n, CASE WHEN l_partkey % 2 = 0 THEN ['Product'] ELSE ['Product', 'Offer'] END FROM o JOIN i ON l_orderkey = k)
+SELECT k::VARCHAR AS order_key, path, type FROM (SELECT k, path, unnest(types) AS type FROM found)""")
+def n_walk_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that state an order with its customer and items; a key that is a whole number comes first, a text that
+    looks like an object is none, and a page's second block is broken."""
+    part = F.col("l_partkey").cast("string")
+    kinds = F.when(F.col("l_partkey") % 2 == 0, '"Product"').otherwise('["Product","Offer"]')
+    item = F.concat(F.lit('{"sku":'), part, F.lit(',"@type":'), kinds, F.lit(',"note":"{\\"@type\\":\\"none\\"}"}'))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", item.alias("t"))))["t"], ",").alias("items"))
+    orders = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    note = F.when(F.col("o_orderkey") % 3 == 0, ',"7":{"@type":["Note",5.0]}').otherwise("")
+    body = F.concat(F.lit('{ "@type" : "Order","customer":{"@type":"Person","id":'), F.col("o_custkey"), F.lit('},"items":['), F.coalesce("items", F.lit("")), F.lit("]"), note, F.lit("}"))
+    html = F.concat(F.lit(f"<html>{_LD}"), body, F.lit(f"</script>{_LD}"), body, F.lit(" also</script></html>"))
+    found = orders.select(F.col("o_orderkey").cast("string").alias("page_url"), F.posexplode(pages.raw_blocks(html)).alias("block", "raw"))
+    return blocks.walk_types(found).select(F.col("page_url").alias("order_key"), F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "type")
+
+
+@query("""SELECT url, CASE page_id % 4 WHEN 0 THEN ['Organization', 'Place'] WHEN 1 THEN ['Article', 'K' || (page_id % 10)] WHEN 2 THEN ['LocalBusiness'] ELSE [] END AS types,
+CASE page_id % 4 WHEN 3 THEN 0 ELSE 1 END AS valid, CASE page_id % 4 WHEN 3 THEN 1 ELSE 0 END AS invalid, CASE page_id % 4 WHEN 0 THEN 'Site ' || page_id WHEN 2 THEN 'Shop ' || page_id END AS site_name FROM pages""")
+def n_page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with a block that its number decides."""
+    k = F.col("page_id")
+    said = (
+        F.when(k % 4 == 0, F.concat(F.lit('{"@graph":[{"@type":"Organization","name":"Site '), k, F.lit('","location":{"@type":"Place"}}]}')))
+        .when(k % 4 == 1, F.concat(F.lit('{"@type":["Article","K'), k % 10, F.lit('"],"name":"none","author":{"@type":"Article"}}')))
+        .when(k % 4 == 2, F.concat(F.lit('[{"@type":"LocalBusiness","name":"Shop '), k, F.lit('"}]')))
+        .otherwise('{"@type":"Article"')
+    )
+    facts = pages.page_facts(web_pages(spark, sf_dir).withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.lit(_LD), said, F.lit("</script>"))))
+    valid = F.size(F.filter("blocks", lambda b: b["valid"]))
+    return facts.select(F.col("final_url").alias("url"), F.col("schema_types").alias("types"), valid.alias("valid"), (F.size("blocks") - valid).alias("invalid"), F.when(k % 2 == 0, F.col("site_name")).alias("site_name"))
