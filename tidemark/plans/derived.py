@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import blocks, pages, performance
+from tidemark.operators import blocks, ordinals, pages, performance
 from tidemark.plans.catalogue import _NORM, _ROOT, query, table, web_pages
 from tidemark.sources import delimited, sinks
 from tidemark.sources.kept import shared_folder
@@ -124,3 +124,22 @@ def n_page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = pages.page_facts(web_pages(spark, sf_dir).withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.lit(_LD), said, F.lit("</script>"))))
     valid = F.size(F.filter("blocks", lambda b: b["valid"]))
     return facts.select(F.col("final_url").alias("url"), F.col("schema_types").alias("types"), valid.alias("valid"), (F.size("blocks") - valid).alias("invalid"), F.when(k % 2 == 0, F.col("site_name")).alias("site_name"))
+
+
+_PLACE = ["l_shipdate", "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> ordinals.Numbered:
+    return ordinals.numbered(table(spark, sf_dir, "lineitem").select(*_PLACE), [F.desc("l_shipdate"), *_PLACE[1:]])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, row_number() OVER (ORDER BY l_shipdate DESC, l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_quantity) AS ordinal FROM lineitem")
+def w_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every line item, newest first."""
+    return _placed(spark, sf_dir).rows().select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "ordinal")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_shipdate DESC, l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_quantity) AS ordinal FROM lineitem ORDER BY ordinal LIMIT 100 OFFSET 1900")
+def l_ordinal_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twentieth page of a hundred; the page is the feature."""
+    return _placed(spark, sf_dir).page(20, 100).select("l_orderkey", "l_linenumber", "l_partkey", "ordinal")
