@@ -73,6 +73,11 @@ def summary(rows: DataFrame) -> DataFrame:
     """One row of counts, the follow ratio and the concentration, by two levels of aggregation."""
     is_live = live(F.col("live"), F.col("no_link_found"))
     domain = rows.withColumn("_live", is_live).groupBy("source_domain").agg(F.count("*").alias("n"), F.count_if("_live").alias("l"), F.count_if(F.col("_live") & F.col("follow")).alias("f"))
+    return summary_of_domains(domain)
+
+
+def summary_of_domains(domain: DataFrame) -> DataFrame:
+    """The summary from the counts of each source_domain: n links, l live ones, f live ones to follow."""
     one = domain.agg(F.sum("n").alias("candidates"), F.sum("l").alias("live"), F.count_if(F.col("l") > 0).alias("domains"), F.sum("f").alias("follow"), F.max("l").alias("largest"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     n_live = zero("live")

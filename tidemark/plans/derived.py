@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import urls as U
 from tidemark.operators import blocks, ordinals, pages, performance
-from tidemark.plans.catalogue import _NORM, _ROOT, query, table, web_pages
+from tidemark.operators.link_state import LinkState
+from tidemark.plans.catalogue import _HOST, _NORM, _ROOT, query, table, web_pages
 from tidemark.sources import delimited, sinks
 from tidemark.sources.kept import shared_folder
 from tidemark.streaming import limiter
@@ -143,3 +145,21 @@ def w_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l_ordinal_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twentieth page of a hundred; the page is the feature."""
     return _placed(spark, sf_dir).page(20, 100).select("l_orderkey", "l_linenumber", "l_partkey", "ordinal")
+
+
+_SUMMED = f"""l AS (SELECT {_HOST} AS d, page_id % 5 = 0 OR page_id % 3 <> 0 AS live, page_id % 5 = 0 OR page_id % 4 <> 0 AS follow FROM pages),
+g AS (SELECT d, count(*) AS n, count_if(live) AS l, count_if(live AND follow) AS f FROM l GROUP BY d)"""
+
+
+@query(f"""WITH {_SUMMED}, s AS (SELECT sum(n)::BIGINT AS candidates, sum(l)::BIGINT AS live, count_if(l > 0)::BIGINT AS domains, sum(f)::BIGINT AS follow, max(l)::BIGINT AS largest FROM g)
+SELECT candidates, live, domains, follow, live - follow AS nofollow, candidates - live AS unverified, round(follow / live, 6) AS follow_ratio, round(largest / live, 6) AS concentration FROM s""")
+def u_merged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links in three batches, one of which comes twice; every fifth is seen again in the next batch, then live."""
+    k = F.col("page_id")
+    link = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("#"), k).alias("source_url"), U.host(F.col("url")).alias("source_domain"), F.lit("https://t.com/").alias("target_url"), F.lit("a").alias("anchor"), F.lit(False).alias("no_link_found"), F.lit(200).alias("http_status"))
+    first = link.withColumns({"live": k % 3 != 0, "follow": k % 4 != 0, "rel": F.when(k % 4 != 0, "").otherwise("nofollow"), "part": k % 3})
+    again = link.where(k % 5 == 0).withColumns({"live": F.lit(True), "follow": F.lit(True), "rel": F.lit(""), "part": (k + 1) % 3})
+    rows, state = first.unionByName(again), LinkState(spark, f"{shared_folder(spark)}/links-{uuid.uuid4().hex}")
+    for batch in (0, 1, 1, 2):
+        state.merge(rows.where(F.col("part") == batch), batch)
+    return state.summary().withColumns({c: F.round(c, 6) for c in ("follow_ratio", "concentration")})
