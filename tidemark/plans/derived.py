@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls as U
-from tidemark.operators import blocks, ordinals, pages, performance
+from tidemark.operators import addresses, blocks, ordinals, pages, performance
 from tidemark.operators.link_state import LinkState
 from tidemark.plans.catalogue import _HOST, _NORM, _ROOT, query, table, web_pages
 from tidemark.sources import delimited, sinks
@@ -163,3 +163,22 @@ def u_merged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch in (0, 1, 1, 2):
         state.merge(rows.where(F.col("part") == batch), batch)
     return state.summary().withColumns({c: F.round(c, 6) for c in ("follow_ratio", "concentration")})
+
+
+# an address of each line item as a number, and where the private ranges begin and end
+_NUMBER = "CASE WHEN l_partkey % 3 = 0 THEN 10 WHEN l_partkey % 3 = 1 THEN 172 ELSE l_suppkey % 256 END * 16777216::BIGINT + (l_partkey % 256) * 65536 + (l_orderkey % 256) * 256 + l_linenumber"
+_FOURS = "(VALUES ('0.0.0.0/8', 0, 8), ('10.0.0.0/8', 10, 8), ('100.64.0.0/10', 25664, 10), ('127.0.0.0/8', 127, 8), ('169.254.0.0/16', 43518, 16), ('172.16.0.0/12', 44048, 12), ('192.0.0.0/24', 12582912, 24), ('192.168.0.0/16', 49320, 16), ('198.18.0.0/15', 50706, 15), ('224.0.0.0/3', 224, 3)) r(range, base, n)"
+
+
+@query(f"""WITH a AS (SELECT {_NUMBER} AS x FROM lineitem), d AS (SELECT x, count(*) AS c FROM a GROUP BY x),
+r AS (SELECT range, CASE n WHEN 24 THEN base * 256::BIGINT WHEN 8 THEN base * 16777216::BIGINT WHEN 3 THEN base * 16777216::BIGINT ELSE base * 65536::BIGINT END AS first, (1::BIGINT << (32 - n)) AS size FROM {_FOURS}),
+f AS (SELECT x, c, (SELECT range FROM r WHERE x >= first AND x < first + size) AS range FROM d)
+SELECT x AS number, range, c::BIGINT AS items FROM f""")
+def p_address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses made of line items, one in two as IPv6 writes it, in the ranges that must not be fetched."""
+    x = F.expr(_NUMBER)
+    byte = lambda k: F.shiftright(x, k).bitwiseAND(F.lit(255)).cast("string")
+    four = F.concat_ws(".", *[byte(k) for k in (24, 16, 8, 0)])
+    six = F.concat(F.lit("::FFFF:"), F.hex(F.shiftright(x, 16)), F.lit(":"), F.hex(x.bitwiseAND(F.lit(65535))))
+    rows = table(spark, sf_dir, "lineitem").select(x.alias("number"), F.when(F.col("l_linenumber") % 2 == 0, four).otherwise(six).alias("address"))
+    return addresses.held_by(rows, "address", addresses.private_ranges(spark)).groupBy("number", "range").agg(F.count("*").alias("items"))
