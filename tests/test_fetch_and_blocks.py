@@ -2,6 +2,7 @@
 
 import json
 import threading
+import time
 from datetime import datetime, timedelta
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -63,6 +64,24 @@ def test_page_source(spark, site):
     assert sorted((r["title"], r["status"], r["ok"]) for r in facts) == [("", 404, False), ("Found", 200, True), ("Found", 200, True)]
 
 
+def test_five_requests_at_once_in_the_order_of_the_urls(monkeypatch):
+    lock, now, most = threading.Lock(), [0], [0]
+
+    def slow(url, *_):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.02 * (3 - int(url) % 3))
+        with lock:
+            now[0] -= 1
+        return url, url, 200, "", "", "", 1, None
+
+    monkeypatch.setattr(fetch, "get", slow)
+    got = [b.column(0)[0].as_py() for b in fetch._rows(iter(map(str, range(23))), lambda _: True, 1, 1)]
+    assert got == [str(k) for k in range(23)] and most[0] == fetch.AT_ONCE
+    assert list(fetch._rows(iter([]), lambda _: True, 1, 1)) == []
+
+
 def objects(value, at=()):
     """Typed objects by plain recursion, whole-number keys first."""
     if isinstance(value, dict) and "@type" in value and (value["@type"] or value["@type"] == []):

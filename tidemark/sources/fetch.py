@@ -12,15 +12,18 @@ import socket
 import time
 import urllib.error
 import urllib.request
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Bytes that are read of a body, seconds of a request, and redirects that are followed.
-MAX_BYTES, TIMEOUT, REDIRECTS = 2_500_000, 10, 5
+#: Bytes that are read of a body, seconds of a request, redirects that are followed, and requests at once in a task.
+MAX_BYTES, TIMEOUT, REDIRECTS, AT_ONCE = 2_500_000, 10, 5, 5
 SCHEMA = "requested_url string, final_url string, status int, content_type string, x_robots_tag string, html string, ms long, error string"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _KINDS = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
@@ -69,10 +72,15 @@ def get(url: str, allowed: Callable[[str], bool] = is_public, most: int = MAX_BY
 
 
 def _rows(urls: Iterator[str], allowed: Callable[[str], bool], most: int, timeout: float) -> Iterator[pa.RecordBatch]:
-    """A batch for each page, as pages may be large."""
-    for url in urls:
-        row = get(url, allowed, most, timeout)
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _KINDS, strict=True)], names=_NAMES)
+    """A batch for each page, as pages may be large; in the order of the URLs, with AT_ONCE requests on their way and no more
+    pages than that in memory."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        ask = lambda url: pool.submit(get, url, allowed, most, timeout)
+        ahead = deque(map(ask, islice(urls, AT_ONCE)))
+        while ahead:
+            row = ahead.popleft().result()
+            ahead.extend(map(ask, islice(urls, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _KINDS, strict=True)], names=_NAMES)
 
 
 def fetched(urls: DataFrame, url: str = "url", allowed: Callable[[str], bool] = is_public, most: int = MAX_BYTES, timeout: float = TIMEOUT) -> DataFrame:
