@@ -148,3 +148,23 @@ def test_limiter_over_batches_is_the_same_as_at_once(spark, tmp_path):
     q = limiter.limit_stream(stream).writeStream.format("memory").queryName("judged").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("judged").collect())) == want
+
+
+def test_walk_reads_each_block_once(spark):
+    rows = spark.createDataFrame([("p", raw) for raw in BLOCKS], "page_url string, raw string")
+    plan = blocks.walk_types(rows, body=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "aggregate(" not in plan
+
+
+def test_values_of_a_repeated_key_and_texts_of_objects(spark):
+    raws = [
+        '{"a":1,"a":"{\\"@type\\":\\"text\\"}","@type":false,"b":{"@type":5.0,"b":1,"b":2}}',
+        ' { "@type" : "\\ud800A" , "x":[{"@type":"é\U0001f600","n":1.50e1}], "x":{"s":"\\/}","@type":["B",[null,"c",[1e25]]]} }',
+    ]
+    rows = spark.createDataFrame([("p", k, raw) for k, raw in enumerate(raws)], "page_url string, block int, raw string")
+    got = sorted(tuple(r)[1:] for r in blocks.walk_types(rows).collect())
+    inner = '{"s":"/}","@type":["B",[null,"c",[1.0E25]]]}'
+    whole = got[1][-1]
+    assert got == [(0, [2], "5", '{"@type":5.0,"b":1,"b":2}'), (1, [], "?A", whole), (1, [1], ",c,[1.0E25]", inner), (1, [1], "B", inner)]
+    assert whole.startswith('{"@type":') and whole.endswith(inner + "}") and '"n":15.0' in whole
+    assert sorted(tuple(r)[1:] for r in blocks.walk_types(rows, body=False).collect()) == sorted(r[:-1] for r in got)

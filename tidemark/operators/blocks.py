@@ -1,14 +1,23 @@
-"""JSON-LD blocks (N01-N03, E14) as column expressions: a walk by levels, of any depth that the JSON reader takes (1,000 levels).
+"""JSON-LD blocks (N01-N03, E14), of any depth that the JSON reader takes (1,000 levels).
 
-A level holds the texts of objects and lists.  Each is read twice, as texts by key (in the order of the text, which a variant
+`walk_types` reads each block once, in tasks that get blocks as Arrow batches.  `read`, of which page rows are made, needs no
+Python: it is a walk by levels in column expressions.  A level reads again what the one above it has read, and what a page
+says is short; where blocks are the bulk of the data the Arrow walk takes a small part of the time.
+
+In `read`, a level holds the texts of objects and lists.  Each is read twice, as texts by key (in the order of the text, which a variant
 loses) and as variants, which tell a text that looks like an object from an object.  The next level is what is within.  There
 are as many levels as brackets are open at once outside of texts; nothing is shuffled, and a page's blocks are never apart
 from its row."""
 
 from __future__ import annotations
 
+import json
+import math
+import re
+from decimal import Decimal
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,10 +126,139 @@ def read(blocks: str) -> Column:
     return F.expr(_let("b", each, f"named_struct('valid', transform(b, x -> x.valid), 'types', array_distinct(flatten(transform({all_found}, x -> x.types))), 'name', {named})"))
 
 
-def walk_types(blocks: DataFrame) -> DataFrame:
+#: A text, or a sign that begins or ends an object.
+_SIGNS = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[{}]', re.S)
+#: A number that the JSON reader takes for too long, and texts, in which there may be such digits.
+_LONG, _TEXTS = re.compile(r"[0-9][-+.eE0-9]{1000}"), re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"', re.S)
+#: What a written value is made of besides signs and words; characters that the JSON reader writes as escapes.
+_PARTS, _WIDE = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|-?Infinity|-?[0-9][-+.e0-9]*', re.S), re.compile("[\ud800-\udfff\U00010000-\U0010ffff]")
+_WHOLE = re.compile("0|[1-9][0-9]{0,9}").fullmatch
+
+
+def _refuse(said: str) -> None:
+    raise ValueError(said)
+
+
+_decode = json.JSONDecoder(parse_constant=_refuse).decode
+
+
+def _digits(x: float) -> str:
+    """A number with a fraction as the JSON reader writes it."""
+    if math.isinf(x):
+        return "Infinity" if x > 0 else "-Infinity"
+    if x == 0 or 1e-3 <= abs(x) < 1e7:
+        return repr(x)
+    minus, digits, power = Decimal(repr(x)).normalize().as_tuple()
+    first, *rest = map(str, digits)
+    return f"{'-' * minus}{first}.{''.join(rest) or '0'}E{power + len(rest)}"
+
+
+def _as_written(part: re.Match) -> str:
+    """A text or number of written JSON as the JSON reader writes it."""
+    said = part[0]
+    if said[0] == '"':
+        return _WIDE.sub(lambda c: re.sub("(.{4})", r"\\u\1", c[0].encode("utf-16-be", "surrogatepass").hex().upper()), said)
+    if said.endswith("y"):
+        return f'"{said}"'
+    return said if said.removeprefix("-").isdecimal() else _digits(float(said))
+
+
+def _text(x) -> str:
+    """A value as a list of texts has it."""
+    if x is None or isinstance(x, str):
+        return x or ""
+    return _digits(x) if isinstance(x, float) else _PARTS.sub(_as_written, json.dumps(x, separators=(",", ":"), ensure_ascii=False))
+
+
+def _shown(x) -> str:
+    """A value as a web script shows it as text."""
+    if x is None:
+        return "null"
+    if isinstance(x, dict):
+        return "[object Object]"
+    if isinstance(x, list):
+        return ",".join(map(_text, x))
+    return str(int(Decimal(repr(x)))) if isinstance(x, float) and abs(x) < 1e21 and x.is_integer() else _text(x)
+
+
+def _objects(raw: str, spans: bool) -> list[tuple[tuple[int, ...], list[str], int, int]]:
+    """The typed objects of a block: place, types and, if asked for, first sign and length; nothing if it is not JSON.
+
+    Of a key that repeats the last value counts, at the place of the first, and whole numbers come before all other keys."""
+    ended: list[dict] = []
+    try:
+        whole = json.JSONDecoder(parse_constant=_refuse, object_hook=lambda x: ended.append(x) or x).decode(raw) if spans else _decode(raw)
+    except (ValueError, RecursionError):
+        return []
+    if len(raw) > 1000 and _LONG.search(raw) and _LONG.search(_TEXTS.sub('""', raw)):
+        return []
+    found, left = [], [((), whole)] if type(whole) in (dict, list) else []
+    while left:
+        path, node = left.pop()
+        if len(path) >= DEEPEST - 1:
+            return []
+        if type(node) is dict:
+            kind = node.get("@type")
+            if kind or type(kind) in (dict, list):
+                kinds = [kind] if type(kind) is str else [_shown(x) for x in (kind if type(kind) is list else [kind])]
+                if kinds:
+                    found.append((path, kinds, node))
+            inside = list(node.values())
+            if any(map(_WHOLE, node)):
+                first = sorted((k for k in node if _WHOLE(k)), key=int)
+                inside = [node[k] for k in first] + [x for k, x in node.items() if not _WHOLE(k)]
+        else:
+            inside = node
+        below = [((*path, k), x) for k, x in enumerate(inside) if type(x) is dict or type(x) is list]
+        left.extend(reversed(below))
+    if not spans:
+        return [(path, kinds, 0, 0) for path, kinds, _ in found]
+    # objects are read in the order of their ends, also those of a key that repeats
+    opened, places = [], []
+    for sign in _SIGNS.finditer(raw):
+        if sign[0] == "{":
+            opened.append(sign.start())
+        elif sign[0] == "}":
+            start = opened.pop()
+            places.append((start + 1, sign.end() - start))
+    at = dict(zip(map(id, ended), places, strict=True))
+    return [(path, kinds, *at[id(node)]) for path, kinds, node in found]
+
+
+def _walked(raws: pa.Array, spans: bool) -> pa.Array:
+    """For each block the list of its typed objects, one entry for each type."""
+    ends, path_ends, places, types, starts, sizes = [0], [0], [], [], [], []
+    for raw in raws.cast(pa.binary()):
+        said = raw.as_py()
+        for path, kinds, start, size in _objects(said.decode("utf-8", "replace"), spans) if said is not None else ():
+            for kind in kinds:
+                places.extend(path)
+                path_ends.append(len(places))
+                types.append(kind)
+                starts.append(start)
+                sizes.append(size)
+        ends.append(len(types))
+    # half of a surrogate pair has no bytes: a question mark, as in Java
+    types = pa.array([t.encode("utf-8", "replace") for t in types], pa.binary()).cast(pa.string())
+    paths = pa.ListArray.from_arrays(pa.array(path_ends, pa.int32()), pa.array(places, pa.int32()))
+    columns = {"path": paths, "type": types, **({"start": pa.array(starts, pa.int32()), "size": pa.array(sizes, pa.int32())} if spans else {})}
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+
+def walk_types(blocks: DataFrame, body: bool = True) -> DataFrame:
     """Blocks (page_url, raw, and block if there is one) to (page_url, block, path, type, body) for every object with
     @type and each of its types.  path is the place in the document: a parent comes before what is in it.  Blocks that do not
-    parse give nothing."""
+    parse give nothing.  The object's text costs a second look at the block, and can be left out."""
     block: Column = F.coalesce("block", F.lit(0)) if "block" in blocks.columns else F.lit(0)
-    rows = blocks.select("page_url", block.alias("block"), F.explode(F.expr(_walk()[1])).alias("x"))
-    return rows.select("page_url", "block", "x.path", F.explode("x.types").alias("type"), F.col("x.text").alias("body"))
+    entry = f"array<struct<path: array<int>, type: string{', start: int, size: int' * body}>>"
+
+    def walk(raws: pa.Array) -> pa.Array:
+        return _walked(raws, body)
+
+    read = F.arrow_udf(walk, entry)
+    rows = blocks.select("page_url", block.alias("block"), "raw", read("raw").alias("x")).select("page_url", "block", "raw", F.explode("x").alias("x"))
+    out = [F.col("page_url"), F.col("block"), F.col("x.path").alias("path"), F.col("x.type").alias("type")]
+    if body:
+        text = F.concat(F.lit('{"v":'), F.substring(F.col("raw"), F.col("x.start"), F.col("x.size")), F.lit("}"))
+        out.append(F.try_element_at(F.from_json(text, "map<string,string>", {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}), F.lit("v")).alias("body"))
+    return rows.select(*out)

@@ -109,7 +109,7 @@ def n_walk_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit('{ "@type" : "Order","customer":{"@type":"Person","id":'), F.col("o_custkey"), F.lit('},"items":['), F.coalesce("items", F.lit("")), F.lit("]"), note, F.lit("}"))
     html = F.concat(F.lit(f"<html>{_LD}"), body, F.lit(f"</script>{_LD}"), body, F.lit(" also</script></html>"))
     found = orders.select(F.col("o_orderkey").cast("string").alias("page_url"), F.posexplode(pages.raw_blocks(html)).alias("block", "raw"))
-    return blocks.walk_types(found).select(F.col("page_url").alias("order_key"), F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "type")
+    return blocks.walk_types(found, body=False).select(F.col("page_url").alias("order_key"), F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "type")
 
 
 @query("""SELECT url, CASE page_id % 4 WHEN 0 THEN ['Organization', 'Place'] WHEN 1 THEN ['Article', 'K' || (page_id % 10)] WHEN 2 THEN ['LocalBusiness'] ELSE [] END AS types,
