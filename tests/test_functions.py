@@ -81,3 +81,11 @@ def test_fixed_values(spark):
         assert value(spark, U.root_domain(F.lit(name))) == root
     for name, private in (("192.0.0.8", True), ("192.0.2.1", False), ("fe80::1", True), ("::ffff:10.0.0.1", True), ("::ffff:8.8.8.8", False)):
         assert value(spark, U.private_address(F.lit(name))) is private, name
+
+
+def test_trim_takes_blanks_of_both_ends_without_a_pattern(spark):
+    ends = " \t\n\x0b\f\r\xa0﻿       　"
+    rows = [(ends + "a" + ends + "b" + ends,), (ends,), ("",), (None,), ("​a\x00",)]
+    got = spark.createDataFrame(rows, "s string").select(T.trim(F.col("s")).alias("s"))
+    assert [r["s"] for r in got.collect()] == ["a" + ends + "b", "", "", None, "​a\x00"]
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()

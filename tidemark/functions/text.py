@@ -16,10 +16,13 @@ ENTITIES = [("nbsp", " "), ("amp", "&"), ("quot", '"'), ("#39", "'"), ("lt", "<"
 #: The further entities of the second decoder.
 MORE_ENTITIES = [("apos", "'"), ("#x27", "'"), ("#x2F", "/")]
 EXCERPT, KEYWORD_EXCERPT = 12_000, 7_000
+#: The characters of SPACE.
+BLANKS = " \t\n\v\f\r\u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    """Without the blanks of SPACE at both ends; only the ends are looked at, where a pattern would try every character."""
+    return F.trim(c, F.lit(BLANKS))
 
 
 def collapse(c: Column) -> Column:
