@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -66,6 +67,27 @@ def test_bpe_of_words_that_never_merge():
     assert [np.frombuffer(x, np.int32).tolist() for x in replay([b"ababab", b"xabab"])] == [[257, 256], [120, 257]]
 
 
+def test_bpe_merges_of_many_words_take_few_rounds(monkeypatch):
+    ranks = queries.ranks()
+    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choice(["th", "e", "r", "ing", "é", "aa", "日", "😀", "x"]) for _ in range(rng.randrange(1, 40))).encode() for _ in range(3000)})
+    replay, asked = bpe.MergeReplay(ranks), []
+    monkeypatch.setattr(replay, "pairs", lambda a, b, pairs=replay.pairs: asked.append(len(a)) or pairs(a, b))
+    got = [np.frombuffer(x, np.int32).tolist() for x in replay(words)]
+    assert got == [library.encode_ordinary(word.decode()) for word in words]
+    assert len(asked) <= 2 * bpe.SHORT and any(len(word) > bpe.SHORT for word in words)
+
+
+def test_bpe_splits_latin_texts_alike_in_both_libraries():
+    find, latin = regex.compile(public_tokenizers.PATTERN), bpe.latin(public_tokenizers.PATTERN)
+    rng = random.Random(2)
+    kinds = [*map(chr, range(256)), "'s", "'ll", "  ", "\n\n", " a", "1²", "ª", "\x85", "\xa0"] * 2 + [" "] * 60 + ["e"] * 60
+    texts = ["".join(rng.choices(kinds, k=200)) for _ in range(300)]
+    assert [latin.findall(x) for x in texts] == [find.findall(x) for x in texts]
+    assert bpe.latin(r"\p{Lu}+|.") is None and bpe.latin(r"(?i:a)|\w") is None and bpe.latin(r"(a)(b)") is None
+
+
 def test_bpe_of_an_empty_table_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "one two"), (1, "one two"), (2, None)], DOCS)
     rows = [tuple(r) for r in bpe.digest(docs, queries.ranks(), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256").collect()]

@@ -1,9 +1,11 @@
 """Byte-level BPE by corpus-level merge replay.
 
 A task gathers the distinct words of a stretch of documents, lays their bytes in one array of symbols, and keeps an
-inverted index from each mergeable token pair to the positions where it stands.  Merges are applied in rank order over
-all words at once; a merge touches only the index entries of its two neighbours.  Words that a worker has seen stay in
-a bounded table, so each is replayed about once per worker (in `encode`, per task but for common ones).  There is no shuffle.
+inverted index from each mergeable token pair to the positions where it stands.  Merges are applied in rank order, to
+all words at once: words don't touch each other, so a round applies the first merge of every word, in numpy.  A merge
+touches only the index entries of its two neighbours.  Long words, which would take many rounds, go through the same in rank
+order over all of them.  Words that a worker has seen stay in a bounded table, so each is replayed about once per worker
+(in `encode`, per task but for common ones).  There is no shuffle.
 
 Memory is bounded in bytes, whatever the texts: the table of seen words holds REMEMBERED bytes of words and ids, the
 table of pairs what the vocabulary gives, a stretch CHARS_AT_ONCE characters, and finished rows go out when they fill SENT_AT_ONCE
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import sys
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
@@ -35,6 +38,9 @@ from tidemark.llm.common import trim
 #: word, words or characters that are in memory at once, and bytes of finished rows.
 REMEMBERED, LONGEST, AT_ONCE, CHARS_AT_ONCE, SENT_AT_ONCE = 8_000_000, 64, 120_000, 1_200_000, 4_000_000
 
+#: Bytes of a longest word whose merges are applied in rounds.
+SHORT = 64
+
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -44,6 +50,46 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+class Pairs:
+    """Ranks of many token pairs at once, from a table with open addressing."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, ranks: np.ndarray):
+        bits = max(4, (4 * len(ranks)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        keys = self._keys(a, b)
+        slots, todo = self._slots(keys), np.arange(len(keys))
+        while len(todo):
+            at = slots[todo]
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[todo[free]]  # of several for a slot the last stays, the others go on
+            put = self.keys[at] == keys[todo]
+            self.ranks[at[put]] = ranks[todo[put]]
+            todo = todo[~put]
+            slots[todo] = (slots[todo] + 1) & self.mask
+
+    def _keys(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a.astype(np.int64) << 32 | b
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or -1."""
+        keys = self._keys(a, b)
+        slots = self._slots(keys)
+        there = self.keys[slots]
+        out = np.where(there == keys, self.ranks[slots], -1)
+        todo = np.flatnonzero((there != keys) & (there >= 0))
+        while len(todo):
+            slots[todo] = at = (slots[todo] + 1) & self.mask
+            there = self.keys[at]
+            same = there == keys[todo]
+            out[todo[same]] = self.ranks[at[same]]
+            todo = todo[~same & (there >= 0)]
+        return out
+
+
 class MergeReplay:
     """Applies merges to many words at once."""
 
@@ -62,37 +108,73 @@ class MergeReplay:
                     if self.follow[a] is none:
                         self.follow[a] = {}
                     self.follow[a][b] = rank
+        cuts = [(a, b, rank) for a, found in enumerate(self.follow) for b, rank in found.items()]
+        self.pairs = Pairs(*np.array(cuts, np.int32).reshape(-1, 3).T)
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, four bytes each."""
         whole = [self.ranks.get(word) for word in words]
         cut = [word for word, rank in zip(words, whole, strict=True) if rank is None and word]
-        made = iter(self._cut(cut) if cut else [])
-        return [next(made) if rank is None and word else b"" if rank is None else rank.to_bytes(4, sys.byteorder) for word, rank in zip(words, whole, strict=True)]
+        made = [iter(self._cut([word for word in cut if (len(word) > SHORT) == long], replay)) for long, replay in enumerate((self._rounds, self._replay))]
+        return [next(made[len(word) > SHORT]) if rank is None and word else b"" if rank is None else rank.to_bytes(4, sys.byteorder) for word, rank in zip(words, whole, strict=True)]
 
-    def _cut(self, words: list[bytes]) -> list[bytes]:
+    def _cut(self, words: list[bytes], replay) -> list[bytes]:
+        if not words:
+            return []
         raw = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum([len(word) for word in words])
-        starts = np.r_[0, ends[:-1]]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
         after, before = np.arange(1, len(raw) + 1), np.arange(-1, len(raw) - 1)
-        after[ends - 1] = before[starts] = -1
+        after[ends - 1] = before[ends - lengths] = -1
         ranks = np.full(len(raw), -1, np.int32)
         ranks[:-1] = self.first[raw[:-1], raw[1:]]
         ranks[ends - 1] = -1
+        left = replay(self.single[raw], before, after, ranks, np.repeat(np.arange(len(words)), lengths))
+        alive = left >= 0
+        ids, upto = left[alive].tobytes(), np.cumsum(alive)[ends - 1] * 4
+        return [ids[i:j] for i, j in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
+
+    def _rounds(self, symbols: np.ndarray, before: np.ndarray, after: np.ndarray, ranks: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The index is one array, by rank and then place.  Words don't touch each other, so each round takes the first entry of
+        every word at once.  What is left of a merge stands at the place of its first symbol; the other becomes -1.
+
+        ranks: of the pair that begins at a place, or -1; an entry that no longer agrees with it is dropped."""
+        places = np.flatnonzero(ranks >= 0)
+        index = np.sort(ranks[places].astype(np.int64) << 32 | places)
+        first = np.zeros(len(word), np.int64)
+        while len(index):
+            places = index & 0xFFFFFFFF
+            mine, nth = word[places], np.arange(len(index))
+            first[mine[::-1]] = nth[::-1]
+            chosen = first[mine] == nth
+            p, made = places[chosen], (index[chosen] >> 32).astype(np.int32)
+            q = after[p]
+            left, right = before[p], after[q]
+            symbols[p], symbols[q], ranks[q], after[p] = made, -1, -1, right
+            inner = right >= 0
+            before[right[inner]] = p[inner]
+            ranks[p] = -1
+            ranks[p[inner]] = self.pairs(made[inner], symbols[right[inner]])
+            inner = left >= 0
+            left = left[inner]
+            ranks[left] = self.pairs(symbols[left], made[inner])
+            old, touched = ~chosen & (ranks[places] == index >> 32), np.r_[p, left]
+            touched = touched[ranks[touched] >= 0]
+            index = np.sort(np.r_[index[old], ranks[touched].astype(np.int64) << 32 | touched])
+        return symbols
+
+    def _replay(self, symbols: np.ndarray, before: np.ndarray, after: np.ndarray, ranks: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Merges in rank order, as a long word would take a round for each of its merges."""
         # the index of the first pairs, all places of a pair in order
         places = np.flatnonzero(ranks >= 0)
         places = places[np.argsort(ranks[places], kind="stable")]
         kinds, begin = np.unique(ranks[places], return_index=True)
         where = {rank: x.tolist() for rank, x in zip(kinds.tolist(), np.split(places, begin[1:]), strict=True)} if len(places) else {}
-        symbols = self.single[raw].tolist()
-        self._replay(symbols, before.tolist(), after.tolist(), where)
-        left = np.array(symbols, np.int32)
-        alive = left >= 0
-        ids, upto = left[alive].tobytes(), np.cumsum(alive)[ends - 1] * 4
-        return [ids[i:j] for i, j in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
+        symbols = symbols.tolist()
+        self._replay_lists(symbols, before.tolist(), after.tolist(), where)
+        return np.array(symbols, np.int32)
 
-    def _replay(self, symbols: list[int], before: list[int], after: list[int], where: dict[int, list[int]]) -> None:
-        """Merges in rank order.  What is left of a merge stands at the place of its first symbol; the other becomes -1."""
+    def _replay_lists(self, symbols: list[int], before: list[int], after: list[int], where: dict[int, list[int]]) -> None:
         follow = self.follow
         queue = sorted(where)
         while queue:
@@ -129,15 +211,44 @@ class MergeReplay:
                     break
 
 
+#: What `latin` can turn into characters: the classes, and what stands for itself in both libraries.
+_CLASS, _PLAIN = re.compile(r"\\p\{L\}|\\p\{N\}|\\s"), re.compile(r"(?:\[\^?(?:\\p\{L\}|\\p\{N\}|\\s|[A-Za-z0-9 '])+\]|\\p\{L\}|\\p\{N\}|\\s|\\S|\(\?[!=:]|[A-Za-z0-9 '|)+*?])*")
+
+
+def latin(pattern: str) -> re.Pattern | None:
+    """The pattern for texts of Latin-1 only, with its classes spelt out, for the faster library; None if it has more than these."""
+    if not _PLAIN.fullmatch(pattern):
+        return None
+    all_latin = "".join(map(chr, range(256)))
+    spelt = {kind: "".join(f"\\x{ord(c):02x}" for c in regex.findall(kind, all_latin)) for kind in (r"\p{L}", r"\p{N}", r"\s")}
+    in_sets = re.sub(r"\[[^\]]*\]", lambda m: _CLASS.sub(lambda x: spelt[x[0]], m[0]), pattern)
+    return re.compile(_CLASS.sub(lambda x: f"[{spelt[x[0]]}]", in_sets).replace(r"\S", rf"[^{spelt[r'\s']}]"))
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
+def _joined(values: pa.Array) -> memoryview:
+    """The bytes of all values, which follow each other in memory."""
+    _, offsets, data = values.buffers()
+    return memoryview(data)[: int(np.frombuffer(offsets, np.int64)[len(values)])]
+
+
 class Encoder:
     """Ids are kept as four bytes each, so that those of a text are its words' joined."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.replay, self.find = MergeReplay(ranks), regex.compile(pattern)
+        self.replay, self.find, self.latin = MergeReplay(ranks), regex.compile(pattern), latin(pattern)
         self.known: dict[str, bytes] = {}
         self.last: set[str] = set()
         self.held = 0
-        self.shown = {rank: str(rank) for rank in ranks.values()}
+        tokens = self.replay.tokens
+        self.shown = pa.array([f",{rank}" if rank in tokens else "" for rank in range(max(tokens) + 1)], pa.large_string())
+        self.tokens = pa.array([tokens.get(rank, b"") for rank in range(max(tokens) + 1)], pa.large_binary())
 
     def shrink(self) -> None:
         """Remembers only words of the last stretch, the common ones among them."""
@@ -147,7 +258,7 @@ class Encoder:
 
     def words(self, text: str) -> Iterator[list[str]]:
         if len(text) <= CHARS_AT_ONCE:
-            yield self.find.findall(text)
+            yield (self.latin if self.latin and _is_latin(text) else self.find).findall(text)
             return
         found = (m.group() for m in self.find.finditer(text))
         while part := list(islice(found, AT_ONCE)):
@@ -191,16 +302,13 @@ class Encoder:
                 held, size = [], 0
         yield from ([ids] for ids in self.ids(held))
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.replay.tokens.__getitem__, ids))
-
     def digest(self, parts: Iterable[bytes]) -> tuple[int, str, str]:
         n, shown, decoded = 0, hashlib.sha256(), hashlib.sha256()
         for part in parts:
-            ids = memoryview(part).cast("i").tolist()
-            if ids:
-                shown.update(("," * (n > 0) + ",".join(map(self.shown.__getitem__, ids))).encode())
-                decoded.update(self.decode(ids))
+            ids = pa.array(np.frombuffer(part, np.int32))
+            if len(ids):
+                shown.update(_joined(self.shown.take(ids))[n == 0 :])
+                decoded.update(_joined(self.tokens.take(ids)))
                 n += len(ids)
         return n, shown.hexdigest(), decoded.hexdigest()
 
