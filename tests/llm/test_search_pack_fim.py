@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import math
 import random
 import zlib
@@ -182,6 +183,31 @@ def test_packing_of_odd_rows(spark, monkeypatch, apart):
     assert packing.pack(docs.limit(0), public_tokenizers.path(queries.WORDS), end=1).count() == 0
 
 
+def test_packing_asks_the_model_once_for_a_word(monkeypatch):
+    with open(public_tokenizers.path(queries.WORDS), encoding="utf-8") as f:
+        made = f.read()
+    encoder, rng = packing.Encoder(made, apart=True, special_as_text=True), random.Random(3)
+    kinds = [*map(chr, range(256)), "'S", "'LL", "don't", "Ünï", "12", "<|endoftext|>", "\x01", "日", "Σ", "İ"] * 2 + [" "] * 60 + ["e"] * 60
+    texts = ["".join(rng.choices(kinds, k=rng.randrange(80))) for _ in range(2_000)]
+    assert encoder(texts, odd=True) == encoder._encoded(texts)
+    asked, modelled = [], encoder._modelled
+    monkeypatch.setattr(encoder, "_modelled", lambda words: asked.extend(words) or modelled(words))
+    monkeypatch.setattr(encoder, "_told", lambda some: pytest.fail("the whole library") if some else [])
+    texts = ["Zyxwvut zyxwvut, (ZYXWVUT) zyxwvut.", "été zyxwvut! 77"]
+    assert encoder(texts, odd=False) == encoder._encoded(texts) and asked.count("zyxwvut") == 1
+    encoder.last[:] = True  # as if tokens within words were named like last ones
+    assert modelled(["zyxwvut", "été"]) == encoder._encoded(["zyxwvut", "été"])
+
+
+def test_packing_with_other_steps_asks_the_whole_library():
+    with open(public_tokenizers.path(queries.WORDS), encoding="utf-8") as f:
+        made = json.loads(f.read())
+    assert packing._words(made) is not None
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"model": made["model"] | {"end_of_word_suffix": None}}, {"added_tokens": [made["added_tokens"][0] | {"special": False}]}):
+        assert packing._words(made | change) is None
+    assert packing.Encoder(json.dumps(made), apart=True, special_as_text=False).find is None
+
+
 # --- fill-in-middle ----------------------------------------------------------------------------------------------------------
 
 

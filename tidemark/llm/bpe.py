@@ -225,7 +225,7 @@ def latin(pattern: str) -> re.Pattern | None:
     return re.compile(_CLASS.sub(lambda x: f"[{spelt[x[0]]}]", in_sets).replace(r"\S", rf"[^{spelt[r'\s']}]"))
 
 
-def _is_latin(text: str) -> bool:
+def is_latin(text: str) -> bool:
     try:
         return text.isascii() or bool(text.encode("latin-1"))
     except UnicodeEncodeError:
@@ -258,7 +258,7 @@ class Encoder:
 
     def words(self, text: str) -> Iterator[list[str]]:
         if len(text) <= CHARS_AT_ONCE:
-            yield (self.latin if self.latin and _is_latin(text) else self.find).findall(text)
+            yield (self.latin if self.latin and is_latin(text) else self.find).findall(text)
             return
         found = (m.group() for m in self.find.finditer(text))
         while part := list(islice(found, AT_ONCE)):

@@ -19,6 +19,7 @@ empty result.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -33,6 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.bpe import is_latin, latin
 from tidemark.llm.common import Scratch
 from tidemark.llm.fim import _flat, _stretches
 
@@ -44,8 +46,9 @@ STEP, ROUNDS, GAP = 0.1, 3_000, 0.002
 #: Bytes of words and ids that a worker remembers, bytes of text at once, bytes of ids in a batch, rows of one length that are numbered together.
 REMEMBERED, AT_ONCE, SENT_AT_ONCE, TOGETHER = 32_000_000, 4_000_000, 8_000_000, 1_000
 
-#: A character that stands between stretches told to the library, which makes one id of it that nothing else has; stretches told at once.
-MARK, TOLD_AT_ONCE = "\x01", 2_000
+#: A character that stands between stretches told to the library, which makes one id of it that nothing else has; stretches told at once,
+#: and words given to its model at once.
+MARK, TOLD_AT_ONCE, MODELLED_AT_ONCE = "\x01", 2_000, 200
 #: Blanks of Unicode; what Python's split takes for blanks besides, U+001C to U+001F, are none.
 _APART = re.compile("[^\t\n\v\f\r \x85\xa0  -     　]+")
 
@@ -53,9 +56,30 @@ _APART = re.compile("[^\t\n\v\f\r \x85\xa0  -     　]+")
 # --- ids ---------------------------------------------------------------------------------------------------------------------
 
 
+#: Steps before the model that are plain for stretches of Latin-1 without blanks: the first two change nothing there, and bytes become characters.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: The character of each byte, as UTF-32.
+_CHARACTERS = np.arange(256, dtype="<u4")
+_CHARACTERS[sorted({*range(256)} - _SHOWN)] = 256 + np.arange(256 - len(_SHOWN))
+
+
+def _words(made: dict) -> re.Pattern | None:
+    """What cuts lower-cased stretches of Latin-1, a line each, into the words that the model gets and the lines' ends; None if
+    the tokenizer has other steps than those above, or if its model does not mark the last token of each word."""
+    steps, model = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}], made["model"]
+    cut = {"type": "Split", "pattern": steps[0].get("pattern"), "behavior": "Removed", "invert": True}
+    plain = made.get("normalizer") == _NORMALIZER and steps == [cut, _BYTES] and not made.get("truncation") and not made.get("padding") and all(x["special"] for x in made["added_tokens"])
+    marked = model.get("type") == "BPE" and (suffix := model.get("end_of_word_suffix")) and all(chr(c) + suffix in model["vocab"] for c in _CHARACTERS)
+    found = latin(steps[0]["pattern"].get("Regex", "\\")) if plain and marked else None
+    return found and re.compile(rf"{found.pattern}|\n")
+
+
 class Encoder:
     """Ids of texts, four bytes each.  apart: the tokenizer drops blanks and never joins what stands on both sides of one, so
-    the stretches between blanks are looked up, and only new ones are given to the library."""
+    the stretches between blanks are looked up, and only new ones are given to the library.  Where its steps before the model
+    are known, stretches of Latin-1 are cut into words, and only the library's model is asked, once for a word."""
 
     def __init__(self, made: str, apart: bool, special_as_text: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for every core
@@ -63,14 +87,50 @@ class Encoder:
 
         self.library = Tokenizer.from_str(made)
         self.library.encode_special_tokens = special_as_text
-        self.apart, self.known, self.held = apart, {}, 0
+        self.apart, self.known, self.parts, self.held = apart, {}, {"\n": b""}, 0
+        spec = json.loads(made)
+        self.model, self.find = Tokenizer(self.library.model), _words(spec) if apart and special_as_text else None
+        if self.find:
+            vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[k for x, k in vocab.items() if x.endswith(suffix)]] = True
         mark = self.library.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _apart(self, some: list[str]) -> list[bytes]:
+    def _apart(self, some: list[str]) -> dict[str, bytes]:
+        """The ids of stretches without blanks."""
+        mine = [x for x in some if is_latin(x)] if self.find else []
+        others = list(set(some).difference(mine)) if len(mine) < len(some) else []
+        made = dict(zip(others, self._told(others), strict=True))
+        words = self.find.findall("\n".join([*mine, ""]).lower()) if mine else []
+        new = list(set(words).difference(self.parts))
+        for x, ids in zip(new, self._modelled(new), strict=True):
+            self.parts[x] = ids
+            self.held += len(x) + len(ids)
+        parts = list(map(self.parts.__getitem__, words))
+        sizes, whole = np.fromiter(map(len, parts), np.int64, len(parts)), b"".join(parts)
+        ends = np.cumsum(sizes)[sizes == 0].tolist()  # only a line's end has no ids
+        return made | {x: whole[a:b] for x, a, b in zip(mine, [0, *ends][: len(mine)], ends, strict=True)}
+
+    def _modelled(self, words: list[str]) -> list[bytes]:
+        """The ids of lower-cased words of Latin-1, from the model alone."""
+        out = []
+        for first in range(0, len(words), MODELLED_AT_ONCE):
+            mine = words[first : first + MODELLED_AT_ONCE]
+            shown = _CHARACTERS[np.frombuffer("\n".join(mine).encode(), np.uint8)].tobytes().decode("utf-32-le").split(chr(_CHARACTERS[10]))
+            ids = np.array(self.model.encode_batch_fast([shown], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(mine):
+                whole = ids.tobytes()
+                out += [whole[a:b] for a, b in zip([0, *(4 * ends[:-1]).tolist()], (4 * ends).tolist(), strict=True)]
+            else:  # a token within a word is named like a last one
+                out += [np.array([token.id for token in self.model.model.tokenize(x)], "<u4").tobytes() for x in shown]
+        return out
+
+    def _told(self, some: list[str]) -> list[bytes]:
         """The ids of stretches without blanks: many are given to the library at once, with MARK between them."""
         if self.mark is None or any(MARK in x for x in some):
             return self._encoded(some)
@@ -90,10 +150,10 @@ class Encoder:
         lists = [_APART.findall(x) if odd else x.split() for x in texts]
         here = set().union(*lists)
         if self.held > REMEMBERED:
-            self.known = {x: self.known[x] for x in here if x in self.known}
+            self.known, self.parts = {x: self.known[x] for x in here if x in self.known}, {"\n": b""}
             self.held = sum(len(x) + len(y) for x, y in self.known.items())
         new = list(here.difference(self.known))
-        for x, ids in zip(new, self._apart(new), strict=True):
+        for x, ids in self._apart(new).items():
             self.known[x] = ids
             self.held += len(x) + len(ids)
         return [b"".join(map(self.known.__getitem__, x)) for x in lists]
